@@ -179,13 +179,13 @@ def _alnum(char: str) -> str:
 
 def _keyword_sql(rules: str) -> str:
     """First occurrence stands alone; first listed keyword of the stock that hits."""
-    left = "case when at > 1 then substr(text, at - 1, 1) else '' end"
-    right = "substr(text, at + length(keyword), 1)"
+    left = "case when hit > 1 then substr(text, hit - 1, 1) else '' end"
+    right = "substr(text, hit + length(keyword), 1)"
     return sql(f"""
         select doc_id, stock, keyword from (
-            select d.doc_id, d.text, k.stock, k.place, k.keyword, instr(d.text, k.keyword) as at
+            select d.doc_id, d.text, k.stock, k.place, k.keyword, instr(d.text, k.keyword) as hit
             from documents d cross join (values {rules}) k(stock, place, keyword))
-        where at > 0 and not {_alnum(left)} and not {_alnum(right)}
+        where hit > 0 and not {_alnum(left)} and not {_alnum(right)}
         qualify row_number() over (partition by doc_id, stock order by place) = 1""")
 
 
@@ -527,8 +527,8 @@ ORACLE = {
                           else lookback + 24 * i end as hours
               from searches cross join (select unnest(range(59)) as i))"""),
     "post_time_spine": sql(f"""
-        select ticker, date, cast(i as int) as place, {_post_time('at', 'now')} as label
-        from (select ticker, date, now, i, start - case when today then to_minutes(i) else to_days(i) end as at
+        select ticker, date, cast(i as int) as place, {_post_time('seen', 'now')} as label
+        from (select ticker, date, now, i, start - case when today then to_minutes(i) else to_days(i) end as seen
               from (select *, unnest(range(case when today then hour(start) * 60 + minute(start) + 1 else 40 end)) as i
                     from (select *, now - to_hours(lookback) as start,
                                  cast(now - to_hours(lookback) as date) = cast(now as date) as today

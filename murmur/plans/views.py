@@ -206,15 +206,15 @@ def screener_pages(spark: SparkSession, sf_dir: str, closed: bool = True) -> Dat
 
 def holiday_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per month, one column per year: the month's first order date."""
-    cell = F.date_format(F.min("o_orderdate"), "EEEE,  MMMM d")
-    orders = table(spark, sf_dir, "orders").withColumn("year", F.date_format("o_orderdate", "yyyy"))
     years = [str(year) for year in range(1995, 2002)]
-    wide = (
-        orders.groupBy(F.month("o_orderdate").cast("string").alias("holiday"))
-        .pivot("year", years)
-        .agg(cell.alias("cell"))
-    )
-    return wide.select("holiday", *[F.coalesce(F.col(y), F.lit("—*")).alias(y) for y in years])
+    year = F.date_format("o_orderdate", "yyyy")
+
+    def cell(name: str) -> Column:
+        first = F.min(F.when(year == name, F.col("o_orderdate")))
+        return F.coalesce(F.date_format(first, "EEEE,  MMMM d"), F.lit("—*")).alias(name)
+
+    month = F.month("o_orderdate").cast("string").alias("holiday")
+    return table(spark, sf_dir, "orders").groupBy(month).agg(*[cell(name) for name in years])
 
 
 def trending_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
