@@ -35,19 +35,21 @@ def dedup_text(posts: DataFrame, text: str | Column = "text", order: tuple = ARR
     return keep_first(posts, ["stock", text], list(order))
 
 
-def dedup_user(posts: DataFrame, null_user: str = "keep", order: tuple = ARRIVAL) -> DataFrame:
+def dedup_user(
+    posts: DataFrame, null_user: str = "keep", order: tuple = ARRIVAL, waiting: Column | None = None
+) -> DataFrame:
     """The first post of each user within a stock.
 
     ``null_user="keep"`` leaves posts without a user alone: each is a group of
     its own, which also spreads them over the cluster. ``"collapse"`` takes
-    them for one and the same user.
+    them for one and the same user. Posts that are ``waiting`` are left alone.
     """
-    keys = ["stock", "user"]
-    if null_user == "keep":
-        keys += [F.when(F.col("user").isNull(), F.col(name)) for name in order]
-    elif null_user != "collapse":
+    if null_user not in ("keep", "collapse"):
         raise ValueError("null_user must be 'keep' or 'collapse'")
-    return keep_first(posts, keys, list(order))
+    alone = F.lit(False) if waiting is None else waiting
+    if null_user == "keep":
+        alone = alone | F.col("user").isNull()
+    return keep_first(posts, ["stock", "user", *[F.when(alone, F.col(name)) for name in order]], list(order))
 
 
 def dedup_staged(posts: DataFrame, text: str = "text", null_user: str = "keep") -> DataFrame:
@@ -58,14 +60,18 @@ def dedup_staged(posts: DataFrame, text: str = "text", null_user: str = "keep")
     final pass is not the same: a post dropped for its user at one stage no
     longer hides its text at the next.
 
-    The first source's own stage is not run apart: the second stage's text
-    pass starts from the same first rows. ``text`` may name a digest column.
+    All sources go through every stage, so the posts are read once. Those of
+    a source still to come wait: in a text pass they only meet their own
+    source, where a repeat could never win anyway, and in a user pass nobody.
+    The first source's own stage is not run apart, since the second stage's
+    text pass starts from the same first rows. ``text`` may name a digest
+    column, to keep long texts out of the four shuffles.
     """
-    kept = posts.where(F.col("ord") <= 1)
+    kept = posts
     for stage in range(1, len(SOURCES)):
-        if stage > 1:
-            kept = kept.unionByName(posts.where(F.col("ord") == stage))
-        kept = dedup_user(dedup_text(kept, text), null_user)
+        waiting = F.col("ord") > stage
+        kept = keep_first(kept, ["stock", text, F.greatest("ord", F.lit(stage))], list(ARRIVAL))
+        kept = dedup_user(kept, null_user, waiting=waiting)
     return kept
 
 

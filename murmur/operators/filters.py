@@ -6,14 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.numbers import market_cap
-from murmur.functions.text import clean_headline, clean_post
+from murmur.functions.text import clean_headline, clean_post, text_digest
 from murmur.operators.dedup import keep_first
 from murmur.params import LENIENT_LANGS, MIN_CAP, SHORT_LEVEL, SHORT_LEVELS, STRICT_LANG
 
 
-def keep_english_lenient(posts: DataFrame, *, lang: str = "lang", text: str = "text") -> DataFrame:
-    """English posts, and those that a cashtag made look Polish; no empty text."""
-    return posts.where(F.col(lang).isin(*LENIENT_LANGS) & (F.col(text) != ""))
+def keep_english_lenient(
+    posts: DataFrame, *, lang: str = "lang", text: str = "text", exempt: tuple[str, ...] = ()
+) -> DataFrame:
+    """English posts, and those that a cashtag made look Polish; no empty text.
+
+    Posts of the sources in ``exempt`` all stay.
+    """
+    english = F.col(lang).isin(*LENIENT_LANGS) & (F.col(text) != "")
+    return posts.where(F.col("source").isin(*exempt) | english if exempt else english)
 
 
 def keep_english_strict(news: DataFrame, *, lang: str = "lang") -> DataFrame:
@@ -30,8 +36,13 @@ def drop_foreign_headlines(news: DataFrame, *, lang: str = "lang", headline: str
 
 
 def clean_and_drop_empty(posts: DataFrame, text: str = "text") -> DataFrame:
-    """Clean the text; a post left empty goes, one left as a space stays."""
-    return posts.withColumn(text, clean_post(F.col(text))).where(F.col(text) != "")
+    """Clean the text; a post left empty goes, one left as a space stays.
+
+    Cleaning puts a space for all it takes out, so only an empty text ends
+    empty. The test is therefore made on the raw text: it reaches the scan,
+    and no text is cleaned twice.
+    """
+    return posts.where(F.col(text) != "").withColumn(text, clean_post(F.col(text)))
 
 
 def drop_blank_news(news: DataFrame, *columns: str) -> DataFrame:
@@ -46,7 +57,8 @@ def clean_news(news: DataFrame, *, order: str = "id", time: str = "datetime") ->
 
     Headlines that become equal only by cleaning all stay.
     """
-    kept = keep_first(drop_blank_news(news, "headline", time), ["ticker", "headline"], [order])
+    marked = drop_blank_news(news, "headline", time).withColumn("_digest", text_digest(F.col("headline")))
+    kept = keep_first(marked, ["ticker", "_digest"], [order]).drop("_digest")
     return kept.withColumn("headline", clean_headline(F.col("headline")))
 
 

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.text import ALNUM_RUN, is_any_hit_bounded, is_first_hit_bounded
-from murmur.session import fits_broadcast
+from murmur.session import MAX_BROADCAST_BYTES
 
 SYMBOL = r"[^\p{L}\p{N}]"
 
+# Longest list of earlier keywords that is spelled out in the plan.
+UNROLLED = 8
+
 
 def keyword_rules(universe: DataFrame) -> DataFrame:
     """One row per (stock, keyword): its place, its anchor, the keywords before it.
@@ -33,11 +39,46 @@ def keyword_rules(universe: DataFrame) -> DataFrame:
     )
 
 
+class _Shape(NamedTuple):
+    """What the plan depends on, read from the rules in one small job."""
+
+    rows: int
+    bytes: int
+    with_symbols: bool
+    most_earlier: int
+
+
+def _shape(rules: DataFrame) -> _Shape:
+    width = F.octet_length(F.concat_ws("", "stock", "keyword", "anchor", F.array_join("earlier", "")))
+    row = rules.agg(
+        F.count(F.lit(1)),
+        F.coalesce(F.sum(width), F.lit(0)),
+        F.count_if(~F.col("anchor").rlike(ALNUM_RUN)) > 0,
+        F.coalesce(F.max(F.size("earlier")), F.lit(0)),
+    ).first()
+    return _Shape(*row)
+
+
 def _anchors(text: Column, with_symbols: bool) -> Column:
     pattern = f"{ALNUM_RUN}|{SYMBOL}" if with_symbols else ALNUM_RUN
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
+def _any_earlier(earlier: Column, most: int, test: Callable[[Column], Column]) -> Column:
+    """Whether one of the keywords in ``earlier`` passes.
+
+    Short lists are spelled out: a lambda would take the join out of the
+    generated code, and every token of a post would then carry a copy of its
+    text to it.
+    """
+    if most > UNROLLED:
+        return F.exists(earlier, test)
+    found = F.lit(False)
+    for place in range(most):
+        found = found | F.coalesce(test(F.get(earlier, F.lit(place))), F.lit(False))
+    return found
+
+
 def keyword_match(
     posts: DataFrame,
     universe: DataFrame,
@@ -58,25 +99,31 @@ def keyword_match(
     Posts meet keywords by an equi-join on a run of the text, then the exact
     test runs on the pairs. "Once per stock" needs no second shuffle: a pair
     is dropped when an earlier keyword of the same stock hits too. The rules
-    are broadcast while they are proven small; beyond that the join runs on
-    (post id, run) pairs only and the texts come back for the candidates.
+    are broadcast while they are measured to be small; beyond that the join
+    runs on (post id, run) pairs only and the texts come back for the
+    candidates.
     """
-    hits = is_any_hit_bounded if all_occurrences else is_first_hit_bounded
     rules = keyword_rules(universe)
-    with_symbols = not rules.where(~F.col("anchor").rlike(ALNUM_RUN)).isEmpty()
+    shape = _shape(rules)
 
     # The outer explode keeps Catalyst from adding a size test that would
     # split every text twice; the NULL of a text without runs joins nothing.
-    anchors = F.explode_outer(_anchors(F.col(text), with_symbols)).alias("_anchor")
-    if fits_broadcast(rules, max_broadcast_rows):
+    anchors = F.explode_outer(_anchors(F.col(text), shape.with_symbols)).alias("_anchor")
+    if shape.rows <= max_broadcast_rows and shape.bytes <= MAX_BROADCAST_BYTES:
         pairs = posts.select("*", anchors).join(F.broadcast(rules), F.col("_anchor") == F.col("anchor"))
     else:
         candidates = posts.select(post_id, anchors).join(rules, F.col("_anchor") == F.col("anchor"))
         pairs = posts.join(candidates, post_id)
 
-    exact = hits(F.col(text), F.col("keyword"))
-    repeated = F.exists("earlier", lambda k: hits(F.col(text), k))
-    return pairs.where(exact & ~repeated).select(*posts.columns, "stock", "keyword")
+    def hits(keyword: Column) -> Column:
+        test = is_any_hit_bounded if all_occurrences else is_first_hit_bounded
+        return test(F.col(text), keyword)
+
+    exact = hits(F.col("keyword"))
+    if all_occurrences:  # a keyword that is one run has been found by its anchor
+        exact = F.col("keyword").rlike(f"^{ALNUM_RUN}$") | exact
+    first = ~_any_earlier(F.col("earlier"), shape.most_earlier, hits)
+    return pairs.where(exact & first).select(*posts.columns, "stock", "keyword")
 
 
 def keyword_match_nested(posts: DataFrame, universe: DataFrame, *, post_id: str, text: str = "text") -> DataFrame:

@@ -21,13 +21,13 @@ Model = Callable[[Sequence[str]], np.ndarray]
 COMPOUND_ALPHA = 15.0
 
 
-def score_texts(texts: DataFrame, load_model: Callable[[], Model], text: str = "text") -> DataFrame:
-    """``text`` and ``logits``, in Arrow batches; the model is loaded once per task.
+def score_texts(texts: DataFrame, load_model: Callable[[], Model], key: str, text: str = "text") -> DataFrame:
+    """``key`` and ``logits``, in Arrow batches; the model is loaded once per task.
 
     The batch length is the session's ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     """
     schema = T.StructType(
-        [T.StructField(text, T.StringType()), T.StructField("logits", T.ArrayType(T.FloatType()))]
+        [T.StructField(key, texts.schema[key].dataType), T.StructField("logits", T.ArrayType(T.FloatType()))]
     )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,21 +37,33 @@ def score_texts(texts: DataFrame, load_model: Callable[[], Model], text: str = "
                 continue
             model = model or load_model()
             logits = np.asarray(model(batch[text].tolist()), dtype="float32")
-            yield pd.DataFrame({text: batch[text], "logits": list(logits)})
+            yield pd.DataFrame({key: batch[key], "logits": list(logits)})
 
-    return texts.select(text).mapInPandas(score, schema)
+    return texts.select(key, text).mapInPandas(score, schema)
 
 
-def score_posts_batch(posts: DataFrame, load_model: Callable[[], Model], text: str = "text") -> DataFrame:
-    """Add ``probability`` in [-1, 1], scoring each distinct text once.
+def score_by_digest(
+    posts: DataFrame, texts: DataFrame, load_model: Callable[[], Model], digest: str = "digest", text: str = "text"
+) -> DataFrame:
+    """Add ``probability`` in [-1, 1] to posts that carry a digest for their text.
 
-    The posts themselves meet the scores by a 32-byte digest, so long texts
-    are shuffled once, for the distinct step.
+    ``texts`` has the digests with their texts, repeats allowed. Copies of a
+    text are merged before the shuffle, so each text moves once and is scored
+    once, and only if a post still needs it.
     """
-    scored = score_texts(posts.select(text).distinct(), load_model, text).select(
-        text_digest(F.col(text)).alias("_digest"), net_sentiment(F.col("logits")).alias("probability")
-    )
-    return posts.withColumn("_digest", text_digest(F.col(text))).join(scored, "_digest").drop("_digest")
+    once = texts.groupBy(digest).agg(F.any_value(text).alias(text))
+    needed = once.join(posts.select(digest).distinct(), digest, "left_semi")
+    scored = score_texts(needed, load_model, digest, text)
+    return posts.join(scored.select(digest, net_sentiment(F.col("logits")).alias("probability")), digest)
+
+
+def score_posts_batch(posts: DataFrame, load_model: Callable[[], Model], text: str = "text") -> DataFrame:
+    """Add ``probability`` in [-1, 1], scoring each distinct text once."""
+    marked = posts.withColumn("_digest", text_digest(F.col(text)))
+    once = marked.groupBy("_digest").agg(F.any_value(text).alias(text))
+    scored = score_texts(once, load_model, "_digest", text)
+    scores = scored.select("_digest", net_sentiment(F.col("logits")).alias("probability"))
+    return marked.join(scores, "_digest").drop("_digest")
 
 
 def lexicon_score(news: DataFrame, lexicon: DataFrame, *, keys: list[str], text: str = "headline") -> DataFrame:

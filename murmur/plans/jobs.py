@@ -13,7 +13,7 @@ from murmur.operators import filters, sessions, universe
 from murmur.operators.dedup import dedup_staged, with_source_order
 from murmur.operators.match import keyword_match
 from murmur.operators.metrics import stock_sentiment_metrics
-from murmur.operators.scoring import Model, lexicon_score, score_posts_batch
+from murmur.operators.scoring import Model, lexicon_score, score_by_digest
 from murmur.params import MIN_CAP, MIN_HEADLINES, SHORT_LEVEL
 from murmur.sources.posts import parse_stocktwits, parse_twitter, union_posts
 from murmur.sources.prices import adjusted_close
@@ -66,7 +66,8 @@ def prepare_posts(
         parse_stocktwits(stocktwits).select(*_POST_COLUMNS), parse_twitter(twitter).select(*_POST_COLUMNS)
     )
     english = filters.keep_english_lenient(with_language(searched, "text")).select(*_POST_COLUMNS)
-    return with_source_order(filters.clean_and_drop_empty(union_posts(reddit, english)))
+    cleaned = filters.clean_and_drop_empty(union_posts(reddit, english))
+    return with_source_order(cleaned).withColumn("digest", text_digest(F.col("text")))
 
 
 def social_sentiment(
@@ -77,14 +78,24 @@ def social_sentiment(
     load_model: Callable[[], Model],
     *,
     null_user: str = "keep",
+    stage_dir: str | None = None,
 ) -> DataFrame:
     """The metrics row of every stock in ``stocks``.
 
     De-duplication does not read the score, so posts are scored after it, and
-    each distinct text once.
+    each distinct text once. It works on digests; the texts are fetched again
+    for the posts that are left. With ``stage_dir`` the prepared posts are
+    written there once, which also ends their lineage; without it they are
+    prepared twice.
     """
-    kept = dedup_staged(prepare_posts(comments, stocktwits, twitter, stocks), null_user=null_user)
-    return stock_sentiment_metrics(score_posts_batch(kept, load_model), stocks)
+    prepared = prepare_posts(comments, stocktwits, twitter, stocks)
+    if stage_dir:
+        schema = prepared.schema
+        prepared.write.mode("overwrite").parquet(stage_dir)
+        prepared = comments.sparkSession.read.schema(schema).parquet(stage_dir)
+    kept = dedup_staged(prepared.drop("text"), "digest", null_user)
+    scored = score_by_digest(kept, prepared.select("digest", "text"), load_model)
+    return stock_sentiment_metrics(scored, stocks)
 
 
 def scored_posts_metrics(posts: DataFrame, *, null_user: str = "keep") -> DataFrame:
@@ -93,8 +104,8 @@ def scored_posts_metrics(posts: DataFrame, *, null_user: str = "keep") -> DataFr
     A digest stands for the text in the shuffles of the de-duplication; the
     texts themselves do not leave the scan's stage.
     """
-    light = posts.withColumn("text", text_digest(F.col("text")))
-    return stock_sentiment_metrics(dedup_staged(light, null_user=null_user))
+    light = posts.withColumn("digest", text_digest(F.col("text"))).drop("text")
+    return stock_sentiment_metrics(dedup_staged(light, "digest", null_user))
 
 
 def news_vs_return(

@@ -534,10 +534,10 @@ ORACLE = {
                                  cast(now - to_hours(lookback) as date) = cast(now as date) as today
                           from searches)))"""),
     "day_spine": """
-        select o_custkey, cast(datediff('day', start, stop) as int) as days,
+        select user_id, cast(datediff('day', start, stop) as int) as days,
                cast(unnest(generate_series(start, stop, interval 1 day)) as date) as date
-        from (select o_custkey, cast(min(o_orderdate) as date) as start, cast(max(o_orderdate) as date) as stop
-              from orders group by o_custkey)""",
+        from (select user_id, cast(min(ts) as date) as start, cast(max(ts) as date) as stop
+              from events group by user_id)""",
     "lookback_hours": sql("""
         select event_id, cast(ts as date) as date,
                cast(24 + case when isodow(ts) = 1 then 48 else 0 end

@@ -499,12 +499,12 @@ def post_time_spine(spark, sf):
 @query
 def day_spine(spark, sf):
     spans = (
-        v.table(spark, sf, "orders")
-        .groupBy("o_custkey")
-        .agg(F.to_date(F.min("o_orderdate")).alias("start"), F.to_date(F.max("o_orderdate")).alias("end"))
+        v.table(spark, sf, "events")
+        .groupBy("user_id")
+        .agg(F.to_date(F.min("ts")).alias("start"), F.to_date(F.max("ts")).alias("end"))
     )
     return spans.select(
-        "o_custkey",
+        "user_id",
         labels.days_apart(F.col("start"), F.col("end")).alias("days"),
         F.explode(labels.day_spine(F.col("start"), F.col("end"))).alias("date"),
     )
@@ -588,7 +588,7 @@ def _social_inputs(spark, sf):
 @query
 def social_sentiment(spark, sf):
     stocks = v.keywords(spark, [*v.KEYWORDS, ("SILENT", ["no such word"])])
-    rows = jobs.social_sentiment(*_social_inputs(spark, sf), stocks, v.letter_model)
+    rows = jobs.social_sentiment(*_social_inputs(spark, sf), stocks, v.letter_model, stage_dir=shared_dir(spark, "posts"))
     return rows.select("stock", *METRICS, *rounded(*MEANS))
 
 

@@ -56,9 +56,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def english_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reddit as it is, the other sources by the lenient language filter."""
-    every = posts(spark, sf_dir)
-    searched = filters.keep_english_lenient(every.where(F.col("source") != "reddit"))
-    return every.where(F.col("source") == "reddit").unionByName(searched)
+    return filters.keep_english_lenient(posts(spark, sf_dir), exempt=("reddit",))
 
 
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Most bytes of column values that a broadcast side may have.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
 def local_session(app: str = "murmur", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and for the benchmark; a cluster brings its own."""
     builder = (
@@ -43,7 +47,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = 500_000, max_bytes: int = 64 << 20) -> bool:
+def fits_broadcast(df: DataFrame, max_rows: int = 500_000, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     """Whether ``df`` is proven small enough to broadcast.
 
     Reads at most ``max_rows + 1`` rows of the small side and measures them;

@@ -14,7 +14,8 @@ def holidays_long(wide: DataFrame, name: str = "holiday") -> DataFrame:
     A cell with an em dash means no holiday that year.
     """
     years = [column for column in wide.columns if column != name]
-    cells = wide.unpivot(name, years, "year", "cell").where(~F.contains("cell", F.lit(EM_DASH)))
+    by_year = F.array(*[F.struct(F.lit(year).alias("year"), F.col(year).alias("cell")) for year in years])
+    cells = wide.select(name, F.inline(by_year)).where(~F.contains("cell", F.lit(EM_DASH)))
     parts = F.split(F.regexp_replace("cell", " +", " "), " ")
     month = F.get(parts, F.lit(1))
     day = F.regexp_replace(F.get(parts, F.lit(2)), "[^0-9]", "")
