@@ -70,6 +70,15 @@ def prepare_posts(
     return with_source_order(cleaned).withColumn("digest", text_digest(F.col("text")))
 
 
+def _staged(df: DataFrame, stage_dir: str | None, name: str) -> DataFrame:
+    """``df`` by way of a table under ``stage_dir``, or as it is without one."""
+    if not stage_dir:
+        return df
+    path = f"{stage_dir}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def social_sentiment(
     comments: DataFrame,
     stocktwits: DataFrame,
@@ -84,16 +93,14 @@ def social_sentiment(
 
     De-duplication does not read the score, so posts are scored after it, and
     each distinct text once. It works on digests; the texts are fetched again
-    for the posts that are left. With ``stage_dir`` the prepared posts are
-    written there once, which also ends their lineage; without it they are
-    prepared twice.
+    for the posts that are left. Both the prepared posts and those left are
+    needed twice: with ``stage_dir``, a folder all executors can reach, they
+    are written there once, which also ends their lineage; without it they
+    are computed twice.
     """
-    prepared = prepare_posts(comments, stocktwits, twitter, stocks)
-    if stage_dir:
-        schema = prepared.schema
-        prepared.write.mode("overwrite").parquet(stage_dir)
-        prepared = comments.sparkSession.read.schema(schema).parquet(stage_dir)
+    prepared = _staged(prepare_posts(comments, stocktwits, twitter, stocks), stage_dir, "prepared")
     kept = dedup_staged(prepared.drop("text"), "digest", null_user)
+    kept = _staged(kept.select("stock", "source", "digest"), stage_dir, "kept")
     scored = score_by_digest(kept, prepared.select("digest", "text"), load_model)
     return stock_sentiment_metrics(scored, stocks)
 
