@@ -10,3 +10,11 @@ is repeatable and Catalyst sees the whole plan.
 * ``plans``      whole jobs, the views over the test tables, the query registry
 * ``streaming``  the stateless and windowed parts on Structured Streaming
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with the job, so executors
+# need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

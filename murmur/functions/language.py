@@ -23,11 +23,12 @@ def _in(vocabulary: tuple[str, ...]):
 def with_language(df: DataFrame, text: str, out: str = "lang") -> DataFrame:
     """Add the language with most stopwords; the first listed on a tie, else NULL.
 
-    Works within the row: no explode, no shuffle. The words and the votes are
-    columns of their own so that each is computed once.
+    Works within the row: no explode, no shuffle. The stopwords found and the
+    votes are columns of their own so that each is computed once.
     """
     votes = {lang: f"_votes_{lang}" for lang in STOPWORDS}
-    counted = df.withColumn("_words", words(F.col(text))).withColumns(
+    any_language = tuple(sorted(set().union(*STOPWORDS.values())))
+    counted = df.withColumn("_words", F.filter(words(F.col(text)), _in(any_language))).withColumns(
         {votes[lang]: F.size(F.filter("_words", _in(vocabulary))) for lang, vocabulary in STOPWORDS.items()}
     )
     best = F.greatest(*votes.values())

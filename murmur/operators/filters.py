@@ -29,10 +29,10 @@ def keep_english_strict(news: DataFrame, *, lang: str = "lang") -> DataFrame:
 def drop_foreign_headlines(news: DataFrame, *, lang: str = "lang", headline: str = "headline") -> DataFrame:
     """Drop by value: a headline found non-English anywhere in its ticker's
     table goes, along with every row that carries the same headline."""
-    foreign = (
-        news.where(F.coalesce(F.col(lang) != STRICT_LANG, F.lit(True))).select("ticker", headline).distinct()
-    )
-    return news.join(foreign, ["ticker", headline], "left_anti")
+    marked = news.withColumn("_digest", text_digest(F.col(headline)))
+    is_foreign = F.coalesce(F.col(lang) != STRICT_LANG, F.lit(True))
+    foreign = marked.where(is_foreign).select("ticker", "_digest").distinct()
+    return marked.join(foreign, ["ticker", "_digest"], "left_anti").select(*news.columns)
 
 
 def clean_and_drop_empty(posts: DataFrame, text: str = "text") -> DataFrame:

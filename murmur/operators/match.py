@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from murmur.functions.text import ALNUM_RUN, is_any_hit_bounded, is_first_hit_bounded
 from murmur.session import MAX_BROADCAST_BYTES
 
-SYMBOL = r"[^\p{L}\p{N}]"
-
 # Longest list of earlier keywords that is spelled out in the plan.
 UNROLLED = 8
 
@@ -44,8 +42,8 @@ class _Shape(NamedTuple):
 
     rows: int
     bytes: int
-    with_symbols: bool
     most_earlier: int
+    symbols: list[str]
 
 
 def _shape(rules: DataFrame) -> _Shape:
@@ -53,14 +51,17 @@ def _shape(rules: DataFrame) -> _Shape:
     row = rules.agg(
         F.count(F.lit(1)),
         F.coalesce(F.sum(width), F.lit(0)),
-        F.count_if(~F.col("anchor").rlike(ALNUM_RUN)) > 0,
         F.coalesce(F.max(F.size("earlier")), F.lit(0)),
+        F.collect_set(F.when(~F.col("anchor").rlike(ALNUM_RUN), F.col("anchor"))),
     ).first()
     return _Shape(*row)
 
 
-def _anchors(text: Column, with_symbols: bool) -> Column:
-    pattern = f"{ALNUM_RUN}|{SYMBOL}" if with_symbols else ALNUM_RUN
+def _anchors(text: Column, symbols: list[str]) -> Column:
+    """The runs of a text, and those symbols that some keyword is anchored at."""
+    pattern = ALNUM_RUN
+    if symbols:
+        pattern += "|[" + "".join(f"\\x{{{ord(symbol):x}}}" for symbol in sorted(symbols)) + "]"
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
 
@@ -108,7 +109,7 @@ def keyword_match(
 
     # The outer explode keeps Catalyst from adding a size test that would
     # split every text twice; the NULL of a text without runs joins nothing.
-    anchors = F.explode_outer(_anchors(F.col(text), shape.with_symbols)).alias("_anchor")
+    anchors = F.explode_outer(_anchors(F.col(text), shape.symbols)).alias("_anchor")
     if shape.rows <= max_broadcast_rows and shape.bytes <= MAX_BROADCAST_BYTES:
         pairs = posts.select("*", anchors).join(F.broadcast(rules), F.col("_anchor") == F.col("anchor"))
     else:

@@ -87,22 +87,23 @@ def sentiment_histogram(scores: DataFrame, score: str, bins: int = HISTOGRAM_BIN
     the range is widened by a half on both sides.
     """
     known = scores.where(F.col(score).isNotNull()).select(F.col(score).alias("x"))
-    ends = known.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    flat = F.col("lo") == F.col("hi")
-    ends = ends.select(
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-    )
-    placed = known.withColumns({"lo": ends.select("lo").scalar(), "hi": ends.select("hi").scalar()})
-    place = F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    counted = placed.groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spine = ends.where(F.col("lo").isNotNull()).select(
-        "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin")
-    )
-    width = (F.col("hi") - F.col("lo")) / bins
-    return spine.join(counted, "bin", "left").select(
-        "bin",
-        (F.col("lo") + F.col("bin") * width).alias("left_edge"),
-        (F.col("lo") + (F.col("bin") + 1) * width).alias("right_edge"),
-        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+    least, most = F.min("x"), F.max("x")
+    half = F.when(least == most, F.lit(0.5)).otherwise(F.lit(0.0))
+    ends = known.agg(F.struct((least - half).alias("lo"), (most + half).alias("hi")).alias("ends")).scalar()
+
+    share = (F.col("x") - F.col("ends.lo")) / (F.col("ends.hi") - F.col("ends.lo"))
+    place = F.least(F.floor(share * bins), F.lit(bins - 1))
+    counted = known.withColumn("ends", ends).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+    spine = scores.sparkSession.range(bins).select(F.col("id").alias("bin"), ends.alias("ends"))
+    width = (F.col("ends.hi") - F.col("ends.lo")) / bins
+    return (
+        spine.where(F.col("ends.lo").isNotNull())
+        .join(counted, "bin", "left")
+        .select(
+            "bin",
+            (F.col("ends.lo") + F.col("bin") * width).alias("left_edge"),
+            (F.col("ends.lo") + (F.col("bin") + 1) * width).alias("right_edge"),
+            F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+        )
     )

@@ -21,11 +21,21 @@ Model = Callable[[Sequence[str]], np.ndarray]
 COMPOUND_ALPHA = 15.0
 
 
-def score_texts(texts: DataFrame, load_model: Callable[[], Model], key: str, text: str = "text") -> DataFrame:
+def score_texts(
+    texts: DataFrame,
+    load_model: Callable[[], Model],
+    key: str,
+    text: str = "text",
+    tasks: int | None = None,
+) -> DataFrame:
     """``key`` and ``logits``, in Arrow batches; the model is loaded once per task.
 
     The batch length is the session's ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    Shuffle partitions are sized by bytes, which is few tasks for a slow model
+    and short texts: ``tasks`` spreads the texts evenly over that many.
     """
+    if tasks:
+        texts = texts.repartition(tasks)
     schema = T.StructType(
         [T.StructField(key, texts.schema[key].dataType), T.StructField("logits", T.ArrayType(T.FloatType()))]
     )
@@ -43,7 +53,12 @@ def score_texts(texts: DataFrame, load_model: Callable[[], Model], key: str, tex
 
 
 def score_by_digest(
-    posts: DataFrame, texts: DataFrame, load_model: Callable[[], Model], digest: str = "digest", text: str = "text"
+    posts: DataFrame,
+    texts: DataFrame,
+    load_model: Callable[[], Model],
+    digest: str = "digest",
+    text: str = "text",
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add ``probability`` in [-1, 1] to posts that carry a digest for their text.
 
@@ -53,15 +68,17 @@ def score_by_digest(
     """
     once = texts.groupBy(digest).agg(F.any_value(text).alias(text))
     needed = once.join(posts.select(digest).distinct(), digest, "left_semi")
-    scored = score_texts(needed, load_model, digest, text)
+    scored = score_texts(needed, load_model, digest, text, tasks)
     return posts.join(scored.select(digest, net_sentiment(F.col("logits")).alias("probability")), digest)
 
 
-def score_posts_batch(posts: DataFrame, load_model: Callable[[], Model], text: str = "text") -> DataFrame:
+def score_posts_batch(
+    posts: DataFrame, load_model: Callable[[], Model], text: str = "text", tasks: int | None = None
+) -> DataFrame:
     """Add ``probability`` in [-1, 1], scoring each distinct text once."""
     marked = posts.withColumn("_digest", text_digest(F.col(text)))
     once = marked.groupBy("_digest").agg(F.any_value(text).alias(text))
-    scored = score_texts(once, load_model, "_digest", text)
+    scored = score_texts(once, load_model, "_digest", text, tasks)
     scores = scored.select("_digest", net_sentiment(F.col("logits")).alias("probability"))
     return marked.join(scores, "_digest").drop("_digest")
 

@@ -31,11 +31,13 @@ def choose_universe(
 ) -> DataFrame:
     """Stocks to follow: trending ones, then shorted ones, less small caps.
 
-    ``trending``: pos, symbol, title. ``screen``: pos, symbol, title,
-    short_pct. ``caps``: symbol, cap_text; a stock without a readable cap is
-    left out.
+    ``trending``: pos, symbol, title. ``screen``: pos, symbol, title, and
+    short_pct unless the screen has been filtered by it. ``caps``: symbol,
+    cap_text; a stock without a readable cap is left out.
     """
-    listed = universe.take_until_repeat(filters.keep_shorted(screen, level=level), "symbol")
+    if "short_pct" in screen.columns:
+        screen = filters.keep_shorted(screen, level=level)
+    listed = universe.take_until_repeat(screen, "symbol")
     merged = universe.universe_merge(
         (universe.normalize_company(trending), True), (universe.normalize_company(listed), False)
     )
@@ -88,6 +90,7 @@ def social_sentiment(
     *,
     null_user: str = "keep",
     stage_dir: str | None = None,
+    model_tasks: int | None = None,
 ) -> DataFrame:
     """The metrics row of every stock in ``stocks``.
 
@@ -101,7 +104,7 @@ def social_sentiment(
     prepared = _staged(prepare_posts(comments, stocktwits, twitter, stocks), stage_dir, "prepared")
     kept = dedup_staged(prepared.drop("text"), "digest", null_user)
     kept = _staged(kept.select("stock", "source", "digest"), stage_dir, "kept")
-    scored = score_by_digest(kept, prepared.select("digest", "text"), load_model)
+    scored = score_by_digest(kept, prepared.select("digest", "text"), load_model, tasks=model_tasks)
     return stock_sentiment_metrics(scored, stocks)
 
 

@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import text as tx
 from murmur.params import COMMENT_LIMIT, REMOVED_BODY
 
-POST_SCHEMA = (
-    "stock STRING, source STRING, user STRING, text STRING, lang STRING, "
-    "directional STRING, seq BIGINT, ts TIMESTAMP_NTZ"
-)
+COMMENT_SCHEMA = "id BIGINT, created_utc BIGINT, body STRING"
+RAW_SCHEMA = "stock STRING, seq BIGINT, created_utc BIGINT, raw STRING"
+
+
+def _with_time(df: DataFrame) -> DataFrame:
+    at = F.timestamp_seconds("created_utc").cast("timestamp_ntz")
+    return df.withColumn("ts", at).drop("created_utc")
+
+
+def read_comments(spark: SparkSession, path: str) -> DataFrame:
+    """Comments of the followed forum: seq, body, ts."""
+    return _with_time(spark.read.schema(COMMENT_SCHEMA).json(path)).withColumnRenamed("id", "seq")
+
+
+def read_raw_posts(spark: SparkSession, path: str) -> DataFrame:
+    """Posts as their pages showed them: stock, seq, raw, ts."""
+    return _with_time(spark.read.schema(RAW_SCHEMA).json(path))
 
 
 def posts_in_window(posts: DataFrame, now: Column, hours: int, *, ts: str = "ts", body: str = "body") -> DataFrame:
