@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.text import ALNUM_RUN, is_any_hit_bounded, is_first_hit_bounded
+from murmur.operators.words import join_words
 from murmur.session import MAX_BROADCAST_BYTES
 
 # Longest list of earlier keywords that is spelled out in the plan.
@@ -111,9 +112,9 @@ def keyword_match(
     # split every text twice; the NULL of a text without runs joins nothing.
     anchors = F.explode_outer(_anchors(F.col(text), shape.symbols)).alias("_anchor")
     if shape.rows <= max_broadcast_rows and shape.bytes <= MAX_BROADCAST_BYTES:
-        pairs = posts.select("*", anchors).join(F.broadcast(rules), F.col("_anchor") == F.col("anchor"))
+        pairs = join_words(posts.select("*", anchors), "_anchor", rules, "anchor", broadcast=True)
     else:
-        candidates = posts.select(post_id, anchors).join(rules, F.col("_anchor") == F.col("anchor"))
+        candidates = join_words(posts.select(post_id, anchors), "_anchor", rules, "anchor", broadcast=False)
         pairs = posts.join(candidates, post_id)
 
     def hits(keyword: Column) -> Column:

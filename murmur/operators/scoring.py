@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from murmur.functions.numbers import net_sentiment
 from murmur.functions.text import text_digest, words
-from murmur.session import fits_broadcast
+from murmur.operators.words import join_words
 
 # A model: texts in, one row of logits per text out (negative, neutral, positive).
 Model = Callable[[Sequence[str]], np.ndarray]
@@ -77,7 +77,7 @@ def score_posts_batch(
 ) -> DataFrame:
     """Add ``probability`` in [-1, 1], scoring each distinct text once."""
     marked = posts.withColumn("_digest", text_digest(F.col(text)))
-    once = marked.groupBy("_digest").agg(F.any_value(text).alias(text))
+    once = posts.select(text).distinct().withColumn("_digest", text_digest(F.col(text)))
     scored = score_texts(once, load_model, "_digest", text, tasks)
     scores = scored.select("_digest", net_sentiment(F.col("logits")).alias("probability"))
     return marked.join(scores, "_digest").drop("_digest")
@@ -88,15 +88,18 @@ def lexicon_score(news: DataFrame, lexicon: DataFrame, *, keys: list[str], text:
 
     ``lexicon`` has ``token`` and ``valence``; ``keys`` identify a text. All
     words of a text are in one task, so the sum is complete, but for merging,
-    before the shuffle, which carries the keys and one number per text.
+    before the shuffle, which carries the keys and one number per text. Every
+    text gets an empty word of valence 0 besides: the join can then be inner,
+    which leaves out most words early, and still keep every text.
     """
-    entries = F.broadcast(lexicon) if fits_broadcast(lexicon) else lexicon
-    tokens = news.select(*keys, F.explode_outer(words(F.col(text))).alias("token"))
-    total = F.coalesce(F.sum("valence"), F.lit(0.0))
+    nothing = lexicon.sparkSession.createDataFrame([("", 0.0)], "token STRING, valence DOUBLE")
+    entries = lexicon.select(F.col("token").alias("_entry"), F.col("valence").cast("double").alias("valence"))
+    found = F.coalesce(words(F.col(text)), F.array().cast("array<string>"))
+    tokens = news.select(*keys, F.explode_outer(F.array_append(found, F.lit(""))).alias("_word"))
     return (
-        tokens.join(entries, "token", "left")
+        join_words(tokens, "_word", entries.union(nothing), "_entry")
         .groupBy(*keys)
-        .agg(total.alias("_sum"))
+        .agg(F.sum("valence").alias("_sum"))
         .withColumn("compound", F.col("_sum") / F.sqrt(F.col("_sum") * F.col("_sum") + COMPOUND_ALPHA))
         .drop("_sum")
     )
