@@ -12,6 +12,13 @@ def hours_before(now: Column, hours: Column) -> Column:
     return now - F.make_dt_interval(F.lit(0), hours.cast("int"))
 
 
+def wall_seconds(at: Column) -> Column:
+    """Seconds from 1970 to a time without time zone, whatever the session's zone."""
+    return F.unix_date(F.to_date(at)) * F.lit(86400).cast("bigint") + F.hour(at) * 3600 + F.minute(at) * 60 + F.floor(
+        F.second(at)
+    )
+
+
 def age_label(now: Column, hours: Column) -> Column:
     """``1 hour ago``, ``N hours ago`` up to 23, then the day as ``Nov 29``."""
     return (

@@ -177,33 +177,43 @@ def _alnum(char: str) -> str:
     return f"regexp_matches({char}, '[\\p{{L}}\\p{{N}}]')"
 
 
-def _keyword_sql(rules: str) -> str:
+def _keyword_sql(rules: tuple) -> str:
     """First occurrence stands alone; first listed keyword of the stock that hits."""
     left = "case when hit > 1 then substr(text, hit - 1, 1) else '' end"
     right = "substr(text, hit + length(keyword), 1)"
+    values = ", ".join(f"('{stock}', {place}, '{keyword}')" for stock, place, keyword in rules)
     return sql(f"""
         select doc_id, stock, keyword from (
             select d.doc_id, d.text, k.stock, k.place, k.keyword, instr(d.text, k.keyword) as hit
-            from documents d cross join (values {rules}) k(stock, place, keyword))
+            from documents d cross join (values {values}) k(stock, place, keyword))
         where hit > 0 and not {_alnum(left)} and not {_alnum(right)}
         qualify row_number() over (partition by doc_id, stock order by place) = 1""")
 
 
-_SINGLE = "('THE', 0, 'The'), ('IS', 0, 'Is'), ('ON', 0, 'on')"
+_SINGLE = (("THE", 0, "The"), ("IS", 0, "Is"), ("ON", 0, "on"))
 _MULTI = (
-    "('ARTICLES', 0, 'The'), ('ARTICLES', 1, 'la'), ('ARTICLES', 2, 'of the'), "
-    "('PREPOSITIONS', 0, 'of the'), ('PREPOSITIONS', 1, 'on'), ('PREPOSITIONS', 2, 'in'), "
-    "('MARKS', 0, '$$$'), ('MARKS', 1, 'Is')"
+    ("ARTICLES", 0, "The"),
+    ("ARTICLES", 1, "la"),
+    ("ARTICLES", 2, "of the"),
+    ("PREPOSITIONS", 0, "of the"),
+    ("PREPOSITIONS", 1, "on"),
+    ("PREPOSITIONS", 2, "in"),
+    ("MARKS", 0, "$$$"),
+    ("MARKS", 1, "Is"),
 )
 
 
-def _keyword_any_sql(rules: str) -> str:
+def _keyword_any_sql(rules: tuple) -> str:
     """Any occurrence stands alone: the text is padded, and the hit checked with its neighbours."""
     edge = "[^\\p{L}\\p{N}]"
-    return sql(f"""
-        select doc_id, stock, keyword from documents d cross join (values {rules}) k(stock, place, keyword)
-        where regexp_matches(' ' || d.text || ' ', '{edge}' || replace(k.keyword, '$', '\\$') || '{edge}')
-        qualify row_number() over (partition by doc_id, stock order by place) = 1""")
+    each = "\nunion all ".join(
+        f"""select doc_id, '{stock}' as stock, {place} as place, '{keyword}' as keyword from documents
+            where regexp_matches(' ' || text || ' ', '{edge}{keyword.replace("$", "[$]")}{edge}')"""
+        for stock, place, keyword in rules
+    )
+    return f"""
+        select doc_id, stock, keyword from ({each})
+        qualify row_number() over (partition by doc_id, stock order by place) = 1"""
 
 
 def _metrics_sql(posts: str) -> str:
@@ -379,8 +389,7 @@ ORACLE = {
     "news_load": """
         select event_type as ticker, event_type as category, cast(floor(epoch(ts)) as bigint) as datetime,
                event_type || ' ' || props as headline, event_id as id, '' as image, event_type as related,
-               'wire' as source, props as summary, 'https://n.example/' || event_id as url,
-               date_trunc('second', ts) as ts
+               'wire' as source, props as summary, 'https://n.example/' || event_id as url
         from events""",
     "trending_flatten": sql("select page_id, cast(pos as int) as pos, symbol, title from trending"),
     "trending_top_n": sql("select page_id, cast(pos as int) as pos, symbol from trending where pos < 10"),

@@ -67,7 +67,7 @@ def news_load(spark, sf):
     events = v.table(spark, sf, "events")
     record = events.select(
         F.col("event_type").alias("category"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("datetime"),
+        labels.wall_seconds(F.col("ts")).alias("datetime"),
         F.concat_ws(" ", "event_type", "props").alias("headline"),
         F.col("event_id").alias("id"),
         F.lit("").alias("image"),
@@ -81,7 +81,7 @@ def news_load(spark, sf):
         "ticker"
     ).text(landing)
     news_source.write_news(news_source.read_news_json(spark, landing), target)
-    return news_source.with_timestamp(news_source.read_news(spark, target))
+    return news_source.read_news(spark, target)
 
 
 @query
@@ -455,8 +455,7 @@ def parse_market_cap(spark, sf):
 
 @query
 def age_label(spark, sf):
-    seconds = F.unix_seconds(v.now().cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
-    hours = F.floor(seconds / 3600)
+    hours = F.floor((labels.wall_seconds(v.now()) - labels.wall_seconds(F.col("ts"))) / 3600)
     return v.table(spark, sf, "events").select("event_id", labels.age_label(v.now(), hours).alias("label"))
 
 
