@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.text import words
@@ -20,19 +20,28 @@ def _in(vocabulary: tuple[str, ...]):
     return lambda word: word.isin(*vocabulary)
 
 
-def with_language(df: DataFrame, text: str, out: str = "lang") -> DataFrame:
-    """Add the language with most stopwords; the first listed on a tie, else NULL.
+def detect_language(text: Column) -> Column:
+    """The language with most stopwords in the text; the first listed on a tie.
 
-    Works within the row: no explode, no shuffle. The stopwords found and the
-    votes are columns of their own so that each is computed once.
+    NULL without any stopword. Works within the row: no explode, no shuffle.
+    The words found are bound to a lambda's variable, so that they are found
+    once however often the optimizer repeats the parts of an expression it
+    pushes through a projection.
     """
-    votes = {lang: f"_votes_{lang}" for lang in STOPWORDS}
     any_language = tuple(sorted(set().union(*STOPWORDS.values())))
-    counted = df.withColumn("_words", F.filter(words(F.col(text)), _in(any_language))).withColumns(
-        {votes[lang]: F.size(F.filter("_words", _in(vocabulary))) for lang, vocabulary in STOPWORDS.items()}
-    )
-    best = F.greatest(*votes.values())
-    pick = F.when(F.coalesce(best, F.lit(0)) <= 0, F.lit(None).cast("string"))
-    for lang, name in votes.items():
-        pick = pick.when(F.col(name) == best, F.lit(lang))
-    return counted.withColumn(out, pick).drop("_words", *votes.values())
+    found = F.filter(words(text), _in(any_language))
+
+    def winner(bound: Column) -> Column:
+        ballots = [F.struct(F.lit(0).alias("n"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("lang"))]
+        for place, (lang, vocabulary) in enumerate(STOPWORDS.items()):
+            votes = F.size(F.filter(bound, _in(vocabulary)))
+            ballots.append(F.struct(votes.alias("n"), F.lit(-place).alias("rank"), F.lit(lang).alias("lang")))
+        return F.array_max(F.array(*ballots))["lang"]
+
+    return F.get(F.transform(F.array(found), winner), F.lit(0))
+
+
+def with_language(df: DataFrame, text: str, out: str = "lang", unclear: str | None = None) -> DataFrame:
+    """Add the language of ``text``; ``unclear`` stands for one without stopwords."""
+    lang = detect_language(F.col(text))
+    return df.withColumn(out, F.coalesce(lang, F.lit(unclear)) if unclear else lang)

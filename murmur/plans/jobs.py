@@ -14,7 +14,7 @@ from murmur.operators.dedup import dedup_staged, with_source_order
 from murmur.operators.match import keyword_match
 from murmur.operators.metrics import stock_sentiment_metrics
 from murmur.operators.scoring import Model, lexicon_score, score_by_digest
-from murmur.params import MIN_CAP, MIN_HEADLINES, SHORT_LEVEL
+from murmur.params import MIN_CAP, MIN_HEADLINES, SHORT_LEVEL, UNCLEAR_LANG
 from murmur.sources.posts import parse_stocktwits, parse_twitter, union_posts
 from murmur.sources.prices import adjusted_close
 
@@ -54,7 +54,8 @@ def prepare_posts(
     """Posts of all sources: matched, parsed, English, cleaned, in arrival order.
 
     ``comments``: seq, body. ``stocktwits`` and ``twitter``: stock, seq, raw.
-    ``stocks``: stock, keywords. Reddit is not filtered by language.
+    ``stocks``: stock, keywords. Reddit is not filtered by language; a post
+    whose language is unclear is taken for one that a cashtag confuses.
     """
     reddit = keyword_match(comments, stocks, post_id="seq", text="body").select(
         "stock",
@@ -67,7 +68,7 @@ def prepare_posts(
     searched = union_posts(
         parse_stocktwits(stocktwits).select(*_POST_COLUMNS), parse_twitter(twitter).select(*_POST_COLUMNS)
     )
-    english = filters.keep_english_lenient(with_language(searched, "text")).select(*_POST_COLUMNS)
+    english = filters.keep_english_lenient(with_language(searched, "text", unclear=UNCLEAR_LANG)).select(*_POST_COLUMNS)
     cleaned = filters.clean_and_drop_empty(union_posts(reddit, english))
     return with_source_order(cleaned).withColumn("digest", text_digest(F.col("text")))
 

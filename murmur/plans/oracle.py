@@ -317,7 +317,7 @@ def _social_sql() -> str:
     languages as ({found}),
     english as (
         select s.* exclude (rid) from searched s join languages l on l.rid = s.rid
-        where l.found in ('en', 'pl') and s.text <> ''),
+        where coalesce(l.found, 'pl') in ('en', 'pl') and s.text <> ''),
     cleaned as (
         select * exclude (text), {_clean('text')} as text
         from (select * from reddit union all by name select * from english) where {_clean('text')} <> ''),

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from murmur.functions.language import with_language
 from murmur.operators import filters
-from murmur.params import LOOKBACK_TRENDING
+from murmur.params import LOOKBACK_TRENDING, UNCLEAR_LANG
 from murmur.sources.posts import parse_stocktwits, parse_twitter, union_posts
 
 PREPARED = ("stock", "source", "user", "text", "directional", "seq")
@@ -30,7 +30,7 @@ def landed_posts(
 def prepared_posts(stocktwits: DataFrame, twitter: DataFrame) -> DataFrame:
     """Raw posts to parsed, English, cleaned ones. Keeps no state."""
     searched = union_posts(parse_stocktwits(stocktwits), parse_twitter(twitter))
-    english = filters.keep_english_lenient(with_language(searched, "text"))
+    english = filters.keep_english_lenient(with_language(searched, "text", unclear=UNCLEAR_LANG))
     return filters.clean_and_drop_empty(english).select(*PREPARED, *[c for c in ("ts",) if c in english.columns])
 
 

@@ -610,6 +610,7 @@ def test_language_by_stopwords(spark):
     ]
     df = spark.createDataFrame(rows, "text STRING, expected STRING")
     assert all(r["lang"] == r["expected"] for r in with_language(df, "text").collect())
+    assert all(r["lang"] == (r["expected"] or "pl") for r in with_language(df, "text", unclear="pl").collect())
 
 
 def test_lexicon_score(spark):
