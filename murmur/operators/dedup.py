@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.functions.text import text_digest
 from murmur.params import SOURCES
 
 ARRIVAL = ("ord", "seq")
@@ -30,9 +31,18 @@ def with_source_order(posts: DataFrame) -> DataFrame:
     return posts.withColumn("ord", place)
 
 
-def dedup_text(posts: DataFrame, text: str | Column = "text", order: tuple = ARRIVAL) -> DataFrame:
-    """The first post of each text within a stock."""
-    return keep_first(posts, ["stock", text], list(order))
+def dedup_text(posts: DataFrame, digest: str | None = None, order: tuple = ARRIVAL) -> DataFrame:
+    """The first post of each text within a stock.
+
+    Texts are compared by a 32-byte digest, so a text is shuffled only if the
+    result is asked for it. ``digest`` names a column that holds it already.
+    """
+    return keep_first(posts, ["stock", digest or text_digest(F.col("text"))], list(order))
+
+
+def dedup_headlines(news: DataFrame, order: str = "id") -> DataFrame:
+    """The first record of each headline within a ticker."""
+    return keep_first(news, ["ticker", text_digest(F.col("headline"))], [order])
 
 
 def dedup_user(
@@ -52,7 +62,7 @@ def dedup_user(
     return keep_first(posts, ["stock", "user", *[F.when(alone, F.col(name)) for name in order]], list(order))
 
 
-def dedup_staged(posts: DataFrame, text: str = "text", null_user: str = "keep") -> DataFrame:
+def dedup_staged(posts: DataFrame, null_user: str = "keep", digest: str | None = None) -> DataFrame:
     """De-duplicate source by source, as posts arrive.
 
     After the first source, repeated texts go; after each later one, repeated
@@ -64,17 +74,17 @@ def dedup_staged(posts: DataFrame, text: str = "text", null_user: str = "keep")
     a source still to come wait: in a text pass they only meet their own
     source, where a repeat could never win anyway, and in a user pass nobody.
     The first source's own stage is not run apart, since the second stage's
-    text pass starts from the same first rows. ``text`` may name a digest
-    column, to keep long texts out of the four shuffles.
+    text pass starts from the same first rows. ``digest`` is as in
+    ``dedup_text``.
     """
-    kept = posts
+    kept = posts if digest else posts.withColumn("_digest", text_digest(F.col("text")))
     for stage in range(1, len(SOURCES)):
         waiting = F.col("ord") > stage
-        kept = keep_first(kept, ["stock", text, F.greatest("ord", F.lit(stage))], list(ARRIVAL))
+        kept = keep_first(kept, ["stock", digest or "_digest", F.greatest("ord", F.lit(stage))], list(ARRIVAL))
         kept = dedup_user(kept, null_user, waiting=waiting)
-    return kept
+    return kept.drop("_digest")
 
 
-def dedup_single_pass(posts: DataFrame, text: str = "text", null_user: str = "keep") -> DataFrame:
+def dedup_single_pass(posts: DataFrame, null_user: str = "keep") -> DataFrame:
     """Texts, then users, once over all sources."""
-    return dedup_user(dedup_text(posts, text), null_user)
+    return dedup_user(dedup_text(posts), null_user)

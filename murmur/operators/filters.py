@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions.numbers import market_cap
 from murmur.functions.text import clean_headline, clean_post, text_digest
-from murmur.operators.dedup import keep_first
+from murmur.operators.dedup import dedup_headlines
 from murmur.params import LENIENT_LANGS, MIN_CAP, SHORT_LEVEL, SHORT_LEVELS, STRICT_LANG
 
 
@@ -57,8 +57,7 @@ def clean_news(news: DataFrame, *, order: str = "id", time: str = "datetime") ->
 
     Headlines that become equal only by cleaning all stay.
     """
-    marked = drop_blank_news(news, "headline", time).withColumn("_digest", text_digest(F.col("headline")))
-    kept = keep_first(marked, ["ticker", "_digest"], [order]).drop("_digest")
+    kept = dedup_headlines(drop_blank_news(news, "headline", time), order)
     return kept.withColumn("headline", clean_headline(F.col("headline")))
 
 

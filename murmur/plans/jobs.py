@@ -103,7 +103,7 @@ def social_sentiment(
     are computed twice.
     """
     prepared = _staged(prepare_posts(comments, stocktwits, twitter, stocks), stage_dir, "prepared")
-    kept = dedup_staged(prepared.drop("text"), "digest", null_user)
+    kept = dedup_staged(prepared, null_user, "digest")
     kept = _staged(kept.select("stock", "source", "digest"), stage_dir, "kept")
     scored = score_by_digest(kept, prepared.select("digest", "text"), load_model, tasks=model_tasks)
     return stock_sentiment_metrics(scored, stocks)
@@ -112,11 +112,9 @@ def social_sentiment(
 def scored_posts_metrics(posts: DataFrame, *, null_user: str = "keep") -> DataFrame:
     """The metrics rows of posts that come with a ``probability``.
 
-    A digest stands for the text in the shuffles of the de-duplication; the
-    texts themselves do not leave the scan's stage.
+    The metrics do not ask for the texts, so only digests are shuffled.
     """
-    light = posts.withColumn("digest", text_digest(F.col("text"))).drop("text")
-    return stock_sentiment_metrics(dedup_staged(light, "digest", null_user))
+    return stock_sentiment_metrics(dedup_staged(posts, null_user))
 
 
 def news_vs_return(

@@ -345,7 +345,7 @@ def dedup_single_pass(spark, sf):
 
 @query
 def news_dedup(spark, sf):
-    return dedup.keep_first(v.news(spark, sf), ["ticker", "headline"], ["id"]).select("id", "ticker")
+    return dedup.dedup_headlines(v.news(spark, sf)).select("id", "ticker")
 
 
 @query
