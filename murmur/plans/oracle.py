@@ -392,7 +392,7 @@ ORACLE = {
                'wire' as source, props as summary, 'https://n.example/' || event_id as url
         from events""",
     "trending_flatten": sql("select page_id, cast(pos as int) as pos, symbol, title from trending"),
-    "trending_top_n": sql("select page_id, cast(pos as int) as pos, symbol from trending where pos < 10"),
+    "trending_top_n": sql("select page_id, cast(pos as int) as pos, symbol from trending where pos < 5"),
     "html_rows": """
         select page_id, cast(row_no as int) as row_no, cast(len(items) as int) as nb,
                array_to_string(list_transform(items, lambda c: replace(replace(replace(replace(replace(replace(
@@ -421,7 +421,7 @@ ORACLE = {
     "drop_empty_clean": sql("select seq, {clean:body} as body from comments where {clean:body} <> ''"),
     "news_drop_blank": sql("""
         select id, ticker, length(headline) as chars from news
-        where id % 11 <> 0 and id % 13 <> 0 and id % 17 <> 0 and trim(headline) <> ''"""),
+        where score >= 2 and hour(ts) <> 3 and trim(headline) <> ''"""),
     "dropna_any": """
         select d.doc_id, d.source, l.quality, l.toxic from documents d join labels l on l.doc_id = d.doc_id
         where d.source is not null and l.quality is not null and l.toxic is not null""",

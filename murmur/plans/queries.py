@@ -93,7 +93,8 @@ def trending_flatten(spark, sf):
 @query
 def trending_top_n(spark, sf):
     lists = v.trending_lists(spark, sf)
-    return trending.take_trending(trending.flatten_trending(lists, F.col("body"))).select("page_id", "pos", "symbol")
+    listed = trending.flatten_trending(lists, F.col("body"))
+    return trending.take_trending(listed, limit=5).select("page_id", "pos", "symbol")
 
 
 @query
@@ -159,9 +160,10 @@ def drop_empty_clean(spark, sf):
 
 @query
 def news_drop_blank(spark, sf):
-    number = F.col("id")
-    headline = F.when(number % 11 == 0, F.lit(None)).when(number % 13 == 0, F.lit("   ")).otherwise(F.col("headline"))
-    gaps = v.news(spark, sf).withColumns({"headline": headline, "datetime": F.when(number % 17 != 0, F.col("ts"))})
+    """Headlines of low scores are missing or spaces, times of one hour are missing."""
+    headline = F.when(F.col("score") >= 2, F.col("headline")).when(F.col("score") >= 1, F.lit("   "))
+    at = F.when(F.hour("ts") != 3, F.col("ts"))
+    gaps = v.news(spark, sf).withColumns({"headline": headline, "datetime": at})
     return filters.drop_blank_news(gaps).select("id", "ticker", F.length("headline").cast("bigint").alias("chars"))
 
 
