@@ -63,9 +63,14 @@ def is_first_hit_bounded(text: Column, keyword: Column) -> Column:
 
 
 def is_any_hit_bounded(text: Column, keyword: Column) -> Column:
-    """As above, but any occurrence of the keyword will do."""
+    """As above, but any occurrence of the keyword will do.
+
+    The pattern search, which is slow, is left for texts that have the keyword
+    and whose first occurrence does not settle it.
+    """
     quoted = F.regexp_replace(keyword, r"([^\p{L}\p{N}\s])", r"\\$1")
-    return F.regexp_like(text, F.concat(F.lit(f"(?<!{ALNUM})"), quoted, F.lit(f"(?!{ALNUM})")))
+    alone = F.concat(F.lit(f"(?<!{ALNUM})"), quoted, F.lit(f"(?!{ALNUM})"))
+    return is_first_hit_bounded(text, keyword) | (F.contains(text, keyword) & F.regexp_like(text, alone))
 
 
 def twitter_user(raw: Column) -> Column:

@@ -25,9 +25,14 @@ def read_news_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_news(news: DataFrame, path: str) -> None:
-    """Replace the tables of the tickers in ``news``, leave the others alone."""
+    """Replace the tables of the tickers in ``news``, leave the others alone.
+
+    Rows are brought together by ticker first, or every task would write a
+    file for every ticker; adaptive execution splits a ticker that is large.
+    """
     (
-        news.write.mode("overwrite")
+        news.hint("rebalance", "ticker")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("ticker")
         .parquet(path)
