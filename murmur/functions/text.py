@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmur.params import NAME_WORDS
 
-# Fixed patterns.
+# The patterns that cleaning and matching are defined by.
 WEB_ADDRESS = r"https?://[a-zA-Z0-9@:%._/+~#=?&;-]*"
 WEB_ADDRESS_TO_LINE_END = r"(?d)https?://.*[\r\n]*"
 MENTION = r"(?U)@\S+"

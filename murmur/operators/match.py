@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.text import ALNUM_RUN, is_any_hit_bounded, is_first_hit_bounded
-from murmur.operators.words import join_words
 from murmur.session import MAX_BROADCAST_BYTES
 
 # Longest list of earlier keywords that is spelled out in the plan.
@@ -24,9 +23,9 @@ def keyword_rules(universe: DataFrame) -> DataFrame:
     longest is the rarest. A keyword without any run is anchored at its first
     character.
     """
-    listed = universe.select(
-        "stock", "keywords", F.posexplode(F.array_distinct("keywords")).alias("place", "keyword")
-    ).where(F.col("keyword") != "")
+    usable = F.filter(F.array_distinct("keywords"), lambda k: k != "")
+    lists = universe.select("stock", usable.alias("keywords"))
+    listed = lists.select("stock", "keywords", F.posexplode("keywords").alias("place", "keyword"))
     runs = F.regexp_extract_all("keyword", F.lit(ALNUM_RUN), F.lit(0))
     longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
     return listed.select(
@@ -34,7 +33,7 @@ def keyword_rules(universe: DataFrame) -> DataFrame:
         "place",
         "keyword",
         F.coalesce(longest, F.substr("keyword", F.lit(1), F.lit(1))).alias("anchor"),
-        F.slice(F.array_distinct("keywords"), F.lit(1), F.col("place")).alias("earlier"),
+        F.slice("keywords", F.lit(1), F.col("place")).alias("earlier"),
     )
 
 
@@ -58,12 +57,13 @@ def _shape(rules: DataFrame) -> _Shape:
     return _Shape(*row)
 
 
-def _anchors(text: Column, symbols: list[str]) -> Column:
-    """The runs of a text, and those symbols that some keyword is anchored at."""
+def _run_hashes(text: Column, symbols: list[str]) -> Column:
+    """Distinct hashes of a text's runs, and of the symbols some keyword is anchored at."""
     pattern = ALNUM_RUN
     if symbols:
         pattern += "|[" + "".join(f"\\x{{{ord(symbol):x}}}" for symbol in sorted(symbols)) + "]"
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_distinct(F.transform(runs, lambda run: F.xxhash64(run)))
 
 
 def _any_earlier(earlier: Column, most: int, test: Callable[[Column], Column]) -> Column:
@@ -98,23 +98,28 @@ def keyword_match(
     A keyword hits when its first occurrence stands alone: no letter or number
     on either side. With ``all_occurrences`` any occurrence may stand alone.
 
-    Posts meet keywords by an equi-join on a run of the text, then the exact
-    test runs on the pairs. "Once per stock" needs no second shuffle: a pair
-    is dropped when an earlier keyword of the same stock hits too. The rules
-    are broadcast while they are measured to be small; beyond that the join
-    runs on (post id, run) pairs only and the texts come back for the
-    candidates.
+    Posts meet keywords by an equi-join on the hash of a run, then the exact
+    test on the text decides. A post has each hash once, so a pair comes up
+    once; one that only shares a hash fails the test. "Once per stock" needs
+    no second shuffle: a pair is dropped when an earlier keyword of the same
+    stock hits too. The rules are broadcast while they are measured to be
+    small; beyond that the join runs on (post id, hash) pairs only and the
+    texts come back for the candidates.
     """
     rules = keyword_rules(universe)
     shape = _shape(rules)
-
-    # The outer explode keeps Catalyst from adding a size test that would
-    # split every text twice; the NULL of a text without runs joins nothing.
-    anchors = F.explode_outer(_anchors(F.col(text), shape.symbols)).alias("_anchor")
+    rules = rules.withColumn("_anchor", F.xxhash64("anchor"))
+
+    # The hashes are a column before they are exploded, and the explode is an
+    # outer one, so that no text is split twice: Catalyst would test the size
+    # of an inner one's input apart.
+    hashes = _run_hashes(F.col(text), shape.symbols).alias("_hashes")
+    run = F.explode_outer("_hashes").alias("_run")
+    same = F.col("_run") == F.col("_anchor")
     if shape.rows <= max_broadcast_rows and shape.bytes <= MAX_BROADCAST_BYTES:
-        pairs = join_words(posts.select("*", anchors), "_anchor", rules, "anchor", broadcast=True)
+        pairs = posts.select("*", hashes).select(*posts.columns, run).join(F.broadcast(rules), same)
     else:
-        candidates = join_words(posts.select(post_id, anchors), "_anchor", rules, "anchor", broadcast=False)
+        candidates = posts.select(post_id, hashes).select(post_id, run).join(rules, same)
         pairs = posts.join(candidates, post_id)
 
     def hits(keyword: Column) -> Column:
@@ -122,8 +127,6 @@ def keyword_match(
         return test(F.col(text), keyword)
 
     exact = hits(F.col("keyword"))
-    if all_occurrences:  # a keyword that is one run has been found by its anchor
-        exact = F.col("keyword").rlike(f"^{ALNUM_RUN}$") | exact
     first = ~_any_earlier(F.col("earlier"), shape.most_earlier, hits)
     return pairs.where(exact & first).select(*posts.columns, "stock", "keyword")
 

@@ -107,6 +107,16 @@ def test_keyword_of_many_lists_counts_once(spark):
     assert {tuple(r) for r in found.collect()} == {(1, "Tesla"), (2, "TSLA")}
 
 
+def test_empty_and_missing_keywords_match_nothing(spark):
+    df = spark.createDataFrame([(1, "$ A"), (2, None), (3, "")], "id INT, text STRING")
+    lists = [("A", ["", None, "A"]), ("NONE", [""]), ("EMPTY", []), ("NULL", None)]
+    stocks = spark.createDataFrame(lists, "stock STRING, keywords ARRAY<STRING>")
+    found = match.keyword_match(df, stocks, post_id="id").select("id", "stock", "keyword")
+    assert [tuple(r) for r in found.collect()] == [(1, "A", "A")]
+    nothing = match.keyword_match(df, stocks.where("stock = 'EMPTY'"), post_id="id")
+    assert nothing.count() == 0
+
+
 def test_long_keyword_lists_use_the_lambda_form(spark):
     words = [f"k{i}" for i in range(15)]
     df = spark.createDataFrame([(1, "k14 k3 k9"), (2, "k12"), (3, "k")], "id INT, text STRING")
