@@ -80,11 +80,11 @@ def test_clean_headline(spark, raw, clean):
         ("", False),
     ],
 )
-def test_keyword_boundary(spark, text, hit):
+def test_keyword_boundary(spark, theta_match, text, hit):
     df = spark.createDataFrame([(1, text)], "id INT, text STRING")
     stocks = spark.createDataFrame([("ED", ["ED"])], "stock STRING, keywords ARRAY<STRING>")
     assert match.keyword_match(df, stocks, post_id="id").count() == int(hit)
-    assert match.keyword_match_nested(df, stocks, post_id="id").count() == int(hit)
+    assert theta_match(df, stocks, "id").count() == int(hit)
 
 
 def test_keyword_any_occurrence(spark):

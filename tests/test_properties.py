@@ -76,7 +76,7 @@ def brute_match(text, keyword):
 
 
 @pytest.mark.parametrize("max_broadcast_rows", [1000, 0])
-def test_keyword_match_is_the_loop(spark, max_broadcast_rows):
+def test_keyword_match_is_the_loop(spark, theta_match, max_broadcast_rows):
     rng = random.Random(5)
     pieces = ["ED", "FED", " ", "$", ".", "_", "é", "BRK.B", "BRK", "½", "x", "  ", "++", "\n", "A", "AA"]
     texts = [(i, "".join(rng.choices(pieces, k=rng.randrange(9)))) for i in range(600)]
@@ -99,8 +99,7 @@ def test_keyword_match_is_the_loop(spark, max_broadcast_rows):
     got = match.keyword_match(df, universe, post_id="id", max_broadcast_rows=max_broadcast_rows)
     rows = [tuple(r) for r in got.select("id", "stock", "keyword").collect()]
     assert len(rows) == len(set(rows)) and set(rows) == expected
-    nested = match.keyword_match_nested(df, universe, post_id="id").select("id", "stock", "keyword")
-    assert {tuple(r) for r in nested.collect()} == expected
+    assert {tuple(r) for r in theta_match(df, universe, "id").collect()} == expected
 
 
 def test_totals_are_sums_over_sources(spark, sf_dir):
