@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +30,16 @@ def local_session(app: str = "murmur", cores: str = "8", shuffle_partitions: int
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for one job's tables, under the cluster's shared folder.
+    """A new folder for one job's tables, on a file system all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local
-    session may go without; it then gets a temporary folder, since its driver
-    and its executors are one machine.
+    The cluster names its folder in ``spark.checkpoint.dir``; without one, the
+    folder is made under ``spark.sql.warehouse.dir``. It goes when the driver
+    ends, as results may be read from it until then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = os.path.join(tempfile.gettempdir(), "murmur")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
+    return path.toString()
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = 500_000, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
