@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from murmur.llm.near_dedup import near_dedup
+from murmur.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup,)}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left without the 13-word windows of earlier documents."""
+    return substring_dedup(_table(spark, sf_dir, "documents"), min_words=13)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op3_substring_dedup,
+    )
+}
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,4 +48,18 @@ ORACLE = {
         reach as (select doc_id, doc_id as seen from sets union select r.doc_id, l.b from reach r join links l on l.a = r.seen)
         select s.doc_id, len(any_value(s.s)) as n_shingles, min(r.seen) as component_id, min(r.seen) = s.doc_id as kept
         from sets s join reach r using (doc_id) group by s.doc_id""",
+    "op3_substring_dedup": rf"""
+        with w as (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),
+        windows as (
+            select doc_id, unnest(range(1, len(w) - 11)) as i, array_to_string(w[i:i + 12], ' ') as g from w where len(w) >= 13),
+        gone as (
+            select distinct doc_id, unnest(range(i, i + 13)) as i
+            from windows join (select g, min(doc_id) as first from windows group by g) using (g) where first < doc_id),
+        per as (select doc_id, list(i) as gone from gone group by doc_id),
+        kept as (
+            select doc_id, w, coalesce(len(gone), 0) as n_removed,
+                case when gone is null then w else list_transform(
+                    list_filter(range(1, len(w) + 1), lambda j: not list_contains(gone, j)), lambda j: w[j]) end as k
+            from w left join per using (doc_id))
+        select doc_id, len(w) as n_words, n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept""",
 }
