@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from murmur.llm.mixing import mix, n_words
 from murmur.llm.near_dedup import near_dedup
+from murmur.llm.packing import best_fit_packing
 from murmur.llm.substring_dedup import substring_dedup
 
 
@@ -22,11 +26,23 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), min_words=13)
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from each document."""
+    return mix(_table(spark, sf_dir, "documents"), n_words(F.col("text")))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
         op3_substring_dedup,
+        op8_source_mixing,
+        op9_best_fit_packing,
     )
 }
 
