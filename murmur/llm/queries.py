@@ -10,6 +10,7 @@ from murmur.llm.mixing import mix, n_words
 from murmur.llm.near_dedup import near_dedup
 from murmur.llm.packing import best_fit_packing
 from murmur.llm.substring_dedup import substring_dedup
+from murmur.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), min_words=13)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of whole texts, learned from confirmed and unlabelled ones."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
     return mix(_table(spark, sf_dir, "documents"), n_words(F.col("text")))
@@ -41,6 +47,7 @@ QUERIES = {
     for f in (
         op1_minhash_near_dedup,
         op3_substring_dedup,
+        op5_toxicity,
         op8_source_mixing,
         op9_best_fit_packing,
     )

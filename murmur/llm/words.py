@@ -56,12 +56,23 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def hash_words(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and how many each text has."""
+#: ASCII but letters and digits, which part terms.
+BETWEEN_TERMS = np.arange(256) < 128
+BETWEEN_TERMS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
+def hash_words(
+    data: np.ndarray, bounds: np.ndarray, lower: bool, between: np.ndarray = _SPACE, first_bytes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and how many each text has.
+
+    ``between`` marks the bytes that part words. With ``first_bytes``, each word
+    also gives the hashes of so many of its first bytes, all its values in a row.
+    """
     size = len(data)
     if size == 0:
         return np.zeros(0, np.uint64), np.zeros(len(bounds) - 1, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     full = bounds[1:] > bounds[:-1]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -73,7 +84,7 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.nd
     closes[last] = inside[last]
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes)  # ends: the last byte of each word
     counts = np.diff(np.searchsorted(starts, bounds))
-    hashes = np.empty(len(starts), np.uint64)
+    hashes = np.empty((len(starts), 1 + len(first_bytes)), np.uint64)
     table = _LOWER if lower else _BYTES
     at = 0
     while at < len(starts):
@@ -85,10 +96,12 @@ def hash_words(data: np.ndarray, bounds: np.ndarray, lower: bool) -> tuple[np.nd
         terms *= up[: stop - base]
         sums = np.cumsum(terms, dtype=np.uint64)
         s, e = starts[at:to] - base, ends[at:to] - base
-        part = sums[e] - sums[s] + terms[s]
-        hashes[at:to] = mix(part * down[s] + (e - s + 1).astype(np.uint64))
+        before = sums[s] - terms[s]
+        for k, most in enumerate((0, *first_bytes)):
+            last = np.minimum(e, s + most - 1) if most else e
+            hashes[at:to, k] = mix((sums[last] - before) * down[s] + (last - s + 1).astype(np.uint64))
         at = to
-    return hashes, counts
+    return hashes.reshape(-1), counts * hashes.shape[1]
 
 
 def column_words(column: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray]:
