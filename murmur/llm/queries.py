@@ -11,6 +11,7 @@ from murmur.llm.near_dedup import near_dedup
 from murmur.llm.packing import best_fit_packing
 from murmur.llm.substring_dedup import substring_dedup
 from murmur.llm.toxicity import toxicity
+from murmur.llm.warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    return warc_round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from each document."""
     return mix(_table(spark, sf_dir, "documents"), n_words(F.col("text")))
@@ -48,6 +54,7 @@ QUERIES = {
         op1_minhash_near_dedup,
         op3_substring_dedup,
         op5_toxicity,
+        op7_warc,
         op8_source_mixing,
         op9_best_fit_packing,
     )
