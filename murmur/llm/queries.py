@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from murmur.llm.mixing import mix, n_words
 from murmur.llm.near_dedup import near_dedup
 from murmur.llm.packing import best_fit_packing
+from murmur.llm.spotsigs import CHAIN, COMMON, DIGITS, LEAST, fingerprints
 from murmur.llm.substring_dedup import substring_dedup
 from murmur.llm.toxicity import toxicity
+from murmur.llm.url_filter import labelled_by_rules, url_filter
 from murmur.llm.warc import warc_round_trip
 
 
@@ -23,6 +25,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page's url, learned from the urls that the rules decide."""
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter(pages, labelled_by_rules(pages))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left without the 13-word windows of earlier documents."""
     return substring_dedup(_table(spark, sf_dir, "documents"), min_words=13)
@@ -48,21 +56,32 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole texts and of their edited forms."""
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup,
+        op2_url_filter,
         op3_substring_dedup,
         op5_toxicity,
         op7_warc,
         op8_source_mixing,
         op9_best_fit_packing,
+        op10_spotsigs,
     )
 }
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_LIKE = f"""case when len({{a}}) + len({{b}}) = 0 then 1.0::double
+    when least(len({{a}}), len({{b}})) < {LEAST} * greatest(len({{a}}), len({{b}})) then 0.0::double
+    else len(list_intersect({{a}}, {{b}}))::double / (len({{a}}) + len({{b}}) - len(list_intersect({{a}}, {{b}}))) end"""
+
 ORACLE = {
     "op1_minhash_near_dedup": rf"""
         with recursive w as (select doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} as w from documents),
@@ -92,4 +111,33 @@ ORACLE = {
                     list_filter(range(1, len(w) + 1), lambda j: not list_contains(gone, j)), lambda j: w[j]) end as k
             from w left join per using (doc_id))
         select doc_id, len(w) as n_words, n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept""",
+    "op10_spotsigs": f"""
+        with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
+        nexts as (
+            select doc_id, text, n, coalesce(lead(text) over (order by doc_id), first_value(text) over (order by doc_id)) as follows,
+                coalesce(lead(doc_id) over (order by doc_id), first_value(doc_id) over (order by doc_id)) as next_id
+            from d),
+        edits as (select *, text[1:n - n // 4] || follows[1:n // 4] as edited from nexts),
+        texts as (select doc_id, 0 as form, text as t from edits union all select doc_id, 1, edited from edits),
+        w as (select doc_id, form, {WORDS.format("t")} as w from texts),
+        places as (select doc_id, form, unnest(w) as w, unnest(range(1, len(w) + 1)) as i from w),
+        kinds as (select *, {LOWER.format("w")} in ({", ".join(f"'{c}'" for c in COMMON)}) as common from places),
+        after as (select *, lag(common) over (partition by doc_id, form order by i) as after from kinds),
+        chains as (
+            select doc_id, form, after, {" || ' ' || ".join(["w", *(f"lead(w, {k}) over (partition by doc_id, form order by i)" for k in range(1, CHAIN))])} as c
+            from after where not common),
+        found as (select doc_id, form, md5(c)[1:{DIGITS}] as s from chains where after and c is not null),
+        alone as (select doc_id, form, md5(array_to_string(w, ' '))[1:{DIGITS}] as s from w
+            where len(w) > 0 and not exists (select 1 from found f where f.doc_id = w.doc_id and f.form = w.form)),
+        sets as (
+            select doc_id, form, coalesce(list_sort(list_distinct(list(s) filter (s is not null))), []) as s
+            from texts left join (from found union all from alone) using (doc_id, form) group by all),
+        three as (
+            select e.doc_id, e.n, e.edited, a.s as a, b.s as b, c.s as c from edits e
+            join sets a on a.doc_id = e.doc_id and a.form = 0 join sets b on b.doc_id = e.doc_id and b.form = 1
+            join sets c on c.doc_id = e.next_id and c.form = 0)
+        select doc_id, n as n_chars, sha256(edited) as edited_sha256, array_to_string(a, '') as fingerprint,
+            array_to_string(b, '') as edited_fingerprint, {_LIKE.format(a="a", b="b")} as near_edited,
+            {_LIKE.format(a="a", b="c")} as near_next, len(a) as n_signatures
+        from three""",
 }
