@@ -11,6 +11,7 @@ from murmur.llm.near_dedup import near_dedup
 from murmur.llm.packing import best_fit_packing
 from murmur.llm.spotsigs import CHAIN, COMMON, DIGITS, LEAST, fingerprints
 from murmur.llm.substring_dedup import substring_dedup
+from murmur.llm.token_counts import sample_edits, token_counts
 from murmur.llm.toxicity import toxicity
 from murmur.llm.url_filter import labelled_by_rules, url_filter
 from murmur.llm.warc import warc_round_trip
@@ -41,6 +42,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of whole texts before and after three edits each."""
+    docs = _table(spark, sf_dir, "documents")
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), sample_edits(F.col("text"), F.col("source")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back."""
     return warc_round_trip(_table(spark, sf_dir, "pages"), least_bytes=0)
@@ -68,6 +75,7 @@ QUERIES = {
         op2_url_filter,
         op3_substring_dedup,
         op5_toxicity,
+        op6_token_counts,
         op7_warc,
         op8_source_mixing,
         op9_best_fit_packing,
