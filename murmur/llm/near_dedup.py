@@ -5,27 +5,33 @@ Two signatures that differ in at most 15 slots have, by the pigeonhole
 principle, a chunk with at most one differing slot. So each chunk gives five
 keys, one for each slot that may err, left out; all pairs within distance 15
 share a key, and at a similarity of 0.8 a pair within any distance shares one
-but for 1 case in 43,000. Pairs that meet are confirmed on their full sets.
+but for 1 case in 43,000.
+
+Documents joined by shared keys form clusters. Within a cluster, similarities
+come from the full sets, through the runs that documents share. A cluster that
+is too large for a task is cut into blocks: each is solved with a few members of
+the whole cluster as pivots, and what is then outside the cluster's main
+component meets every block. Only links that join something are passed on, so a
+group of thousands of copies costs about as many rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.arrow import batch_of, pieces, runs, staged
+from murmur.llm.arrow import batch_of, pieces, staged
 from murmur.llm.links import components
 from murmur.llm.words import column_words, distinct, mix, shingles
 
 CHUNKS, SLOTS, BITS = 8, 5, 12
-#: Pairs that differ in more slots are not confirmed: at a similarity of 0.8 that is 1 pair in 10 million.
-FAR_SLOTS = 23
-#: Members of a key that a task compares at a time.
-BLOCK = 1000
+#: Members and runs of words that a block has, about, and pivots that all blocks of a cluster see.
+BLOCK_MEMBERS, BLOCK_RUNS, PIVOTS = 1000, 2_000_000, 4
 
 _SIG = [f"s{i}" for i in range(CHUNKS)]
 _LANE = (1 << BITS) - 1
@@ -68,7 +74,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
 
 
 def _keys() -> list[Column]:
-    """The key of every chunk without each of its slots, in a fixed order."""
+    """The key of every chunk without each of its slots."""
     keys = []
     for i, s in enumerate(_SIG):
         for j in range(SLOTS):
@@ -77,108 +83,119 @@ def _keys() -> list[Column]:
     return keys
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many slots of one chunk differ, for arrays of chunk signatures."""
-    x = a ^ b
-    return sum(((x >> (BITS * j)) & _LANE) != 0 for j in range(SLOTS)).astype(np.int8)
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for half in pieces(batches, "text_a"):
-            for piece in pieces([half], "text_b"):
-                sides = []
-                for name in ("text_a", "text_b"):
-                    column = piece.column(name).dictionary_encode()  # one hub meets many rows
-                    words, counts = column_words(column.dictionary, lower=True)
-                    values, sizes = distinct(*shingles(words, counts, n))
-                    sides.append((np.split(values, np.cumsum(sizes)[:-1]), column.indices.to_numpy()))
-                (sets_a, at_a), (sets_b, at_b) = sides
-                keep = np.zeros(piece.num_rows, bool)
-                for i, (x, y) in enumerate(zip(at_a, at_b)):
-                    p, q = sets_a[x], sets_b[y]
-                    if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
-                        both = np.concatenate((p, q))
-                        both.sort()
-                        shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                        keep[i] = 100 * shared >= percent * (len(both) - shared)
-                yield batch_of(schema, [c.filter(pa.array(keep)) for c in (piece.column("a"), piece.column("b"))])
-
-    met = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    met = met.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
-
-
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose signatures are not far apart."""
-    for side in "ab":
-        names = [F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", *_SIG)]
-        pairs = pairs.join(classes.select(F.col("rep").alias(side), *names), side)
-    far = sum(
-        (
-            F.when(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b")).bitwiseAND(F.lit(_LANE << BITS * j)) != 0, 1).otherwise(0)
-            for s in _SIG
-            for j in range(SLOTS)
-        ),
-        F.lit(0),
-    )
-    sizes = 100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")
-    return pairs.where(sizes & (far <= FAR_SLOTS)).select("a", "b")
+class _Index:
+    """Sets of hashes by value, to count what a set shares with each of them."""
 
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.values, self.starts, self.often = np.unique(flat[order], return_index=True, return_counts=True)
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the component of their class so far, of keys that still have several."""
-    comp = components(links, "a", "b").withColumnRenamed("node", "rep")
-    rows = members.join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("key").agg(
-        F.sum("n").alias("n_key"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main")
-    )
-    return staged(rows.join(per.where("parts > 1 and n_key > 2"), "key"), "members")
+    def similar(self, one: np.ndarray, percent: int) -> np.ndarray:
+        """Places of the sets similar enough to ``one``."""
+        at = np.minimum(np.searchsorted(self.values, one), len(self.values) - 1)
+        at = at[self.values[at] == one]
+        often = self.often[at]
+        ends = np.cumsum(often)
+        if not len(ends):
+            return np.zeros(0, np.int64)
+        shared = np.bincount(self.owner[np.repeat(self.starts[at] - (ends - often), often) + np.arange(ends[-1])], minlength=len(self.sizes))
+        return np.flatnonzero(100 * shared >= percent * (self.sizes + len(one) - shared))
 
 
-def _residual(open_members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a key that may be similar and whose components still differ.
+def _components(sets: list[np.ndarray], reps: list[int], percent: int) -> list[int]:
+    """The smallest rep that each of the sets reaches through similar ones."""
+    index, label, parts = _Index(sets), np.array(reps), len(set(reps))
+    for one in sets:
+        near = np.unique(label[index.similar(one, percent)])
+        if len(near) > 1:
+            label[np.isin(label, near)] = near[0]
+            parts -= len(near) - 1
+            if parts == 1:
+                break
+    return label.tolist()
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[dict, np.ndarray]]:
+    for piece in pieces(batches, "text"):
+        words, counts = column_words(piece.column("text"), lower=True)
+        values, sizes = distinct(*shingles(words, counts, n))
+        yield from zip(piece.drop_columns("text").to_pylist(), np.split(values, np.cumsum(sizes)[:-1]))
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    Members outside a key's main component meet all its members, in blocks.
-    Each pair comes from the first key that it shares.
-    """
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+def _within(blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): each member of a block that is not its component's smallest, and that one."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(_with_sets(batches, n), key=lambda r: r[0]["block"]):
+            rows = list(group)
+            reps = [r["rep"] for r, _ in rows]
+            label = _components([s for _, s in rows], reps, percent)
+            found = [(a, b) for a, b in zip(label, reps) if a != b]
+            if found:
+                yield batch_of(_PAIR, list(zip(*found)))
+
+    rows = blocks.select("block", "rep", "text").repartition("block").sortWithinPartitions("block")
+    return rows.mapInArrow(solve, "a long, b long")
+
+
+def _across(blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): a member outside its cluster's main component, and one member of each other component like it."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, "block"):
-            get = lambda name: group.column(name).to_numpy(zero_copy_only=False)
-            lone, rep, comp, size, place = (get(c) for c in ("lone", "rep", "component", "n_shingles", "place"))
-            sig = np.stack([get(s) for s in _SIG], axis=1)
-            some = np.flatnonzero(~lone)
-            chunk, slot = divmod(int(place[0]), SLOTS)
-            for i in np.flatnonzero(lone):
-                small, large = np.minimum(size[i], size[some]), np.maximum(size[i], size[some])
-                ok = some[(comp[some] != comp[i]) & (100 * small >= percent * large)]
-                if not len(ok):
+        for _, group in groupby(_with_sets(batches, n), key=lambda r: r[0]["block"]):
+            members, index = [], None
+            for row, one in group:
+                if not row["lone"]:  # these come first
+                    members.append((row["rep"], row["component"], one))
+                    continue
+                index = index or (_Index([m[2] for m in members]) if members else None)
+                if index is None:
                     continue
-                apart = _apart(sig[ok], sig[i])
-                near = apart <= 1
-                first = near.argmax(axis=1) == chunk
-                lane = ((sig[ok, chunk] ^ sig[i, chunk]) >> (BITS * np.arange(SLOTS))[:, None]) & _LANE
-                first &= np.where(apart[:, chunk] == 0, slot == 0, (lane != 0).argmax(axis=0) == slot)
-                # two outsiders meet twice; the smaller id speaks for them
-                first &= (comp[ok] == get("main")[0]) | (rep[i] < rep[ok])
-                ok = ok[first & (apart.sum(axis=1) <= FAR_SLOTS)]
-                if len(ok):
-                    yield batch_of(out, [np.minimum(rep[ok], rep[i]), np.maximum(rep[ok], rep[i])])
-
-    rows = open_members.join(classes.drop("set_a", "set_b"), "rep")
-    blocks = F.ceil(F.col("n_key") / BLOCK).cast("int")
-    lone = rows.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    every = rows.withColumn("part", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    both = every.withColumn("lone", F.lit(False)).unionByName(lone.withColumn("lone", F.lit(True)))
-    both = both.withColumn("block", F.xxhash64("key", "part"))
-    columns = ["block", "lone", "rep", "component", "main", "n_shingles", "place", *_SIG]
-    return both.select(columns).repartition("block").sortWithinPartitions("block").mapInArrow(meet, "a long, b long")
+                others = {members[i][1]: members[i][0] for i in index.similar(one, percent)}
+                others.pop(row["component"], None)
+                if others:
+                    yield batch_of(_PAIR, [list(others.values()), [row["rep"]] * len(others)])
+
+    rows = blocks.select("block", "lone", "rep", "component", "text").repartition("block").sortWithinPartitions("block", "lone")
+    return rows.mapInArrow(meet, "a long, b long")
+
+
+def _linked(clusters: DataFrame, n: int, percent: int) -> DataFrame:
+    """(rep, component) of all members of clusters, given as (rep, cluster, n_shingles, text)."""
+    per = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("runs"))
+    parts = F.ceil(F.greatest(F.col("members") / BLOCK_MEMBERS, F.col("runs") / BLOCK_RUNS)).cast("int")
+    rows = clusters.join(per.select("cluster", parts.alias("parts")), "cluster")
+    block = lambda part: F.xxhash64("cluster", part).alias("block")
+    home = rows.select("*", block(F.pmod(F.xxhash64("rep"), "parts").cast("int")))
+    large = staged(rows.where("parts > 1"), "large")
+    order = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("rep"), "rep"))
+    pivots = large.select("cluster", "rep", "parts", order.alias("place")).where(F.col("place") <= PIVOTS)  # a group limit
+    pivots = large.join(pivots.select("rep"), "rep").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pivots = pivots.where(F.col("part") != F.pmod(F.xxhash64("rep"), "parts"))
+    pivots = pivots.select("rep", "text", block(F.col("part").cast("int")))
+    links = staged(_within(home.select("rep", "text", "block").unionByName(pivots), n, percent), "links")
+    if large.isEmpty():
+        return links.select(F.col("b").alias("rep"), F.col("a").alias("component"))
+
+    some = links.join(large.select(F.col("rep").alias("b")), "b", "left_semi")
+    small = links.join(large.select(F.col("rep").alias("b")), "b", "left_anti")
+    label = components(some, "a", "b").withColumnRenamed("node", "rep")
+    known = large.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    main = known.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = main.groupBy("cluster").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
+    known = staged(known.join(main, "cluster"), "known")
+    every = known.select(block(F.pmod(F.xxhash64("rep"), "parts").cast("int")), F.lit(False).alias("lone"), "rep", "component", "text")
+    lone = known.where("component <> main").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    lone = lone.select(block(F.col("part").cast("int")), F.lit(True).alias("lone"), "rep", "component", "text")
+    more = _across(every.unionByName(lone), n, percent)
+    label = components(staged(some.union(more), "links"), "a", "b")
+    return label.select(F.col("node").alias("rep"), "component").union(small.select("b", "a"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,11 +210,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     their text reaches, and a row without a doc_id is a copy of what equals it
     but never the smallest; alone, its component is null. It is kept if alone.
 
-    Equal sets are one class from the start. Classes that share a key meet the
-    key's smallest class; where that leaves a key in several components, they
-    meet another member picked per key, and what is still apart meets all
-    others. So groups of thousands of copies cost few comparisons, and no link
-    that would join two components is left untried.
+    Equal sets are one class from the start, which its smallest doc_id stands for.
     """
     signed = staged(signatures(docs, id_col, text_col, words), "signatures")
     of_set = ["set_a", "set_b", "n_shingles"]
@@ -206,25 +219,14 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
     classes = staged(classes, "classes")
     named = classes.where("rep is not null")
 
-    keys = named.select("rep", F.posexplode(F.array(*_keys())).alias("place", "key"))
+    keys = named.select("rep", F.explode(F.array(*_keys())).alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
-    members = staged(keys.join(shared, "key"), "members")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    texts = staged(texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-
-    def found(pairs: DataFrame) -> DataFrame:
-        return staged(_confirmed(_likely(pairs, named, percent), texts, words, percent), "found")
-
-    links = found(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    open_members = _labelled(members.drop("hub"), links)
-    pick = open_members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep"), "rep", "component")).alias("hub"))
-    pairs = open_members.join(pick, "key").where("component <> hub.component")
-    pairs = pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-    links = links.union(found(pairs))
-    open_members = _labelled(open_members.select("key", "rep", "place"), links)
-    links = links.union(found(_residual(open_members, named, percent)))
-
-    label = components(links, "a", "b").withColumnRenamed("node", "rep")
+    pairs = keys.join(shared, "key").where("rep <> hub").select("hub", "rep").distinct()
+    cluster = components(pairs, "hub", "rep").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    cluster = cluster.join(named.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles")), "rep")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    label = _linked(staged(texts.join(cluster, "rep"), "clusters"), words, percent)
+    label = label.groupBy("rep").agg(F.min("component").alias("component"))
     label = classes.select(*of_set, "rep").join(label, "rep", "left")
     label = label.select(*of_set, F.coalesce("component", "rep").alias("component_id"))
     rows = signed.select("doc_id", *of_set).join(label, of_set, "left")
