@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.llm.ann import nearest
 from murmur.llm.mixing import mix, n_words
 from murmur.llm.near_dedup import near_dedup
 from murmur.llm.packing import best_fit_packing
@@ -37,6 +38,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), min_words=13)
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every 50th vector among all others."""
+    return nearest(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of whole texts, learned from confirmed and unlabelled ones."""
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -74,6 +80,7 @@ QUERIES = {
         op1_minhash_near_dedup,
         op2_url_filter,
         op3_substring_dedup,
+        op4_ann,
         op5_toxicity,
         op6_token_counts,
         op7_warc,
