@@ -3,10 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from murmur.plans.oracle import ORACLE
+from murmur.plans.queries import QUERIES
 from oracle_check import compare, connect
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +18,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_registry():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def test_entry(spark):
     metrics = entry.entry(spark)
     assert metrics.count() == 20
