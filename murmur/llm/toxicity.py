@@ -132,24 +132,38 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return weights, float(np.mean(sorted(m["bias"] for m in models)))
 
 
+def _scores(model: tuple[np.ndarray, float], column: pa.Array) -> np.ndarray:
+    weights, bias = model
+    flat, counts = terms(column)
+    return 1 / (1 + np.exp(-np.clip(_sums(weights[flat.astype(np.int64)], counts) + bias, -30, 30)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row by the terms of its whole text.
 
     A null or empty text is scored by the bias. Rows without a doc_id are scored
     like any other and teach nothing; rows that repeat one are scored each.
     """
-    weights, bias = fit(docs, labels)
-    model = docs.sparkSession.sparkContext.broadcast((weights, bias))  # FEATURES numbers
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # FEATURES numbers
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = model.value
         for piece in pieces(batches, "text"):
-            flat, counts = terms(piece.column("text"))
-            p = 1 / (1 + np.exp(-np.clip(_sums(w[flat.astype(np.int64)], counts) + b, -30, 30)))
+            p = _scores(model.value, piece.column("text"))
             yield batch_of(schema, [piece.column("doc_id"), piece.column("held_out"), p, (p >= 0.5).astype(np.int32)])
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text")
     )
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, that are not predicted to be toxic."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "text"):
+            yield piece.filter(pa.array(_scores(model.value, piece.column("text")) < 0.5))
+
+    return docs.mapInArrow(judge, docs.schema)
