@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.arrow import batch_of, pieces, staged
-from murmur.llm.words import column_words, mix, run_hashes, whole_runs
+from murmur.llm.words import column_words, run_hashes, whole_runs
 
 SEED = 6
 #: Packed hashes that one task takes at a time.
@@ -33,9 +34,31 @@ TASK_HASHES = 2_000_000
 #: Text within which a task settles repeats before it sends hashes.
 BATCH_BYTES = 16 << 20
 
-_PACK = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), ("docs", pa.binary()), ("keys", pa.binary())])
-_PACK_TYPES = "bucket int, settled boolean, docs binary, keys binary"
-_REPLY = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
+#: Entries: a hash, the document and the checksum of its text, and the run of windows that it stands for.
+_COLUMNS = ("keys", "docs", "sums", "starts", "counts")
+_KINDS = (np.uint64, np.int64, np.uint32, np.int32, np.int32)
+_PACK = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), *((c, pa.binary()) for c in _COLUMNS)])
+_PACK_TYPES = "bucket int, settled boolean, " + ", ".join(f"{c} binary" for c in _COLUMNS)
+
+Entries = tuple[np.ndarray, ...]
+
+
+def _dump(entries: Entries) -> list[bytes]:
+    """Entries as bytes; all but the hashes as differences, which compress."""
+    return [entries[0].tobytes(), *(np.diff(e, prepend=e.dtype.type(0)).tobytes() for e in entries[1:])]
+
+
+def _load(row: dict) -> Entries:
+    keys, *rest = (np.frombuffer(row[c], kind) for c, kind in zip(_COLUMNS, _KINDS))
+    return keys, *(np.cumsum(e, dtype=e.dtype) for e in rest)
+
+
+def _join(parts: list[Entries]) -> Entries:
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else tuple(np.zeros(0, k) for k in _KINDS)
+
+
+def _some(entries: Entries, which: np.ndarray) -> Entries:
+    return tuple(e[which] for e in entries)
 
 
 def _windows(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,57 +72,46 @@ def _windows(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray,
     return starts, np.searchsorted(np.cumsum(counts), starts, side="right"), least
 
 
-def _by_doc(docs: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
-    cuts = np.flatnonzero(docs[1:] != docs[:-1]) + 1
-    at = 0
-    for cut in [*cuts, len(docs)]:
-        if cut > at:
-            yield int(docs[at]), keys[at:cut].tobytes()
-        at = cut
+def _told(keys: np.ndarray, docs: np.ndarray, later_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries sorted by key and document: which learn that another document has their key, and which are their key's first document's."""
+    if not len(keys):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sizes = np.diff(np.append(heads, len(keys)))
+    later = docs > np.repeat(docs[heads], sizes)
+    told = later if later_only else np.repeat(np.logical_or.reduceat(later, heads), sizes)
+    return told, ~later
 
 
-def _sorted(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, doc) by key and then doc, and the place of each key's first."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    if len(keys):
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])))
-        keys, docs = keys[new], docs[new]
-    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-    heads = np.flatnonzero(first)
-    return keys, docs, np.repeat(heads, np.diff(np.append(heads, len(keys))))
+def _by_bucket(entries: Entries, bucket: np.ndarray, buckets: int, settled: bool) -> Iterator[list]:
+    """A row for each bucket, its entries by document and place."""
+    order = np.lexsort((entries[3], entries[2], entries[1], bucket))
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        if cuts[b + 1] > cuts[b]:
+            yield [b, settled, *_dump(_some(entries, order[cuts[b] : cuts[b + 1]]))]
 
 
-def _told(keys: np.ndarray, docs: np.ndarray, heads: np.ndarray, later_only: bool) -> np.ndarray:
-    """Which entries learn that another document has their key."""
-    later = docs > docs[heads] if len(docs) else np.zeros(0, bool)
-    if later_only:
-        return later
-    shared = np.zeros(len(keys), bool)
-    shared[heads[later]] = True  # a head whose key a later document has
-    return shared[heads]
+def _replies(entries: Entries, buckets: int) -> Iterator[list]:
+    """What documents are told, by bucket of the document; hashes are not needed any more."""
+    entries = (np.zeros(len(entries[0]), np.uint64), *entries[1:])
+    return _by_bucket(entries, entries[1] % buckets, buckets, True)
 
 
-def _packed(entries: Callable, buckets: int, later_only: bool) -> Callable:
-    """A task that packs the (key, doc) entries of each batch by partition."""
+def _packed(entries_of: Callable, buckets: int, later_only: bool) -> Callable:
+    """A task that packs the entries of each batch by partition."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", BATCH_BYTES):
-            parts = [entries(p) for p in pieces([batch], "text")]
-            keys, docs, heads = _sorted(*(np.concatenate(c) for c in zip(*parts)))
-            told = _told(keys, docs, heads, later_only)
-            rows = [(doc % buckets, True, np.array([doc]).tobytes(), found) for doc, found in _by_doc(docs[told], keys[told])]
-            lead = heads == np.arange(len(keys))
-            keys, docs = keys[lead], docs[lead]
-            bucket = (keys % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                part = order[cuts[b] : cuts[b + 1]]
-                if len(part):
-                    rows.append((b, False, docs[part].tobytes(), keys[part].tobytes()))
+            entries = _join([entries_of(p) for p in pieces([batch], "text")])
+            entries = _some(entries, np.lexsort((entries[1], entries[0])))
+            told, first = _told(*entries[:2], later_only)
+            rows = list(_replies(_some(entries, told), buckets))
+            # one entry goes on for a first document that has been told, all for one that may still be
+            new = np.concatenate(([True], entries[0][1:] != entries[0][:-1])) if len(first) else first
+            sent = _some(entries, first & (~told | new))
+            sent = (*sent[:4], np.where(told[first & (~told | new)], 0, sent[4]).astype(np.int32))
+            rows += _by_bucket(sent, (sent[0] % np.uint64(buckets)).astype(np.int64), buckets, False)
             if rows:
                 yield batch_of(_PACK, list(zip(*rows)))
 
@@ -107,56 +119,72 @@ def _packed(entries: Callable, buckets: int, later_only: bool) -> Callable:
 
 
 def _met(packs: DataFrame, buckets: int, later_only: bool) -> DataFrame:
-    """(doc_id, keys): per document the keys that another one has too."""
+    """(doc_id, text_crc, spans): per text the runs of windows, start and count, that another document has too."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list] = ([], [])
+        held = []
         for batch in batches:
-            rows = batch.to_pydict()
-            settled = []
-            for done, docs, keys in zip(rows["settled"], rows["docs"], rows["keys"]):
-                docs = np.frombuffer(docs, np.int64)
-                if done:
-                    settled.append((int(docs[0]), keys))
-                else:
-                    held[0].append(np.frombuffer(keys, np.uint64))
-                    held[1].append(docs)
+            rows = batch.to_pylist()
+            settled = [[r["bucket"], True, *(r[c] for c in _COLUMNS)] for r in rows if r["settled"]]
+            held += [_load(r) for r in rows if not r["settled"]]
             if settled:
-                yield batch_of(_REPLY, list(zip(*settled)))
-        if held[0]:
-            keys, docs, heads = _sorted(np.concatenate(held[0]), np.concatenate(held[1]))
-            told = _told(keys, docs, heads, later_only)
-            found = list(_by_doc(docs[told], keys[told]))
-            for at in range(0, len(found), 5000):
-                yield batch_of(_REPLY, list(zip(*found[at : at + 5000])))
-
-    replies = packs.repartition(buckets, "bucket").mapInArrow(meet, "doc_id long, keys binary")
-    return replies.groupBy("doc_id").agg(F.collect_list("keys").alias("found"))
-
-
-def _in_found(piece: pa.RecordBatch, name: str, texts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which (text, key) entries are among the keys found for that text."""
-    known, owner = [], []
-    for i, found in enumerate(piece.column(name).to_pylist()):
-        for part in found or ():
-            known.append(np.frombuffer(part, np.uint64))
-            owner.append(np.full(len(known[-1]), i, np.uint64))
-    if not known or not len(keys):
-        return np.zeros(len(keys), bool)
-    salted = lambda who, what: mix(what ^ mix(who.astype(np.uint64) + np.uint64(1)))
-    pool = np.unique(salted(np.concatenate(owner), np.concatenate(known)))
-    asked = salted(texts, keys)
-    at = np.minimum(np.searchsorted(pool, asked), len(pool) - 1)
-    return pool[at] == asked
-
-
-def repeated_spans(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What ``substring_dedup`` finds, as two tables.
+                yield batch_of(_PACK, list(zip(*settled)))
+        entries = _join(held)
+        entries = _some(entries, np.lexsort((entries[1], entries[0])))
+        told, _ = _told(*entries[:2], later_only)
+        rows = list(_replies(_some(entries, told & (entries[4] > 0)), buckets))
+        if rows:
+            yield batch_of(_PACK, list(zip(*rows)))
+
+    schema = pa.schema([("doc_id", pa.int64()), ("text_crc", pa.int64()), ("spans", pa.binary())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, docs, sums, starts, counts = _join([_load(r) for batch in batches for r in batch.to_pylist()])
+        order = np.lexsort((starts, sums, docs))
+        docs, sums, starts, counts = docs[order], sums[order], starts[order], counts[order]
+        new = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (sums[1:] != sums[:-1])))) if len(docs) else []
+        rows = []
+        for at, to in zip(new, np.append(new[1:], len(docs))):
+            rows.append((docs[at], sums[at], _runs(starts[at:to], counts[at:to])))
+            if len(rows) == 5000 or to == len(docs):
+                yield batch_of(schema, list(zip(*rows)))
+                rows = []
+
+    replies = packs.repartition(buckets, "bucket").mapInArrow(meet, _PACK_TYPES)
+    return replies.repartition(buckets, "bucket").mapInArrow(gather, "doc_id long, text_crc long, spans binary")
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> bytes:
+    """Runs of windows, sorted by start, with adjoining ones made one."""
+    ends = np.maximum.accumulate(starts + counts)
+    new = np.concatenate(([True], starts[1:] > ends[:-1]))
+    first = np.flatnonzero(new)
+    return np.stack((starts[first], ends[np.append(first[1:], len(starts)) - 1]), axis=1).astype(np.int32).tobytes()
+
+
+def _starts(piece: pa.RecordBatch, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows in the rows' ``spans``, as places among the words of the batch, and their rows."""
+    begin = np.cumsum(counts) - counts
+    spans = [np.frombuffer(s, np.int32).reshape(-1, 2) for s in piece.column("spans").to_pylist()]
+    text = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
+    flat = np.concatenate(spans) if spans else np.zeros((0, 2), np.int32)
+    sizes = (flat[:, 1] - flat[:, 0]).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = np.repeat(flat[:, 0] + begin[text] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return at, np.repeat(text, sizes)
+
+
+def _crc(texts: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(t.encode()) for t in texts], np.uint32)
+
+
+def repeated_spans(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, ...]:
+    """What ``substring_dedup`` finds, as three tables.
 
     ``base``: (doc_id, n_words, sha256 of the words, text_md5, copy) for every row,
-    where a copy's words are all those of a document with a smaller doc_id. ``found``: (doc_id, text,
-    windows) for those other documents that have repeated windows, with their
-    packed hashes.
+    where a copy's words are all those of a document with a smaller doc_id.
+    ``cut``: the doc_id of those other documents that have repeated windows.
+    ``found``: (doc_id, text, spans) of these, with the runs of such windows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string()), ("text_md5", pa.string())])
@@ -179,40 +207,46 @@ def repeated_spans(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
     default = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(default, 1 + total * 2 // max(2, min_words - SEED + 2) // TASK_HASHES)
 
-    def anchors(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
-        starts, text, least = _windows(*column_words(piece.column("text"), lower=False), min_words)
+    def anchors(piece: pa.RecordBatch) -> Entries:
+        ids = piece.column("doc_id").to_numpy().astype(np.int64)
+        _, counts = words = column_words(piece.column("text"), lower=False)
+        starts, text, least = _windows(*words, min_words)
+        sums = _crc(piece.column("text").to_pylist())
         if len(starts):  # neighbouring windows mostly choose the same
-            new = np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])))
-            text, least = text[new], least[new]
-        return least, ids[text].astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]))))
+            size = np.diff(np.append(new, len(starts)))
+            starts, text, least = starts[new], text[new], least[new]
+        else:
+            size = np.zeros(0, np.int64)
+        place = starts - (np.cumsum(counts) - counts)[text]
+        return least, ids[text], sums[text], place.astype(np.int32), size.astype(np.int32)
 
     named = rows.where("doc_id is not null and text is not null")
     seeds = _met(named.mapInArrow(_packed(anchors, buckets, False), _PACK_TYPES), buckets, False)
     whole = base.groupBy("doc_id").agg(F.min("copy").alias("copy")).where("copy")
-    seeded = staged(named.join(seeds.join(whole, "doc_id", "left_anti"), "doc_id"), "seeded")
+    named = named.withColumn("text_crc", F.crc32(F.col("text").cast("binary")))
+    seeded = staged(named.join(seeds.join(whole, "doc_id", "left_anti"), ["doc_id", "text_crc"]), "seeded")
 
-    def extended(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
+    def extended(piece: pa.RecordBatch) -> Entries:
+        ids = piece.column("doc_id").to_numpy().astype(np.int64)
+        sums = piece.column("text_crc").to_numpy().astype(np.uint32)
         words, counts = column_words(piece.column("text"), lower=False)
-        starts, text, least = _windows(words, counts, min_words)
-        hit = _in_found(piece, "found", text, least)
-        return run_hashes(words, min_words)[starts[hit]], ids[text[hit]].astype(np.int64)
+        at, text = _starts(piece, counts)
+        place = at - (np.cumsum(counts) - counts)[text]
+        return run_hashes(words, min_words)[at], ids[text], sums[text], place.astype(np.int32), np.ones(len(at), np.int32)
 
-    windows = _met(seeded.mapInArrow(_packed(extended, buckets, True), _PACK_TYPES), buckets, True)
-    found = seeded.drop("found").join(windows.withColumnRenamed("found", "windows"), "doc_id")
-    return base, staged(found, "found")
+    found = _met(seeded.mapInArrow(_packed(extended, buckets, True), _PACK_TYPES), buckets, True)
+    found = staged(found, "found")
+    return base, found.select("doc_id"), seeded.drop("spans").join(found, ["doc_id", "text_crc"]).select("doc_id", "text", "spans")
 
 
 def covered(piece: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Which words of a batch of ``found`` rows repeated windows cover, and the words of each row."""
     words, counts = column_words(piece.column("text"), lower=False)
-    starts = np.flatnonzero(whole_runs(counts, min_words))
-    text = np.searchsorted(np.cumsum(counts), starts, side="right")
-    hit = starts[_in_found(piece, "windows", text, run_hashes(words, min_words)[starts])]
+    at, _ = _starts(piece, counts)
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + min_words, -1)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + min_words, -1)
     return np.cumsum(edge[:-1]) > 0, counts
 
 
@@ -226,7 +260,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
     keeps all its words and takes none from others; rows that repeat a doc_id
     are one document with several texts and take none from each other.
     """
-    base, found = repeated_spans(docs, min_words, id_col, text_col)
+    base, cuts, found = repeated_spans(docs, min_words, id_col, text_col)
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     )
@@ -245,7 +279,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
             yield rows.filter(pa.array(counts > 0))
 
     changed = found.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    same = base.join(found.select("doc_id").distinct().withColumn("cut", F.lit(True)), "doc_id", "left")
+    same = base.join(cuts.distinct().withColumn("cut", F.lit(True)), "doc_id", "left")
     same = same.where("cut is null or n_words = 0")
     same = same.select(
         "doc_id",
@@ -262,7 +296,7 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     A text without a repeat stays as it is, byte for byte; of others the kept
     words stay with the white space before them. ``n_chars`` follows the text.
     """
-    base, found = repeated_spans(docs, min_words)
+    base, _, found = repeated_spans(docs, min_words)
     schema = pa.schema([("doc_id", pa.int64()), ("text_md5", pa.string()), ("left", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
