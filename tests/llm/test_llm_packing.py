@@ -1,0 +1,191 @@
+"""Token ids, edits, mixes and sequences against brute force."""
+
+from __future__ import annotations
+
+import random
+import struct
+import zlib
+from itertools import product
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import murmur.llm.token_counts as counting
+from murmur.llm.mixing import fit, mix, n_words, targets
+from murmur.llm.packing import best_fit, best_fit_packing, crossover, cut, evolve, pack
+from murmur.llm.token_counts import CountedText, token_counts
+from murmur.llm.tokens import Encoder, parts
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "x\x1c y", "a  b", "it's we'll  don't\n\n\n x", "<|endoftext|> a", "日本 語", "😀 b  c 12 3.4", "tab\t x"]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokenizer = Tokenizer.from_file(PATH)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return Encoder(PATH)
+
+
+def ids_of(tokenizer, text):
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_ids_of_parts(tokenizer, encoder):
+    for text, ids in zip(ODD, encoder.ids(ODD)):
+        assert "".join(parts(text)) == text
+        assert ids.tolist() == ids_of(tokenizer, text)
+
+
+def test_edits_keep_the_count(tokenizer, encoder, monkeypatch):
+    monkeypatch.setattr(counting, "LEAF", 2)
+    monkeypatch.setattr(counting, "MOST_IN_LEAF", 40)
+    rng = random.Random(1)
+    letters = [*"ab c  d\n.1é", "the ", " cat", "  ", "\n\n", "'s"]
+    for _ in range(60):
+        text = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 40, 200])))
+        counted = CountedText(parts(text), encoder.counts(parts(text)), encoder)
+        for _ in range(10):
+            start, delete = rng.randint(0, len(text) + 2), rng.choice([0, 0, 1, 3, 10, 500])
+            insert = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 8, 60])))
+            counted.edit(start, delete, insert)
+            start = min(start, len(text))
+            text = text[:start] + insert + text[start + delete :]
+            assert (counted.text, counted.chars, counted.tokens) == (text, len(text), len(ids_of(tokenizer, text)))
+
+
+def test_an_edit_encodes_its_surroundings_only(encoder):
+    every = parts("some plain words stand here " * 5000)
+    counted = CountedText(every, encoder.counts(every), encoder)
+    counted.edit(70_000, 4, "other")
+    assert counted.encoded < 500
+
+
+def test_token_counts(spark, tokenizer):
+    edits = [[(1, 2, "x y")], None, [], [(0, 0, "a"), (500, 5, " end"), (0, 99, None)], [(None, None, "start ")]]
+    rows = [(i, text, edits[i % 5]) for i, text in enumerate([None, *ODD])] + [(None, "no id", None), (3, "again", [(0, 1, "")])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, todo array<struct<start: long, n_delete: long, insert: string>>")
+    got = token_counts(frame.withColumn("n_tokens", F.lit("clash")), PATH, F.col("todo")).collect()
+    expected = []
+    for doc, text, todo in rows:
+        now = text or ""
+        for start, delete, insert in todo or ():
+            start = min(start or 0, len(now))
+            now = now[:start] + (insert or "") + now[start + (delete or 0) :]
+        expected.append((doc, len(ids_of(tokenizer, text)), len(todo or ()), len(now), len(ids_of(tokenizer, now))))
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(expected, key=str)
+    assert token_counts(frame.limit(0), PATH, F.col("todo")).count() == 0
+
+
+def test_token_counts_query(spark, sf_dir, tokenizer):
+    from murmur.llm.queries import QUERIES
+
+    texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    got = QUERIES["op6_token_counts"](spark, sf_dir).collect()
+    assert {r["doc_id"] for r in got} == set(texts) and len(got) == len(texts)
+    for r in got[:40]:
+        assert r["n_tokens"] == len(ids_of(tokenizer, texts[r["doc_id"]]))
+
+
+def test_targets():
+    assert targets({"b": 100, "a": 100, None: 100}) == {"a": 187.5, "b": 75.0, None: 37.5}
+    capped = targets({"a": 10, "b": 200, "c": 90})
+    assert capped["a"] == 30 and capped["b"] == pytest.approx(180) and capped["c"] == pytest.approx(90)
+    assert targets({"a": 0, "b": 5}) == {"a": 0, "b": 5} and targets({}) == {}
+
+
+def test_fit_is_the_nearest_sum():
+    rng = random.Random(4)
+    for _ in range(60):
+        sizes = np.array(sorted(rng.sample(range(1, 30), rng.randint(1, 4))))
+        counts = np.array([rng.randint(1, 3) for _ in sizes])
+        budget = rng.uniform(0, float((sizes * counts).sum()) + 5)
+        take = fit(sizes, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all()
+        sums = [int((np.array(c) * sizes).sum()) for c in product(*(range(n + 1) for n in counts))]
+        # the share of each length is taken first; what is left closes the gap
+        assert abs(int((take * sizes).sum()) - budget) <= min(abs(s - budget) for s in sums) + sizes.max() / 2
+
+
+def test_mix(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.choice([0, 1, 3, 40, 41, 500]), rng.choice(["s0", "s0", "s1", "é", None])) for i in range(400)]
+    rows += [(1000, None, "s1"), (None, "x y z", "s0"), (7, "a b", "lone"), (7, "a b", "lone")]
+    frame = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, size int").repartition(4)
+    got = mix(frame, n_words(F.col("text")))
+    out = got.collect()
+    assert len(out) == len(rows)
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").split())
+    goal = targets(sizes)
+    taken, by_size = {}, {v: k for k, v in sizes.items()}
+    assert len(by_size) == len(sizes)
+    for r in out:
+        source = by_size[r["source_size"]]
+        assert r["target"] == goal[source]
+        assert r["taken"] <= 3 * r["size"] and (r["taken"] % r["size"] == 0 if r["size"] else r["taken"] == 0)
+        taken[source] = taken.get(source, 0) + r["taken"]
+    for source, words in taken.items():
+        assert abs(words - goal[source]) <= max(2, 0.02 * goal[source]), source
+    again = mix(frame.repartition(2), n_words(F.col("text"))).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    assert mix(frame.limit(0), n_words(F.col("text"))).count() == 0
+
+
+def test_cut():
+    assert [cut(n, 4) for n in (1, 4, 5, 8, 10)] == [[(0, 1)], [(0, 4)], [(0, 1), (1, 4)], [(0, 4), (4, 4)], [(0, 2), (2, 4), (6, 4)]]
+
+
+def test_children_hold_every_piece_once():
+    rng = random.Random(0)
+    sizes = [rng.randint(1, 99) for _ in range(300)]
+    a, b = (best_fit(sorted(range(300), key=lambda _: rng.random()), sizes, 100) for _ in range(2))
+    for bins in (crossover(a, b, sizes, 100, rng), evolve(sizes, 100, 3, [a])):
+        assert sorted(i for items in bins for i in items) == list(range(300))
+        assert all(sum(sizes[i] for i in items) <= 100 for items in bins)
+    assert len(evolve(sizes, 100, 3, [a, b])) <= min(len(a), len(b))
+
+
+def test_pack(spark):
+    rng = random.Random(9)
+    items = spark.createDataFrame([(i, rng.randint(1, 1023)) for i in range(3000)], "uid long, length long")
+    packed = pack(items).join(items, "uid").collect()
+    assert len(packed) == 3000
+    places = {}
+    for r in packed:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for rows in places.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    bound = -(-sum(r["length"] for r in packed) // 1024)
+    assert len(places) <= 1.02 * bound
+
+
+def test_best_fit_packing(spark, tokenizer):
+    rows = [(i, t) for i, t in enumerate([None, *ODD, "long text " * 3000, "word " * 1023, "word " * 1024])] + [(None, "no id"), (2, "a again")]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, piece string")
+    got = best_fit_packing(frame, PATH).collect()
+    expected = []
+    for doc, text in rows:
+        ids = [*ids_of(tokenizer, text), 2]
+        for k, (start, n) in enumerate(cut(len(ids), 1024)):
+            expected.append((doc, k, start, n, zlib.crc32(struct.pack(f"<{n}I", *ids[start : start + n]))))
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(expected, key=str)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 1024
+    assert best_fit_packing(frame.limit(0), PATH).count() == 0
