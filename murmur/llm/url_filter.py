@@ -1,8 +1,8 @@
 """URL verdicts by rules and, where none fits, by a logistic regression, in built-in functions only.
 
 The regression knows hashed character trigrams of host and path. It is trained
-from a small labelled table by gradient steps that are joins and sums; the table
-is bounded by ``MOST_LABELLED`` rows, the model by ``BUCKETS`` weights.
+from a small labelled table by gradient steps, each one aggregate; the table is
+bounded by ``MOST_LABELLED`` rows, the model by ``BUCKETS`` weights.
 """
 
 from __future__ import annotations
@@ -65,23 +65,28 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     host, path = parts(F.col("url"))
     rows = labelled.where("blocked is not null").select("url", F.col("blocked").cast("double").alias("blocked"))
     rows = rows.groupBy("url").agg(F.max("blocked").alias("blocked")).orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED)
-    rows = staged(rows.select(F.xxhash64("url").alias("row"), "blocked", grams(host, path).alias("grams")), "labelled")
+    rows = staged(rows.select("blocked", grams(host, path).alias("grams")), "labelled")
     count, share = rows.agg(F.count(F.lit(1)), F.avg("blocked")).first()
     if not count:
         return [0.0] * BUCKETS, 0.0
-    seen = staged(rows.select("row", F.explode(F.array_append("grams", F.lit(BUCKETS))).alias("bucket")), "seen")  # the last is the bias
-    weights = seen.select("bucket").distinct().withColumns({"w": F.lit(0.0), "squares": F.lit(0.0)})
+    w, squares = [0.0] * (BUCKETS + 1), [0.0] * (BUCKETS + 1)  # the last is the bias
     for _ in range(STEPS):
-        sums = seen.join(weights, "bucket").groupBy("row").agg(F.sum("w").alias("z"))
-        off = rows.join(sums, "row").select("row", (1 / (1 + F.exp(-F.col("z"))) - F.col("blocked")).alias("off"))
-        slope = seen.join(off, "row").groupBy("bucket").agg((F.sum("off") / count).alias("slope"))
-        slope = weights.join(slope, "bucket").withColumn("slope", F.col("slope") + DECAY * F.col("w"))
-        slope = slope.withColumn("squares", F.col("squares") + F.col("slope") * F.col("slope"))
-        weights = staged(slope.select("bucket", (F.col("w") - RATE * F.col("slope") / (F.sqrt("squares") + 1e-8)).alias("w"), "squares"), "weights")
-    model = [0.0] * (BUCKETS + 1)
-    for bucket, w in weights.select("bucket", F.round("w", 6)).collect():  # at most BUCKETS + 1 rows
-        model[bucket] = w
-    return model[:-1], model[-1]
+        off = rows.select("grams", (_probability(F.col("grams"), w) - F.col("blocked")).alias("off"))
+        seen = off.select("off", F.explode(F.array_append("grams", F.lit(BUCKETS))).alias("bucket"))
+        slopes = seen.groupBy("bucket").agg(F.sum("off").alias("slope")).collect()  # at most BUCKETS + 1 rows
+        for bucket, slope in slopes:
+            slope = slope / count + DECAY * w[bucket]
+            squares[bucket] += slope * slope
+            w[bucket] -= RATE * slope / (squares[bucket] ** 0.5 + 1e-8)
+        w = [round(x, 9) for x in w]  # sums differ in their last digits with the order of the rows
+    return w[:-1], w[-1]
+
+
+def _probability(found: Column, weights: list[float]) -> Column:
+    """What a model says of a text with these buckets; the weights fold into one constant."""
+    model = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")
+    margin = F.aggregate(found, F.lit(float(weights[-1])), lambda sum_, g: sum_ + F.get(model, g))
+    return 1 / (1 + F.exp(-margin))
 
 
 def url_filter(
@@ -95,12 +100,10 @@ def url_filter(
     Repeated rows are judged each; other columns are not looked at.
     """
     weights, bias = train(labelled)
-    model = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<double>")  # folded into one constant
     host, path = parts(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
-    margin = F.aggregate(grams(F.col("host"), F.col("path")), F.lit(float(bias)), lambda sum_, g: sum_ + F.get(model, g))
-    rows = rows.withColumn("score", 1 / (1 + F.exp(-margin)))
+    rows = rows.withColumn("score", _probability(grams(F.col("host"), F.col("path")), [*weights, bias]))
     verdict = F.coalesce("found.verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), "score")
 
