@@ -1,11 +1,17 @@
-"""Language of a text by stopword vote."""
+"""Language of a text: by script, then by stopword vote, or by a model."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.text import words
+from murmur.functions.text import LETTER_RUN, words
+
+# A language model: texts in, one language code per text out.
+LanguageModel = Callable[[Sequence[str]], Sequence[str]]
 
 # Frequent function words per language.
 STOPWORDS = {
@@ -13,35 +19,83 @@ STOPWORDS = {
     "fr": ("le", "la", "les", "et", "des", "que", "un", "une", "est", "pour", "dans", "qui", "du", "aux", "avec"),
     "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "für", "auf", "den", "zu", "von", "sich"),
     "es": ("el", "la", "los", "las", "y", "que", "en", "un", "una", "es", "por", "con", "para", "del", "se"),
+    "it": ("il", "lo", "gli", "che", "di", "non", "per", "una", "sono", "con", "della", "nel", "come", "anche", "più"),
+    "pt": ("o", "os", "as", "que", "não", "uma", "para", "com", "do", "da", "em", "por", "mais", "dos", "são"),
+    "nl": ("de", "het", "een", "en", "van", "niet", "dat", "zijn", "voor", "met", "op", "aan", "ook", "naar", "bij"),
 }
 
+# What a text in another script than the Latin one is said to be.
+OTHER_SCRIPT = "xx"
+# A text without any stopword is English if no more words than this are left beside tickers.
+FEW_WORDS = 8
+TICKER = r"\$\p{L}+|(?<![\p{L}\p{N}])\p{Lu}{2,5}(?![\p{L}\p{N}])"
+
 
 def _in(vocabulary: tuple[str, ...]):
     return lambda word: word.isin(*vocabulary)
 
 
+def _other_script(text: Column) -> Column:
+    """Whether most letters are of another script; looked into only where one is."""
+    latin = F.length(F.regexp_replace(text, r"\P{IsLatin}+", ""))
+    others = F.length(F.regexp_replace(text, r"[\P{L}\p{IsLatin}]+", ""))
+    return F.rlike(text, F.lit(r"[\p{L}&&\P{IsLatin}]")) & (others > latin)
+
+
+def _terse(text: Column) -> Column:
+    """Whether a text has letters, but few words beside tickers."""
+    rest = F.regexp_replace(text, TICKER, " ")
+    return F.rlike(text, F.lit(r"\p{L}")) & (F.size(F.regexp_extract_all(rest, F.lit(LETTER_RUN), F.lit(0))) <= FEW_WORDS)
+
+
 def detect_language(text: Column) -> Column:
-    """The language with most stopwords in the text; the first listed on a tie.
+    """The language of a text; NULL when it stays unclear.
+
+    A text mostly in another script is ``OTHER_SCRIPT``. Of others, the language
+    with most stopwords counts, the first listed on a tie. Without any stopword,
+    a headline or post of few words beside tickers is taken for English, in
+    which stopwords are the first thing to go; a longer one is unclear.
 
-    NULL without any stopword. Works within the row: no explode, no shuffle.
-    The words found are bound to a lambda's variable, so that they are found
-    once however often the optimizer repeats the parts of an expression it
-    pushes through a projection.
+    Works within the row: no explode, no shuffle. The words found are bound to a
+    lambda's variable, so that they are found once however often the optimizer
+    repeats the parts of an expression it pushes through a projection.
     """
     any_language = tuple(sorted(set().union(*STOPWORDS.values())))
     found = F.filter(words(text), _in(any_language))
 
     def winner(bound: Column) -> Column:
-        ballots = [F.struct(F.lit(0).alias("n"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("lang"))]
+        ballots = []
         for place, (lang, vocabulary) in enumerate(STOPWORDS.items()):
             votes = F.size(F.filter(bound, _in(vocabulary)))
             ballots.append(F.struct(votes.alias("n"), F.lit(-place).alias("rank"), F.lit(lang).alias("lang")))
-        return F.array_max(F.array(*ballots))["lang"]
+        most = F.array_max(F.array(*ballots))["lang"]
+        return F.when(F.size(bound) > 0, most).otherwise(F.when(_terse(text), F.lit("en")))
 
-    return F.get(F.transform(F.array(found), winner), F.lit(0))
+    voted = F.get(F.transform(F.array(found), winner), F.lit(0))
+    return F.when(_other_script(text), F.lit(OTHER_SCRIPT)).otherwise(voted)
 
 
-def with_language(df: DataFrame, text: str, out: str = "lang", unclear: str | None = None) -> DataFrame:
-    """Add the language of ``text``; ``unclear`` stands for one without stopwords."""
-    lang = detect_language(F.col(text))
-    return df.withColumn(out, F.coalesce(lang, F.lit(unclear)) if unclear else lang)
+def model_language(load_model: Callable[[], LanguageModel]) -> Callable[[Column], Column]:
+    """A model's answer per text, in Arrow batches; it is loaded once per task.
+
+    The model takes a list of texts and returns a list of language codes.
+    """
+
+    @F.pandas_udf("string")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load_model()
+        for batch in batches:
+            yield pd.Series(model(batch.fillna("").tolist()), dtype="object")
+
+    return answer
+
+
+def with_language(
+    df: DataFrame, text: str, out: str = "lang", load_model: Callable[[], LanguageModel] | None = None
+) -> DataFrame:
+    """Add the language of ``text``, by the model if there is one.
+
+    A language that ``df`` knows already, in column ``out``, stands.
+    """
+    found = model_language(load_model)(F.col(text)) if load_model else detect_language(F.col(text))
+    return df.withColumn(out, F.coalesce(F.col(out), found) if out in df.columns else found)

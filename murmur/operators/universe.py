@@ -76,16 +76,16 @@ def posts_in_lookback(
     *,
     ts: str = "ts",
     reddit_hours: int = LOOKBACK_TRENDING,
-    most_hours: int = LOOKBACK_OTHER,
 ) -> DataFrame:
     """Posts of each stock's own ``[now - lookback, now)``.
 
     Reddit is fetched once for all stocks and always has the trending hours.
-    ``most_hours`` bounds every stock's lookback; it gives the scan a constant
-    range, ahead of the join that narrows it.
+    The longest lookback gives the scan a range, ahead of the join that narrows
+    it.
     """
     hours = F.when(F.col("source") == "reddit", F.lit(reddit_hours)).otherwise(F.col("lookback"))
-    oldest = now - F.make_dt_interval(F.lit(0), F.lit(max(most_hours, reddit_hours)))
+    longest = lookback.agg(F.max("lookback").cast("int")).scalar()
+    oldest = now - F.make_dt_interval(F.lit(0), F.greatest(longest, F.lit(reddit_hours)))
     return (
         posts.where((F.col(ts) >= oldest) & (F.col(ts) < now))
         .join(lookback.select("stock", "lookback"), "stock")

@@ -49,7 +49,6 @@ NAME_WORDS = (
 # Languages kept by the lenient filter. Cashtags make language models answer
 # "pl" for English posts, hence the second one.
 LENIENT_LANGS = ("en", "pl")
-UNCLEAR_LANG = "pl"
 STRICT_LANG = "en"
 
 # Body of a post that its author or a moderator took down.

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.language import with_language
+from murmur.functions.language import LanguageModel, with_language
 from murmur.functions.text import text_digest
 from murmur.operators import filters, sessions, universe
 from murmur.operators.dedup import dedup_staged, with_source_order
 from murmur.operators.match import keyword_match
 from murmur.operators.metrics import stock_sentiment_metrics
 from murmur.operators.scoring import Model, lexicon_score, score_by_digest
-from murmur.params import MIN_CAP, MIN_HEADLINES, SHORT_LEVEL, UNCLEAR_LANG
+from murmur.params import MIN_CAP, MIN_HEADLINES, SHORT_LEVEL
 from murmur.sources.posts import parse_stocktwits, parse_twitter, union_posts
 from murmur.sources.prices import adjusted_close
 
@@ -50,14 +50,16 @@ def prepare_posts(
     stocktwits: DataFrame,
     twitter: DataFrame,
     stocks: DataFrame,
+    load_language: Callable[[], LanguageModel] | None = None,
 ) -> DataFrame:
     """Posts of all sources: matched, parsed, English, cleaned, in arrival order.
 
     ``comments``: seq, body. ``stocktwits`` and ``twitter``: stock, seq, raw.
-    ``stocks``: stock, keywords. Reddit is not filtered by language; a post
-    whose language is unclear is taken for one that a cashtag confuses.
+    ``stocks``: stock, keywords. Reddit is not filtered by language. Where the
+    searched posts come with a ``lang``, that stands; else ``load_language``
+    names the model, or the language is detected.
     """
-    reddit = keyword_match(comments, stocks, post_id="seq", text="body").select(
+    reddit = keyword_match(comments, stocks, text="body").select(
         "stock",
         F.lit("reddit").alias("source"),
         F.lit(None).cast("string").alias("user"),
@@ -65,10 +67,11 @@ def prepare_posts(
         F.lit(None).cast("string").alias("directional"),
         "seq",
     )
-    searched = union_posts(
-        parse_stocktwits(stocktwits).select(*_POST_COLUMNS), parse_twitter(twitter).select(*_POST_COLUMNS)
-    )
-    english = filters.keep_english_lenient(with_language(searched, "text", unclear=UNCLEAR_LANG)).select(*_POST_COLUMNS)
+    parsed = (parse_stocktwits(stocktwits), parse_twitter(twitter))
+    given = [[*_POST_COLUMNS, "lang"] if "lang" in p.columns else _POST_COLUMNS for p in parsed]
+    searched = union_posts(*(p.select(*columns) for p, columns in zip(parsed, given)))
+    known = with_language(searched, "text", load_model=load_language)
+    english = filters.keep_english_lenient(known).select(*_POST_COLUMNS)
     cleaned = filters.clean_and_drop_empty(union_posts(reddit, english))
     return with_source_order(cleaned).withColumn("digest", text_digest(F.col("text")))
 

@@ -124,6 +124,9 @@ STOPWORDS = {
     "fr": "le la les et des que un une est pour dans qui du aux avec",
     "de": "der die das und ist nicht ein eine mit für auf den zu von sich",
     "es": "el la los las y que en un una es por con para del se",
+    "it": "il lo gli che di non per una sono con della nel come anche più",
+    "pt": "o os as que não uma para com do da em por mais dos são",
+    "nl": "de het een en van niet dat zijn voor met op aan ook naar bij",
 }
 
 
@@ -260,12 +263,19 @@ def _language_sql() -> str:
         )
         for lang, listed in STOPWORDS.items()
     )
-    best = "greatest(n_en, n_fr, n_de, n_es)"
+    best = "greatest({})".format(", ".join(f"n_{lang}" for lang in STOPWORDS))
     picks = " ".join(f"when n_{lang} = {best} then '{lang}'" for lang in STOPWORDS)
-    return f"""
-        select doc_id, lang, case when {best} = 0 then null {picks} end as found
-        from (select doc_id, lang, {counts}
-              from (select doc_id, lang, regexp_extract_all(lower(text), '\\p{{L}}+') as words from documents))"""
+    latin = r"length(regexp_replace(text, '\P{Latin}', '', 'g'))"
+    others = r"length(regexp_replace(text, '[\P{L}\p{Latin}]', '', 'g'))"
+    # RE2 has no look-around: the characters beside a ticker are taken along, twice for neighbours that share one
+    ticker = r"'(^|[^\p{L}\p{N}])\p{Lu}{2,5}($|[^\p{L}\p{N}])', '\1 \2', 'g')"
+    rest = rf"regexp_replace(regexp_replace(regexp_replace(text, '\$\p{{L}}+', ' ', 'g'), {ticker}, {ticker}"
+    terse = rf"regexp_matches(text, '\p{{L}}') and len(regexp_extract_all({rest}, '\p{{L}}+')) <= 8"
+    return rf"""
+        select doc_id, lang,
+               case when {others} > {latin} then 'xx' when {best} > 0 then case {picks} end when {terse} then 'en' end as found
+        from (select doc_id, lang, text, {counts}
+              from (select doc_id, lang, text, regexp_extract_all(lower(text), '\p{{L}}+') as words from documents))"""
 
 
 _LEXICON = "('the', 0.4), ('is', -1.1), ('on', 1.9), ('la', -0.8), ('der', 2.3), ('of', -0.3), ('not', -2.0)"
@@ -292,9 +302,7 @@ def _letter_score() -> str:
 def _social_sql() -> str:
     """The social job: match, parse, language, clean, staged de-duplication, score, metrics."""
     keywords = _keyword_sql(_SINGLE)
-    found = _language_sql().replace("documents", "searched").replace("doc_id, lang", "rid").replace(
-        "select rid, lang, regexp", "select rid, regexp"
-    )
+    found = _language_sql().replace("documents", "searched").replace("doc_id, lang", "rid")
     means = ", ".join(
         f"count(*) filter (where k.source = '{s}') as nb_{s}, "
         + _r(f"avg(k.p) filter (where k.source = '{s}')", f"avg_{s}")
@@ -317,7 +325,7 @@ def _social_sql() -> str:
     languages as ({found}),
     english as (
         select s.* exclude (rid) from searched s join languages l on l.rid = s.rid
-        where coalesce(l.found, 'pl') in ('en', 'pl') and s.text <> ''),
+        where l.found in ('en', 'pl') and s.text <> ''),
     cleaned as (
         select * exclude (text), {_clean('text')} as text
         from (select * from reddit union all by name select * from english) where {_clean('text')} <> ''),
@@ -401,6 +409,7 @@ ORACLE = {
         from (select page_id, unnest(range(len(l))) as row_no,
                      unnest(list_transform(l, lambda x: regexp_extract_all(x, '(?s)<li>(.*?)</li>', 1))) as items
               from (select page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) as l from pages))""",
+    "page_caps": sql("select symbol, cap_text from caps"),
     "screener_rows": sql("""
         select pos // 20 as page, cast(row_number() over (partition by pos // 20 order by pos) as int) as row_no,
                symbol as ticker, replace(title, ',', ' &') as company from companies"""),
@@ -416,8 +425,9 @@ ORACLE = {
     "lang_filter_lenient": sql("select stock, source, seq, lang from english_posts"),
     "lang_filter_strict": sql("select id, ticker, lang from news where lang = 'en'"),
     "lang_filter_strict_by_value": sql("""
-        select id, ticker, lang from news n where not exists (
-            select 1 from news f where f.ticker = n.ticker and f.headline = n.headline and f.lang <> 'en')"""),
+        select id, ticker, lang from news n
+        anti join (select distinct ticker, sha256(headline) as digest from news where lang is distinct from 'en') f
+          on f.ticker = n.ticker and f.digest = sha256(n.headline)"""),
     "drop_empty_clean": sql("select seq, {clean:body} as body from comments where {clean:body} <> ''"),
     "news_drop_blank": sql("""
         select id, ticker, length(headline) as chars from news

@@ -107,22 +107,27 @@ def html_rows(spark, sf):
 
 @query
 def screener_rows(spark, sf):
-    rows = html.html_rows(v.screener_pages(spark, sf), html.first_table(F.col("html")))
-    return html.screener_rows(rows).select("page", "row_no", "ticker", "company")
+    return html.screener_rows(v.screener_pages(spark, sf), "page")
 
 
 @query
 def screener_rows_lenient(spark, sf):
-    rows = html.html_rows_lenient(v.screener_pages(spark, sf, closed=False), "page", "html")
-    return html.screener_rows(rows).select("page", "row_no", "ticker", F.trim(F.col("company"), F.lit("\n")).alias("company"))
+    return html.screener_rows(v.screener_pages(spark, sf, closed=False), "page", closed=False)
 
 
 @query
 def index_members(spark, sf):
-    rows = html.html_rows(v.screener_pages(spark, sf), html.first_table(F.col("html")))
+    rows = html.html_rows(v.screener_pages(spark, sf), F.col("html"), html.row_with(*html.SCREEN_ROW))
     return html.index_members(rows).select("page", "row_no", "ticker")
 
 
+@query
+def page_caps(spark, sf):
+    """Market caps in the statistics tables of the stocks' pages."""
+    pages = v.statistics_pages(spark, sf)
+    return html.first_cell_after_label(pages, F.col("html"), "cap_text", "stats").select("symbol", "cap_text")
+
+
 @query
 def holiday_unpivot(spark, sf):
     return hol.holidays_long(v.holiday_table(spark, sf)).select("holiday", "date")
@@ -202,7 +207,7 @@ def short_level_filter(spark, sf):
 def _matched(spark, sf, keywords=None, **options):
     documents = v.table(spark, sf, "documents").select("doc_id", "text")
     universe_ = v.keywords(spark, keywords)
-    return match.keyword_match(documents, universe_, post_id="doc_id", **options).select("doc_id", "stock", "keyword")
+    return match.keyword_match(documents, universe_, **options).select("doc_id", "stock", "keyword")
 
 
 @query

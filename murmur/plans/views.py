@@ -175,7 +175,7 @@ def twitter_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screener_pages(spark: SparkSession, sf_dir: str, closed: bool = True) -> DataFrame:
-    """Pages of 20 rows, as a stock screen shows them."""
+    """Pages of 20 rows, as a stock screen shows them, behind a table for navigation."""
     end_cell, end_row = ("</td>", "</tr>") if closed else ("", "")
 
     def row(*cells: Column) -> Column:
@@ -194,7 +194,7 @@ def screener_pages(spark: SparkSession, sf_dir: str, closed: bool = True) -> Dat
     header = row(F.lit("No."), F.lit("Ticker"), F.lit("Company"))
     return rows.groupBy("page").agg(
         F.concat(
-            F.lit("<html><body><table>"),
+            F.lit('<html><body><table><tr><td>1</td><td>NEWS</td><td>Menu</td></tr></table><table>'),
             header,
             F.array_join(F.transform(in_order, lambda r: r["markup"]), "\n"),
             F.lit("</table><table></table></body></html>"),
@@ -202,6 +202,13 @@ def screener_pages(spark: SparkSession, sf_dir: str, closed: bool = True) -> Dat
     )
 
 
+def statistics_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per stock, with its market cap first in the second table."""
+    cells = [F.lit("<table><tr><td>Menu</td><td>Home</td></tr></table><table class='stats'><tr><td>Market cap</td><td><b>")]
+    cells += [F.col("cap_text"), F.lit("</b></td></tr><tr><td>Volume</td><td>7M</td></tr></table>")]
+    return caps(spark, sf_dir).select("symbol", F.concat(*cells).alias("html"))
+
+
 def holiday_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per month, one column per year: the month's first order date."""
     years = [str(year) for year in range(1995, 2002)]

@@ -83,7 +83,7 @@ def test_clean_headline(spark, raw, clean):
 def test_keyword_boundary(spark, theta_match, text, hit):
     df = spark.createDataFrame([(1, text)], "id INT, text STRING")
     stocks = spark.createDataFrame([("ED", ["ED"])], "stock STRING, keywords ARRAY<STRING>")
-    assert match.keyword_match(df, stocks, post_id="id").count() == int(hit)
+    assert match.keyword_match(df, stocks).count() == int(hit)
     assert theta_match(df, stocks, "id").count() == int(hit)
 
 
@@ -94,16 +94,16 @@ def test_keyword_any_occurrence(spark):
     stocks = spark.createDataFrame(
         [("ED", ["ED"]), ("BRK", ["BRK.B"]), ("PLUS", ["++"])], "stock STRING, keywords ARRAY<STRING>"
     )
-    found = match.keyword_match(df, stocks, post_id="id", all_occurrences=True).select("id", "stock")
+    found = match.keyword_match(df, stocks, all_occurrences=True).select("id", "stock")
     assert {tuple(r) for r in found.collect()} == {(1, "ED"), (2, "BRK"), (4, "PLUS")}
-    first = match.keyword_match(df, stocks, post_id="id").select("id", "stock")
+    first = match.keyword_match(df, stocks).select("id", "stock")
     assert first.count() == 0
 
 
 def test_keyword_of_many_lists_counts_once(spark):
     df = spark.createDataFrame([(1, "Tesla TSLA $TSLA"), (2, "only TSLA")], "id INT, text STRING")
     stocks = spark.createDataFrame([("TSLA", ["Tesla", "TSLA", "$TSLA"])], "stock STRING, keywords ARRAY<STRING>")
-    found = match.keyword_match(df, stocks, post_id="id").select("id", "keyword")
+    found = match.keyword_match(df, stocks).select("id", "keyword")
     assert {tuple(r) for r in found.collect()} == {(1, "Tesla"), (2, "TSLA")}
 
 
@@ -111,9 +111,9 @@ def test_empty_and_missing_keywords_match_nothing(spark):
     df = spark.createDataFrame([(1, "$ A"), (2, None), (3, "")], "id INT, text STRING")
     lists = [("A", ["", None, "A"]), ("NONE", [""]), ("EMPTY", []), ("NULL", None)]
     stocks = spark.createDataFrame(lists, "stock STRING, keywords ARRAY<STRING>")
-    found = match.keyword_match(df, stocks, post_id="id").select("id", "stock", "keyword")
+    found = match.keyword_match(df, stocks).select("id", "stock", "keyword")
     assert [tuple(r) for r in found.collect()] == [(1, "A", "A")]
-    nothing = match.keyword_match(df, stocks.where("stock = 'EMPTY'"), post_id="id")
+    nothing = match.keyword_match(df, stocks.where("stock = 'EMPTY'"))
     assert nothing.count() == 0
 
 
@@ -121,7 +121,7 @@ def test_long_keyword_lists_use_the_lambda_form(spark):
     words = [f"k{i}" for i in range(15)]
     df = spark.createDataFrame([(1, "k14 k3 k9"), (2, "k12"), (3, "k")], "id INT, text STRING")
     stocks = spark.createDataFrame([("S", words)], "stock STRING, keywords ARRAY<STRING>")
-    found = match.keyword_match(df, stocks, post_id="id").select("id", "keyword")
+    found = match.keyword_match(df, stocks).select("id", "keyword")
     assert {tuple(r) for r in found.collect()} == {(1, "k3"), (2, "k12")}
 
 
@@ -558,12 +558,33 @@ def test_html_rows(spark):
         "<TR><td>1</td><td><a href='x'>A&amp;B</a></td><td>Co</td></TR></table><table><tr><td>z</td></tr></table>"
     )
     df = spark.createDataFrame([(1, page)], "id INT, html STRING")
-    rows = html.html_rows(df, html.first_table(F.col("html"))).orderBy("row_no").collect()
-    assert [r["cells"] for r in rows] == [["No.", "Ticker"], ["1", "A&B", "Co"]]
+    rows = html.html_rows(df, F.col("html")).orderBy("row_no").collect()
+    assert [r["cells"] for r in rows] == [["No.", "Ticker"], ["1", "A&B", "Co"], ["z"]]
+    top = html.html_rows(df, F.col("html"), html.row_with("valign", "top")).collect()
+    assert [r["cells"] for r in top] == [["No.", "Ticker"]]
     lenient = html.html_rows_lenient(df, "id", "html").orderBy("row_no").collect()
     assert [r["cells"] for r in lenient][:2] == [["No.", "Ticker"], ["1", "A&B", "Co"]]
 
 
+def test_both_screen_readers_take_the_same_rows(spark):
+    page = (
+        "<table><tr><td>1</td><td>NEWS</td><td>x</td></tr></table><table><TR class=a VALIGN='top'><td>No.</td><td>Ticker</td><td>Company</td></TR>"
+        '<tr valign = "top"><td>1</td><td>GME</td><td>Game\nStop\n</td></tr><tr valign="topmost"><td>9</td><td>NO</td><td>n</td></tr>'
+        "</table><table><tr valign=top><td>2</td><td>AMC</td><td>A&amp;C</td></tr><tr><td>Next</td></tr></table>"
+    )
+    df = spark.createDataFrame([(1, page), (2, None), (3, "")], "page INT, html STRING")
+    expected = [(1, 1, "GME", "Game\nStop"), (1, 2, "AMC", "A&C")]
+    for closed in (True, False):
+        assert sorted(map(tuple, html.screener_rows(df, "page", closed=closed).collect())) == expected
+
+
+def test_cap_of_a_page(spark):
+    page = "<table><tr><td>a</td><td>b</td></tr></table><table class='W Bdcl'><tr><th>Cap</th><td><i>1.2T</i></td></tr><tr><td>x</td><td>y</td></tr></table>"
+    df = spark.createDataFrame([(1, page), (2, None)], "id INT, html STRING")
+    assert [r["cap"] for r in html.first_cell_after_label(df, F.col("html"), "cap", "Bdcl").collect()] == ["1.2T", None]
+    assert html.first_cell_after_label(df, F.col("html"), "cap").first()["cap"] == "b"
+
+
 def test_html_rows_lenient(spark):
     df = spark.createDataFrame([(1, "<table><tr><td>a<td>b<tr><td>c"), (2, None)], "id INT, html STRING")
     rows = html.html_rows_lenient(df, "id", "html").orderBy("row_no").collect()
@@ -615,12 +636,34 @@ def test_language_by_stopwords(spark):
         ("Le chat est dans la maison et les arbres", "fr"),
         ("Der Hund und die Katze sind nicht auf dem Tisch", "de"),
         ("El perro y los gatos por la noche", "es"),
-        ("xyz 123", None),
+        ("Apple beats Q3 estimates", "en"),
+        ("Tesla shares jump 5%", "en"),
+        ("$GME $TSLA AMC", "en"),
+        ("Акции Tesla сегодня выросли", "xx"),
+        ("テスラ の 株価 $TSLA", "xx"),
+        ("Il titolo non sale come una volta, gli analisti sono divisi", "it"),
+        ("De koers van het aandeel is niet gestegen", "nl"),
+        ("Kurs akcji spada dziś bardzo mocno wśród wszystkich dużych banków", None),
+        ("123 !", None),
         ("", None),
+        (None, None),
     ]
     df = spark.createDataFrame(rows, "text STRING, expected STRING")
-    assert all(r["lang"] == r["expected"] for r in with_language(df, "text").collect())
-    assert all(r["lang"] == (r["expected"] or "pl") for r in with_language(df, "text", unclear="pl").collect())
+    assert [(r["text"], r["lang"]) for r in with_language(df, "text").collect()] == rows
+
+
+def test_language_given_or_by_model(spark):
+    rows = [("Le chat est dans la maison", "en"), ("Le chat est dans la maison", None)]
+    df = spark.createDataFrame(rows, "text STRING, lang STRING")
+    assert [r["lang"] for r in with_language(df, "text").collect()] == ["en", "fr"]
+    load = lambda: lambda texts: [f"m{len(t)}" for t in texts]
+    assert [r["lang"] for r in with_language(df, "text", load_model=load).collect()] == ["en", "m26"]
+
+
+def test_foreign_headlines_go_by_value(spark):
+    rows = [(1, "T", "a", "en"), (2, "T", "a", "fr"), (3, "T", "b", "en"), (4, "U", "a", "en"), (5, "T", "c", None)]
+    df = spark.createDataFrame(rows, "id INT, ticker STRING, headline STRING, lang STRING")
+    assert sorted(r["id"] for r in filters.drop_foreign_headlines(df).collect()) == [3, 4]
 
 
 def test_lexicon_score(spark):

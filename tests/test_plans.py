@@ -53,7 +53,7 @@ def test_large_universe_is_not_broadcast_by_hand(spark, sf_dir):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         documents = v.table(spark, sf_dir, "documents")
-        found = match.keyword_match(documents, v.keywords(spark), post_id="doc_id", max_broadcast_rows=0)
+        found = match.keyword_match(documents, v.keywords(spark), max_broadcast_rows=0)
         assert "Broadcast" not in plan(found)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

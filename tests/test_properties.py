@@ -96,12 +96,33 @@ def test_keyword_match_is_the_loop(spark, theta_match, max_broadcast_rows):
                 expected.add((number, stock, found[0]))
     df = spark.createDataFrame(texts, "id INT, text STRING").repartition(5)
     universe = spark.createDataFrame(list(stocks.items()), "stock STRING, keywords ARRAY<STRING>")
-    got = match.keyword_match(df, universe, post_id="id", max_broadcast_rows=max_broadcast_rows)
+    got = match.keyword_match(df, universe, max_broadcast_rows=max_broadcast_rows)
     rows = [tuple(r) for r in got.select("id", "stock", "keyword").collect()]
     assert len(rows) == len(set(rows)) and set(rows) == expected
     assert {tuple(r) for r in theta_match(df, universe, "id").collect()} == expected
 
 
+@pytest.mark.parametrize("max_broadcast_rows", [1000, 0])
+def test_every_post_matches_for_itself(spark, max_broadcast_rows):
+    """Ids that repeat or are missing change nothing, in either form of the join."""
+    rows = [(1, "GME up"), (None, "GME up"), (2, "GME down"), (2, "GME down"), (2, "no"), (3, None), (None, "")]
+    posts = spark.createDataFrame(rows, "id INT, text STRING")
+    universe = spark.createDataFrame([("GME", ["GME", "up"]), ("X", ["down"])], "stock STRING, keywords ARRAY<STRING>")
+    got = match.keyword_match(posts, universe, max_broadcast_rows=max_broadcast_rows).collect()
+    expected = [(i, t, "GME", "GME") for i, t in rows[:4]] + [(2, "GME down", "X", "down")] * 2
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))
+
+
+def test_longer_lookbacks_keep_their_posts(spark):
+    from murmur.operators.universe import posts_in_lookback, with_lookback
+
+    stocks = spark.createDataFrame([("A", False), ("B", True)], "stock STRING, is_trending BOOLEAN")
+    posts = spark.sql("""select stock, 'twitter' as source, timestamp_ntz '2024-01-31 00:00:00' - make_dt_interval(0, h) as ts, h
+                         from values ('A', 216), ('A', 241), ('B', 5), ('B', 216) t(stock, h)""")
+    kept = posts_in_lookback(posts, with_lookback(stocks.select("stock"), stocks, hours=(6, 240)), v.now())
+    assert sorted((r["stock"], r["h"]) for r in kept.collect()) == [("A", 216), ("B", 5)]
+
+
 def test_totals_are_sums_over_sources(spark, sf_dir):
     rows = metrics.stock_sentiment_metrics(v.scored_posts(spark, sf_dir)).collect()
     for row in rows:
