@@ -95,6 +95,7 @@ def social_sentiment(
     null_user: str = "keep",
     stage_dir: str | None = None,
     model_tasks: int | None = None,
+    load_language: Callable[[], LanguageModel] | None = None,
 ) -> DataFrame:
     """The metrics row of every stock in ``stocks``.
 
@@ -105,7 +106,7 @@ def social_sentiment(
     are written there once, which also ends their lineage; without it they
     are computed twice.
     """
-    prepared = _staged(prepare_posts(comments, stocktwits, twitter, stocks), stage_dir, "prepared")
+    prepared = _staged(prepare_posts(comments, stocktwits, twitter, stocks, load_language), stage_dir, "prepared")
     kept = dedup_staged(prepared, null_user, "digest")
     kept = _staged(kept.select("stock", "source", "digest"), stage_dir, "kept")
     scored = score_by_digest(kept, prepared.select("digest", "text"), load_model, tasks=model_tasks)

@@ -8,7 +8,7 @@ Landed tables, each a folder of its own:
 ========== ============================================================
 trending   the list as JSON, one response per file
 screener   JSON lines: page, html
-caps       JSON lines: symbol, cap_text
+caps       JSON lines: symbol, and cap_text or the html of its statistics page
 holidays   CSV: holiday, then one column per year
 comments   JSON lines: id, created_utc, body
 stocktwits JSON lines: stock, seq, created_utc, raw
@@ -30,18 +30,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur import params
 from murmur.operators.calendar import holiday_days
+from murmur.operators.metrics import return_sentiment_corr, sentiment_histogram
 from murmur.operators.scoring import Model
 from murmur.operators.signals import position_signal
 from murmur.operators.universe import posts_in_lookback, with_lookback
-from murmur.params import LOOKBACK_TRENDING
 from murmur.plans import jobs
 from murmur.session import shared_dir
 from murmur.sources import html, posts, prices, sinks, trending
 from murmur.sources import news as news_source
 from murmur.sources.holidays import holidays_long
 
-SCREEN_PAGE_ROWS = 20
+# What the tag of the statistics table has in it.
+STATISTICS_TABLE = r"Bdcl\(c\)"
 
 
 class MarketClosed(Exception):
@@ -55,38 +57,75 @@ def check_open(spark: SparkSession, landing: str, now: Column) -> None:
         raise MarketClosed("the market is closed: the day is a holiday")
 
 
-def followed_stocks(spark: SparkSession, landing: str) -> DataFrame:
-    """The universe: stock, is_trending, name, keywords, cap."""
-    lists = spark.read.text(f"{landing}/trending", wholetext=True)
-    busy = trending.take_trending(trending.flatten_trending(lists, F.col("value")))
+def followed_stocks(
+    spark: SparkSession,
+    landing: str,
+    *,
+    trending_limit: int | None = params.TRENDING_LIMIT,
+    level: int = params.SHORT_LEVEL,
+    minimum_cap: float = params.MIN_CAP,
+) -> DataFrame:
+    """The universe: stock, is_trending, name, keywords, cap.
+
+    Screens are landed for one short ``level``; the page says no more of it.
+    """
+    if level not in params.SHORT_LEVELS:
+        raise ValueError(f"short level must be one of {params.SHORT_LEVELS}, not {level}")
+    busy = trending.flatten_trending(spark.read.text(f"{landing}/trending", wholetext=True), F.col("value"))
+    if trending_limit is not None:
+        busy = trending.take_trending(busy, trending_limit)
     pages = spark.read.schema("page BIGINT, html STRING").json(f"{landing}/screener")
-    rows = html.screener_rows(html.html_rows(pages, F.col("html")))
-    screen = rows.select(
-        (F.col("page") * SCREEN_PAGE_ROWS + F.col("row_no")).alias("pos"),
+    screen = html.screener_rows(pages, "page").select(
+        (F.shiftleft("page", 32) + F.col("row_no")).alias("pos"),  # by page, then by row, however long a page is
         F.col("ticker").alias("symbol"),
         F.col("company").alias("title"),
     )
-    caps = spark.read.schema("symbol STRING, cap_text STRING").json(f"{landing}/caps")
-    chosen = jobs.choose_universe(busy.select("pos", "symbol", "title"), screen, caps)
+    caps = spark.read.schema("symbol STRING, cap_text STRING, html STRING").json(f"{landing}/caps")
+    caps = html.first_cell_after_label(caps, F.col("html"), "_shown", STATISTICS_TABLE)
+    caps = caps.select("symbol", F.coalesce("cap_text", "_shown").alias("cap_text"))
+    chosen = jobs.choose_universe(busy.select("pos", "symbol", "title"), screen, caps, minimum_cap=minimum_cap)
     return chosen.withColumnRenamed("symbol", "stock")
 
 
 def run_social(
-    spark: SparkSession, landing: str, out: str, now: Column, load_model: Callable[[], Model], **options
+    spark: SparkSession,
+    landing: str,
+    out: str,
+    now: Column,
+    load_model: Callable[[], Model],
+    *,
+    lookback: tuple[int, int] = (params.LOOKBACK_TRENDING, params.LOOKBACK_OTHER),
+    comment_limit: int | None = None,
+    trending_limit: int | None = params.TRENDING_LIMIT,
+    level: int = params.SHORT_LEVEL,
+    minimum_cap: float = params.MIN_CAP,
+    min_comments: int = params.MIN_COMMENTS,
+    entry: float = params.ENTRY_SENTIMENT,
+    hold: float = params.HOLD_SENTIMENT,
+    **options,
 ) -> None:
-    """Metrics of every followed stock, and what to do about each."""
+    """Metrics of every followed stock, and what to do about each.
+
+    ``comment_limit`` caps the comments of the lookback, oldest first, as a
+    fetch of that many would; without it all are taken.
+    """
     check_open(spark, landing, now)
     stage = shared_dir(spark, "social")
-    stocks = followed_stocks(spark, landing)
+    stocks = followed_stocks(spark, landing, trending_limit=trending_limit, level=level, minimum_cap=minimum_cap)
     stocks.write.mode("overwrite").parquet(f"{stage}/stocks")
     stocks = spark.read.schema(stocks.schema).parquet(f"{stage}/stocks")
 
     comments = posts.read_comments(spark, f"{landing}/comments")
-    recent = posts.cap_posts(posts.posts_in_window(comments, now, LOOKBACK_TRENDING))
-    hours = with_lookback(stocks.select("stock"), stocks)
+    recent = posts.posts_in_window(comments, now, lookback[0])
+    if comment_limit is not None:
+        recent = posts.cap_posts(recent, limit=comment_limit)
+    hours = with_lookback(stocks.select("stock"), stocks, lookback)
     searched = [
         posts_in_lookback(
-            posts.read_raw_posts(spark, f"{landing}/{folder}").withColumn("source", F.lit(source)), hours, now
+            posts.read_raw_posts(spark, f"{landing}/{folder}").withColumn("source", F.lit(source)),
+            hours,
+            now,
+            reddit_hours=lookback[0],
         )
         for folder, source in (("stocktwits", "stocktwit"), ("twitter", "twitter"))
     ]
@@ -94,7 +133,8 @@ def run_social(
     sinks.write_metrics_csv(metrics, f"{out}/metrics")
 
     held = _read_positions(spark, landing)
-    decided = position_signal(sinks.read_metrics_csv(spark, f"{out}/metrics"), held)
+    rows = sinks.read_metrics_csv(spark, f"{out}/metrics")
+    decided = position_signal(rows, held, min_comments=min_comments, entry=entry, hold=hold)
     decided.write.mode("overwrite").csv(f"{out}/signals", header=True)
 
 
@@ -107,7 +147,7 @@ def _read_positions(spark: SparkSession, landing: str) -> DataFrame:
 
 
 def run_news(spark: SparkSession, landing: str, out: str, start: Column, end: Column, **options) -> None:
-    """The news tables, then returns beside the sentiment of the session before."""
+    """The news tables, returns beside the sentiment of the session before, and how the two go together."""
     news_source.write_news(news_source.read_news_json(spark, f"{landing}/news"), f"{out}/news")
     headlines = news_source.with_timestamp(news_source.read_news(spark, f"{out}/news")).select(
         "ticker", "id", "ts", "headline"
@@ -116,6 +156,9 @@ def run_news(spark: SparkSession, landing: str, out: str, start: Column, end: Co
     lexicon = spark.read.schema("token STRING, valence DOUBLE").csv(f"{landing}/lexicon", header=True)
     rows = jobs.news_vs_return(headlines, bars, lexicon, start, end, **options)
     rows.write.mode("overwrite").parquet(f"{out}/returns")
+    rows = spark.read.schema(rows.schema).parquet(f"{out}/returns")
+    return_sentiment_corr(rows).write.mode("overwrite").parquet(f"{out}/correlation")
+    sentiment_histogram(rows, "sentiment").write.mode("overwrite").parquet(f"{out}/histogram")
 
 
 def load_object(name: str):
@@ -135,6 +178,20 @@ def main(arguments: list[str] | None = None) -> None:
     social.add_argument("--model", required=True, help="module:function that loads the sentiment model")
     social.add_argument("--null-user", choices=("keep", "collapse"), default="keep")
     social.add_argument("--model-tasks", type=int)
+    social.add_argument("--language-model", help="module:function that loads a language model")
+    for name, kind, default, what in (
+        ("lookback-trending", int, params.LOOKBACK_TRENDING, "hours to look back for trending stocks and comments"),
+        ("lookback-other", int, params.LOOKBACK_OTHER, "hours to look back for other stocks"),
+        ("comment-limit", int, None, "most comments to take; all without it"),
+        ("trending-limit", int, params.TRENDING_LIMIT, "most stocks to take from the trending list"),
+        ("short-level", int, params.SHORT_LEVEL, "the short level of the landed screen, in percent"),
+        ("min-cap", float, params.MIN_CAP, "least market cap in dollars"),
+        ("min-comments", int, params.MIN_COMMENTS, "comments a stock needs for a position"),
+        ("entry", float, params.ENTRY_SENTIMENT, "mean sentiment in percent from which to enter"),
+        ("hold", float, params.HOLD_SENTIMENT, "mean sentiment in percent from which to hold"),
+    ):
+        social.add_argument(f"--{name}", type=kind, default=default, help=what)
+    news.add_argument("--min-headlines", type=int, default=params.MIN_HEADLINES, help="fewest headlines of a session")
     news.add_argument("--start", required=True)
     news.add_argument("--end", required=True)
     given = parser.parse_args(arguments)
@@ -142,10 +199,23 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"murmur {given.job}").getOrCreate()
     if given.job == "social":
         now = F.lit(given.now).cast("timestamp_ntz")
-        options = {"null_user": given.null_user, "model_tasks": given.model_tasks}
+        options = {
+            "null_user": given.null_user,
+            "model_tasks": given.model_tasks,
+            "load_language": load_object(given.language_model) if given.language_model else None,
+            "lookback": (given.lookback_trending, given.lookback_other),
+            "comment_limit": given.comment_limit,
+            "trending_limit": given.trending_limit,
+            "level": given.short_level,
+            "minimum_cap": given.min_cap,
+            "min_comments": given.min_comments,
+            "entry": given.entry,
+            "hold": given.hold,
+        }
         run_social(spark, given.landing, given.out, now, load_object(given.model), **options)
     else:
-        run_news(spark, given.landing, given.out, F.lit(given.start).cast("date"), F.lit(given.end).cast("date"))
+        days = [F.lit(day).cast("date") for day in (given.start, given.end)]
+        run_news(spark, given.landing, given.out, *days, minimum=given.min_headlines)
 
 
 if __name__ == "__main__":

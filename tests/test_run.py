@@ -29,9 +29,10 @@ def landing(tmp_path):
     text(root / "trending", json.dumps({"symbols": symbols}))
     row = "<tr valign='top'><td>{}</td><td>{}</td><td>{}</td></tr>"
     header = row.format("No.", "Ticker", "Company")
+    menu = "<table><tr><td>1</td><td>NEWS</td><td>Menu</td></tr></table>"
     pages = [
-        {"page": 0, "html": "<table>" + header + row.format(1, "GME", "GameStop Corp.") + row.format(2, "TSLA", "Tesla") + "</table>"},
-        {"page": 1, "html": "<table>" + header + row.format(1, "GME", "GameStop Corp.") + row.format(2, "LATE", "Late") + "</table>"},
+        {"page": 0, "html": menu + "<table>" + header + row.format(1, "GME", "GameStop Corp.") + row.format(2, "TSLA", "Tesla") + "</table>"},
+        {"page": 1, "html": menu + "<table>" + header + row.format(1, "GME", "GameStop Corp.") + row.format(2, "LATE", "Late") + "</table>"},
     ]
     lines(root / "screener", pages)
     caps = {"TSLA": "1.2T", "GME": "9B", "TINY": "20M", "LATE": "9B"}
@@ -99,6 +100,36 @@ def test_social(spark, landing, tmp_path, load_model):
     assert signals == {"TSLA": "none", "GME": "exit"}
 
 
+def test_long_pages_and_navigation(spark, landing):
+    """A page of 30 stocks behind a navigation table loses none; the repeat on the next page ends the list."""
+    row = "<tr valign='top'><td>{}</td><td>{}</td><td>{}</td></tr>"
+    menu = "<table><tr><td>1</td><td>NEWS</td><td>Menu</td></tr></table>"
+    names = [[f"S{n}" for n in range(30)], ["T0", "S4", "T1"]]
+    pages = [
+        {"page": k, "html": menu + row.format("No.", "Ticker", "Company") + "".join(row.format(n, s, "Co") for n, s in enumerate(listed))}
+        for k, listed in enumerate(names)
+    ]
+    lines(landing / "screener", pages)
+    page = "<table><tr><td>x</td><td>y</td></tr></table><table class='W(100%) Bdcl(c)'><tr><td>Market Cap</td><td>{}</td></tr></table>"
+    caps = [{"symbol": s, "html": page.format("3T")} for s in [*names[0], "T0", "T1", "NEWS", "Ticker"]]
+    lines(landing / "caps", [*caps, {"symbol": "TSLA", "cap_text": "1T"}])
+    found = {r["stock"] for r in run.followed_stocks(spark, str(landing)).collect()}
+    assert found == {*names[0], "T0", "TSLA"}
+    found = {r["stock"] for r in run.followed_stocks(spark, str(landing), trending_limit=0, minimum_cap=2e12).collect()}
+    assert found == {*names[0], "T0"}
+
+
+def test_comments_are_capped_on_request_only(spark, landing, tmp_path, load_model):
+    rows = [{"id": i, "created_utc": epoch("2024-01-02 11:00:00") + i, "body": f"TSLA good {i}"} for i in range(20)]
+    lines(landing / "comments", rows)
+    now = run.F.lit("2024-01-02 12:00:00").cast("timestamp_ntz")
+    for limit, expected in ((None, 20), (7, 7)):
+        out = tmp_path / f"out{limit}"
+        run.run_social(spark, str(landing), str(out), now, load_model, comment_limit=limit)
+        rows = {r["stock"]: r["nb_reddit"] for r in run.sinks.read_metrics_csv(spark, str(out / "metrics")).collect()}
+        assert rows["TSLA"] == expected
+
+
 def test_holiday_stops_the_run(spark, landing, tmp_path, load_model):
     now = run.F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
     with pytest.raises(run.MarketClosed):
@@ -117,5 +148,19 @@ def test_news(spark, landing, tmp_path):
 
 def test_command_line(spark, landing, tmp_path):
     out = tmp_path / "out"
-    run.main(["news", str(landing), str(out), "--start", "2024-01-02", "--end", "2024-01-04"])
-    assert spark.read.parquet(str(out / "returns")).count() == 3
+    run.main(["news", str(landing), str(out), "--start", "2024-01-02", "--end", "2024-01-04", "--min-headlines", "2"])
+    assert spark.read.parquet(str(out / "returns")).where("sentiment is not null").count() == 1
+    assert spark.read.parquet(str(out / "correlation")).count() == 1
+    bins = spark.read.parquet(str(out / "histogram")).collect()
+    assert len(bins) == 50 and sum(r["n"] for r in bins) == 1
+
+
+def test_social_command_line(spark, landing, tmp_path, monkeypatch, load_model):
+    monkeypatch.setattr(run, "load_object", lambda name: load_model)
+    out = tmp_path / "out"
+    options = ["--lookback-other", "2", "--min-comments", "0", "--entry", "0.1", "--hold", "0.05", "--min-cap", "1e6"]
+    run.main(["social", str(landing), str(out), "--now", "2024-01-02 12:00:00", "--model", "m:f", *options])
+    rows = {r["stock"]: r for r in run.sinks.read_metrics_csv(spark, str(out / "metrics")).collect()}
+    assert "TINY" in rows and rows["GME"]["nb_stocktwit"] == 0  # a smaller cap will do; its posts are a day old
+    signals = {r["stock"]: r["signal"] for r in spark.read.csv(str(out / "signals"), header=True).collect()}
+    assert signals["TSLA"] == "long"
