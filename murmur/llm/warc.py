@@ -71,8 +71,9 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
             yield batch_of(schema, [*(piece.column(c) for c in ("page_id", "url", "html")), sha1])
 
     rows = rows.mapInArrow(sign, "page_id long, url string, html string, sha1 string").withColumn("bytes", F.octet_length("html").cast("long"))
-    first = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, "sha1", "left")
+    # Written first, so that Spark knows its size: where few payloads repeat, no page is shuffled.
+    first = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = rows.join(staged(first.where("n > 1").drop("n"), "repeated"), "sha1", "left")
     again = F.coalesce(F.col("page_id") > F.col("first"), F.col("page_id").isNull() & F.col("first").isNotNull())
     block = F.concat(F.lit(HTTP), F.when(again, "").otherwise(F.col("html")))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
