@@ -41,8 +41,12 @@ def dedup_text(posts: DataFrame, digest: str | None = None, order: tuple = ARRIV
 
 
 def dedup_headlines(news: DataFrame, order: str = "id") -> DataFrame:
-    """The first record of each headline within a ticker."""
-    return keep_first(news, ["ticker", text_digest(F.col("headline"))], [order])
+    """The first record of each headline within a ticker.
+
+    Records that share their ``order`` are told apart by their other columns.
+    """
+    others = F.xxhash64(*[name for name in news.columns if name != "headline"])
+    return keep_first(news, ["ticker", text_digest(F.col("headline"))], [order, others])
 
 
 def dedup_user(
@@ -62,7 +66,7 @@ def dedup_user(
     return keep_first(posts, ["stock", "user", *[F.when(alone, F.col(name)) for name in order]], list(order))
 
 
-def dedup_staged(posts: DataFrame, null_user: str = "keep", digest: str | None = None) -> DataFrame:
+def dedup_staged(posts: DataFrame, null_user: str = "keep", digest: str | None = None, *, with_text: bool = True) -> DataFrame:
     """De-duplicate source by source, as posts arrive.
 
     After the first source, repeated texts go; after each later one, repeated
@@ -76,12 +80,21 @@ def dedup_staged(posts: DataFrame, null_user: str = "keep", digest: str | None =
     The first source's own stage is not run apart, since the second stage's
     text pass starts from the same first rows. ``digest`` is as in
     ``dedup_text``.
+
+    The passes carry digests. With ``with_text`` the texts come back at the end,
+    by a join of the distinct texts with the posts that are left; else the
+    result has no ``text``.
     """
-    kept = posts if digest else posts.withColumn("_digest", text_digest(F.col("text")))
+    marked = posts if digest else posts.withColumn("_digest", text_digest(F.col("text")))
+    name = digest or "_digest"
+    kept = marked.drop("text")
     for stage in range(1, len(SOURCES)):
         waiting = F.col("ord") > stage
-        kept = keep_first(kept, ["stock", digest or "_digest", F.greatest("ord", F.lit(stage))], list(ARRIVAL))
+        kept = keep_first(kept, ["stock", name, F.greatest("ord", F.lit(stage))], list(ARRIVAL))
         kept = dedup_user(kept, null_user, waiting=waiting)
+    if with_text and "text" in posts.columns:
+        texts = marked.select(name, "text").distinct()  # copies are merged by hash before they move
+        return kept.join(texts, name, "left").select(posts.columns)
     return kept.drop("_digest")
 
 

@@ -20,6 +20,9 @@ Model = Callable[[Sequence[str]], np.ndarray]
 # Normalisation constant of the lexicon score (Hutto and Gilbert 2014).
 COMPOUND_ALPHA = 15.0
 
+# Parts in which the posts of one text meet its score.
+SALTS = 8
+
 
 def score_texts(
     texts: DataFrame,
@@ -63,13 +66,23 @@ def score_by_digest(
     """Add ``probability`` in [-1, 1] to posts that carry a digest for their text.
 
     ``texts`` has the digests with their texts, repeats allowed. Copies of a
-    text are merged before the shuffle, so each text moves once and is scored
-    once, and only if a post still needs it.
+    text are merged by hash before the shuffle, so each text moves once and is
+    scored once, and only if a post still needs it.
     """
-    once = texts.groupBy(digest).agg(F.any_value(text).alias(text))
+    once = texts.select(digest, text).distinct()  # a digest stands for one text
     needed = once.join(posts.select(digest).distinct(), digest, "left_semi")
     scored = score_texts(needed, load_model, digest, text, tasks)
-    return posts.join(scored.select(digest, net_sentiment(F.col("logits")).alias("probability")), digest)
+    scores = scored.select(digest, net_sentiment(F.col("logits")).alias("probability"))
+    return _spread_join(posts, scores, digest)
+
+
+def _spread_join(posts: DataFrame, scores: DataFrame, digest: str) -> DataFrame:
+    """Posts with their score; a text that most posts share is joined in ``SALTS`` parts."""
+    others = [name for name in posts.columns if name != digest]
+    part = F.pmod(F.xxhash64(*others), F.lit(SALTS)) if others else F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    every = F.explode(F.array(*[F.lit(n) for n in range(SALTS)])).alias("_part")
+    salted = posts.withColumn("_part", part.cast("int"))
+    return salted.join(scores.select("*", every), [digest, "_part"]).drop("_part")
 
 
 def score_posts_batch(
@@ -80,7 +93,7 @@ def score_posts_batch(
     once = posts.select(text).distinct().withColumn("_digest", text_digest(F.col(text)))
     scored = score_texts(once, load_model, "_digest", text, tasks)
     scores = scored.select("_digest", net_sentiment(F.col("logits")).alias("probability"))
-    return marked.join(scores, "_digest").drop("_digest")
+    return _spread_join(marked, scores, "_digest").drop("_digest").select(*posts.columns, "probability")
 
 
 def lexicon_score(news: DataFrame, lexicon: DataFrame, *, keys: list[str], text: str = "headline") -> DataFrame:

@@ -107,7 +107,7 @@ def social_sentiment(
     are computed twice.
     """
     prepared = _staged(prepare_posts(comments, stocktwits, twitter, stocks, load_language), stage_dir, "prepared")
-    kept = dedup_staged(prepared, null_user, "digest")
+    kept = dedup_staged(prepared, null_user, "digest", with_text=False)
     kept = _staged(kept.select("stock", "source", "digest"), stage_dir, "kept")
     scored = score_by_digest(kept, prepared.select("digest", "text"), load_model, tasks=model_tasks)
     return stock_sentiment_metrics(scored, stocks)
@@ -118,7 +118,7 @@ def scored_posts_metrics(posts: DataFrame, *, null_user: str = "keep") -> DataFr
 
     The metrics do not ask for the texts, so only digests are shuffled.
     """
-    return stock_sentiment_metrics(dedup_staged(posts, null_user))
+    return stock_sentiment_metrics(dedup_staged(posts, null_user, with_text=False))
 
 
 def news_vs_return(

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from murmur.functions import text as tx
 from murmur.params import COMMENT_LIMIT, REMOVED_BODY
 
+# Posts that one task may sort for a cap, and buckets of equal width that the ties are counted in.
+SORTED_POSTS = 10_000
+TIE_RANGES = 1000
+
 COMMENT_SCHEMA = "id BIGINT, created_utc BIGINT, body STRING"
 RAW_SCHEMA = "stock STRING, seq BIGINT, created_utc BIGINT, raw STRING"
 
@@ -39,22 +43,47 @@ def posts_in_window(posts: DataFrame, now: Column, hours: int, *, ts: str = "ts"
     return posts.where((F.col(ts) >= after) & (F.col(ts) < before) & ~F.col(body).eqNullSafe(F.lit(REMOVED_BODY)))
 
 
+def _reached(posts: DataFrame, bucket: Column, limit: int) -> tuple | None:
+    """The bucket in which a running count reaches ``limit``, and the posts before it."""
+    per = posts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    running = per.withColumn("upto", F.sum("n").over(Window.orderBy("bucket")))
+    row = running.where(F.col("upto") >= limit).orderBy("bucket").first()
+    return row and (row["bucket"], row["upto"] - row["n"])
+
+
 def cap_posts(posts: DataFrame, *, ts: str = "ts", tie: str = "seq", limit: int = COMMENT_LIMIT) -> DataFrame:
-    """The first ``limit`` posts by time.
+    """The first ``limit`` posts by time, then by ``tie``, a number.
 
     A plain sort-and-limit would send ``limit`` rows of every partition to one
-    task. Counting by minute first gives the minute in which the cap falls, so
-    only the capped rows and the rest of that minute are sorted. The running
-    count spans at most the minutes of the lookback.
+    task. Counts by hour, then by minute and second of where the cap falls, then
+    by ever narrower ranges of ``tie``, leave at most ``SORTED_POSTS`` rows to be
+    sorted, also when all posts share one second. A running count sees the hours
+    there are, or at most ``TIE_RANGES`` buckets; a few small jobs run while the
+    plan is built.
     """
-    minute = F.date_trunc("minute", F.col(ts)).cast(posts.schema[ts].dataType)
-    per_minute = posts.groupBy(minute.alias("minute")).agg(F.count(F.lit(1)).alias("n"))
-    running = per_minute.withColumn("upto", F.sum("n").over(Window.orderBy("minute")))
-    reached = running.where(F.col("upto") >= limit).agg(
-        (F.min("minute") + F.expr("interval 1 minute")).alias("reached")
-    )
-    near = posts.where(F.coalesce(F.col(ts) < reached.scalar(), F.lit(True)))
-    return near.orderBy(ts, tie).limit(limit)
+    whole, left, near = [], limit, posts
+
+    def narrow(bucket: Column) -> bool:
+        nonlocal near, left
+        found = _reached(near, bucket, left)
+        if found is None:
+            return False
+        at = F.lit(found[0])
+        before = bucket.isNull() if found[0] is None else (bucket < at) | bucket.isNull()
+        whole.append(near.where(before & ~bucket.eqNullSafe(at)))
+        near, left = near.where(bucket.eqNullSafe(at)), left - found[1]
+        return True
+
+    for unit in ("hour", "minute", "second"):
+        if not narrow(F.date_trunc(unit, F.col(ts)).cast(posts.schema[ts].dataType)):
+            return posts  # there are no more than the limit
+    sizes = near.agg(F.count(F.lit(1)).alias("n"), F.min(tie).alias("low"), F.max(tie).alias("high"), F.max(ts).eqNullSafe(F.min(ts)).alias("same"))
+    row = sizes.first()
+    while row["same"] and row["n"] > SORTED_POSTS and row["low"] != row["high"]:
+        step = max(1, (row["high"] - row["low"]) // TIE_RANGES + 1)
+        narrow(F.floor((F.col(tie) - F.lit(row["low"])) / F.lit(step)))
+        row = near.agg(F.count(F.lit(1)).alias("n"), F.min(tie).alias("low"), F.max(tie).alias("high"), F.lit(True).alias("same")).first()
+    return reduce(DataFrame.unionByName, whole, near.orderBy(ts, tie).limit(left))
 
 
 def parse_twitter(raw_posts: DataFrame, raw: str = "raw") -> DataFrame:

@@ -93,18 +93,43 @@ def test_fits_broadcast_measures(spark):
     assert not fits_broadcast(df, max_bytes=9_000)
 
 
-class _Session:
-    """As much of a session as ``shared_dir`` looks at."""
+class _Clustered:
+    """A session whose cluster names a shared folder."""
 
-    def __init__(self, master, folder):
-        self.sparkContext = type("Context", (), {"master": master})
-        self.conf = type("Conf", (), {"get": staticmethod(lambda name, default: folder)})
+    def __init__(self, spark, folder):
+        self._jvm, self._jsparkSession = spark._jvm, spark._jsparkSession
+        self.conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: folder)})
 
 
-def test_shared_dir_is_the_clusters():
-    cluster = _Session("yarn", "hdfs://shared/folder/")
+def test_shared_dir_is_the_clusters(spark, tmp_path):
+    cluster = _Clustered(spark, f"file://{tmp_path}/shared/")
     a, b = shared_dir(cluster, "x"), shared_dir(cluster, "x")
-    assert a.startswith("hdfs://shared/folder/x-") and a != b
-    assert shared_dir(_Session("local[8]", None), "x")
-    with pytest.raises(ValueError):
-        shared_dir(_Session("yarn", None), "x")
+    assert a.startswith("file:") and f"{tmp_path}/shared/x-" in a and a != b
+    assert spark.conf.get("spark.sql.warehouse.dir").split(":")[-1] in shared_dir(spark, "x")
+
+
+def test_texts_stay_out_of_the_fold(spark, sf_dir):
+    """An exchange of the staged fold never carries a text beside its post."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = QUERIES["dedup_staged"](spark, sf_dir)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    outputs = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            outputs.append(set(re.findall(r"(\w+)#", node.output().toString())))
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(tree)
+    assert any({"stock", "_digest"} <= names for names in outputs)
+    assert not any({"text", "_digest", "stock"} <= names for names in outputs)
+
+
+def test_no_sorted_aggregate_of_texts(spark, sf_dir):
+    assert "SortAggregate" not in plan(QUERIES["social_sentiment"](spark, sf_dir))

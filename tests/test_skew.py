@@ -50,7 +50,7 @@ def test_copies_are_dropped_before_the_shuffle(spark):
 
 def test_staged_dedup_never_shuffles_the_copies(spark):
     posts = dedup.with_source_order(skewed(spark))
-    records = shuffled_records(dedup.dedup_staged(posts).select("stock", "seq"))
+    records = shuffled_records(dedup.dedup_staged(posts, with_text=False).select("stock", "seq"))
     assert len(records) == 4
     assert max(records) <= ROWS * 2 // 3 + PARTS
 
@@ -93,3 +93,42 @@ def test_lexicon_shuffles_one_number_per_text(spark):
     words = spark.createDataFrame([("good", 1.0), ("bad", -1.0)], "token STRING, valence DOUBLE")
     scored = scoring.lexicon_score(posts.repartition(PARTS, "headline"), words, keys=["seq"])
     assert shuffled_records(scored) == [ROWS, ROWS]  # the sum, then the test's own repartition
+
+
+def test_copies_meet_their_score_in_parts(spark):
+    """The join of a third of all rows with one score is spread, whatever adaptive execution does."""
+    load = lambda: lambda batch: [[0.0, 0.0, 1.0]] * len(batch)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        scored = scoring.score_posts_batch(skewed(spark), load)
+        sizes = [r["count"] for r in scored.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == ROWS and max(sizes) < ROWS / 6
+
+
+def test_cap_in_one_second(spark):
+    """All posts in one second: few rows are sorted, and the right ones stay."""
+    from murmur.sources import posts as source
+
+    at = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    rows = spark.range(0, ROWS, 1, PARTS).select((F.col("id") * 7919 % 1_000_003).alias("seq"), at.alias("ts"))
+    kept = source.cap_posts(rows, limit=25_000)
+    assert max(shuffled_records(kept), default=0) <= 1100 * PARTS
+    expected = [r["seq"] for r in rows.orderBy("seq").limit(25_000).collect()]
+    assert sorted(r["seq"] for r in source.cap_posts(rows, limit=25_000).collect()) == expected
+
+
+def test_runs_without_a_rule_are_not_shuffled(spark):
+    from murmur.operators.match import keyword_match
+
+    posts = skewed(spark).select("seq", F.concat("text", F.lit(" common words here and there GME")).alias("text"))
+    rules = spark.createDataFrame([("GME", ["GME"])], "stock STRING, keywords ARRAY<STRING>")
+    found = keyword_match(posts, rules, max_broadcast_rows=0)
+    runs = shuffled_records(found)
+    assert found.count() == ROWS
+    assert sum(runs) <= 4 * ROWS  # of each text its digest and the one run; no word that no rule has
