@@ -96,16 +96,17 @@ def test_fits_broadcast_measures(spark):
 class _Clustered:
     """A session whose cluster names a shared folder."""
 
-    def __init__(self, spark, folder):
+    def __init__(self, spark, **settings):
         self._jvm, self._jsparkSession = spark._jvm, spark._jsparkSession
-        self.conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: folder)})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: settings.get(name, default))})
 
 
 def test_shared_dir_is_the_clusters(spark, tmp_path):
-    cluster = _Clustered(spark, f"file://{tmp_path}/shared/")
+    warehouse = {"spark.sql.warehouse.dir": f"file://{tmp_path}/warehouse"}
+    cluster = _Clustered(spark, **warehouse, **{"spark.checkpoint.dir": f"file://{tmp_path}/shared/"})
     a, b = shared_dir(cluster, "x"), shared_dir(cluster, "x")
     assert a.startswith("file:") and f"{tmp_path}/shared/x-" in a and a != b
-    assert spark.conf.get("spark.sql.warehouse.dir").split(":")[-1] in shared_dir(spark, "x")
+    assert f"{tmp_path}/warehouse/_work/x-" in shared_dir(_Clustered(spark, **warehouse), "x")
 
 
 def test_texts_stay_out_of_the_fold(spark, sf_dir):
