@@ -2,21 +2,26 @@
 
 Each stage takes what its predecessor kept, and all but the last return the
 columns of ``documents``. Between stages the documents are written to the shared
-folder and read back.
+folder and read back; so when a stage begins, the tables that the stages before
+it staged for themselves have served, and go.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm.arrow import staged
+from murmur.llm.arrow import delete_folders, noting_staged, staged
 from murmur.llm.mixing import mix, n_words
 from murmur.llm.near_dedup import keep_first, near_dedup
 from murmur.llm.packing import best_fit_packing
 from murmur.llm.substring_dedup import without_repeats
 from murmur.llm.toxicity import keep_clean
+from murmur.session import shared_dir
 
 #: SQL cannot express these stages; the tests hold them against brute force.
 ORACLE_SQL = None
@@ -25,21 +30,45 @@ ORACLE_SQL = None
 PASSAGE_WORDS = 50
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+_scratch: list[str] = []
+
+
+def stage(work: Stage) -> Stage:
+    """A stage that first deletes what the stage before it staged for itself."""
+
+    @wraps(work)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_folders(spark, _scratch)
+        with noting_staged() as folders:
+            out = work(spark, docs, sf_dir)
+        _scratch[:] = folders
+        return out
+
+    return begin
+
+
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; those without a doc_id are judged like any other."""
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id."""
     return keep_first(docs, near_dedup(docs, words=5, percent=80))
 
 
+@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that documents with a smaller doc_id hold; every document stays."""
     return without_repeats(docs, min_words=PASSAGE_WORDS)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a repeat is a row, and what is not taken goes."""
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
@@ -49,6 +78,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(docs.columns)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -66,8 +96,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each reads what its predecessor wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = staged(docs, name)
-    return docs
+    for name, work in STAGES[:-1]:
+        path = shared_dir(spark, f"pipeline-{name}")
+        work(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

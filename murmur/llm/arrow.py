@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from murmur.session import shared_dir
 
@@ -14,17 +15,40 @@ from murmur.session import shared_dir
 PIECE_BYTES = 2 << 20
 
 
+#: Where the folders of staged tables are noted, while someone asks for it.
+_NOTED: list[list[str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Lineage ends at the files, so a lost executor costs its tasks, not the
-    steps before them.
+    steps before them. The folder goes when the driver ends.
     """
     path = shared_dir(df.sparkSession, f"llm-{name}")
     df.write.parquet(path)
+    for noted in _NOTED:
+        noted.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noting_staged() -> Iterator[list[str]]:
+    """A list that gets the folder of every table staged meanwhile."""
+    noted: list[str] = []
+    _NOTED.append(noted)
+    try:
+        yield noted
+    finally:
+        _NOTED.remove(noted)
+
+
+def delete_folders(spark: SparkSession, folders: list[str]) -> None:
+    for name in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
