@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.arrow import batch_of, staged
+from murmur.llm.sampling import least_hashed
 
 #: Vectors, taken by least hash, that the lists are fitted on; most lists; share of the sample's neighbours to reach.
 SAMPLE, MOST_LISTS, REACH = 16_384, 1024, 0.99
@@ -137,7 +138,7 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, total = sizes
     rows = rows.where(F.size("vector") == dims)
-    sample = rows.orderBy(F.xxhash64(F.lit(SEED), "uid"), "uid").limit(SAMPLE).select("uid", "vector").toPandas()  # SAMPLE vectors
+    sample = least_hashed(rows.select("uid", "vector"), F.xxhash64(F.lit(SEED), "uid"), "uid", SAMPLE).toPandas()
     uids = sample["uid"].to_numpy()
     sample = np.stack(sample["vector"].to_numpy())
     lists = Lists((sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32), total, k)

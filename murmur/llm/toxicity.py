@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.arrow import batch_of, pieces, staged, strings
+from murmur.llm.sampling import least_hashed
 from murmur.llm.words import BETWEEN_TERMS, distinct, hash_words
 
 #: Most texts that are learned from, of either kind: those with the least hash.
@@ -100,9 +101,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         return np.zeros(FEATURES), -30.0
     prior = row[1] / row[0]
     order = F.xxhash64(F.lit(5), "doc_id")
-    positive = known.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(MOST_POSITIVE)
-    pool = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id")
-    pool = pool.orderBy(order, "doc_id").limit(MOST_UNLABELLED)
+    positive = least_hashed(known.where("toxic = 1").select("doc_id"), order, "doc_id", MOST_POSITIVE)
+    pool = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    pool = least_hashed(pool, order, "doc_id", MOST_UNLABELLED)
     ids = positive.withColumn("positive", F.lit(True)).union(pool.withColumn("positive", F.lit(False)))
     schema = pa.schema([("member", pa.int32()), ("positive", pa.bool_()), ("terms", pa.binary())])
 
@@ -113,6 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
             yield batch_of(schema, [piece.column("member"), piece.column("positive"), found])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")  # bounded by the two limits
+    texts = texts.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))  # one text of an id that repeats
     member = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(MEMBERS)).cast("int")
     sample = texts.select(member.alias("member"), "positive", "text")
     sample = sample.mapInArrow(gather, "member int, positive boolean, terms binary")

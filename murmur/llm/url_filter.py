@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.arrow import staged
+from murmur.llm.sampling import least_hashed
 
 #: (host, path, verdict): fits the host and its subdomains where the path begins so.
 RULES = (
@@ -64,7 +65,7 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     """
     host, path = parts(F.col("url"))
     rows = labelled.where("blocked is not null").select("url", F.col("blocked").cast("double").alias("blocked"))
-    rows = rows.groupBy("url").agg(F.max("blocked").alias("blocked")).orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED)
+    rows = least_hashed(rows.groupBy("url").agg(F.max("blocked").alias("blocked")), F.xxhash64("url"), "url", MOST_LABELLED)
     rows = staged(rows.select("blocked", grams(host, path).alias("grams")), "labelled")
     count, share = rows.agg(F.count(F.lit(1)), F.avg("blocked")).first()
     if not count:
@@ -113,4 +114,4 @@ def labelled_by_rules(pages: DataFrame, rules: tuple[tuple[str, str, str], ...]
     host, path = parts(F.col("url").cast("string"))
     rows = pages.select("url", rule_of(host, path, rules)["verdict"].alias("verdict")).where("verdict is not null")
     rows = rows.select("url", F.when(F.col("verdict") == "block", 1).otherwise(0).alias("blocked"))
-    return rows.orderBy(F.xxhash64("url"), "url").limit(MOST_LABELLED)
+    return least_hashed(rows.distinct(), F.xxhash64("url"), "url", MOST_LABELLED)
