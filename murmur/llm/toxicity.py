@@ -10,7 +10,8 @@ it cannot gain from calling confirmed texts clean.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -45,8 +46,30 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(features: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear model with the least non-negative risk."""
+class Model(NamedTuple):
+    """The features that count, their weights, and a bias."""
+
+    used: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+    def scorer(self) -> Callable[[pa.Array], np.ndarray]:
+        """Scores of a column of texts."""
+        weights = np.zeros(FEATURES)
+        weights[self.used] = self.weights
+
+        def score(column: pa.Array) -> np.ndarray:
+            flat, counts = terms(column)
+            return 1 / (1 + np.exp(-np.clip(_sums(weights[flat.astype(np.int64)], counts) + self.bias, -30, 30)))
+
+        return score
+
+
+NOTHING_KNOWN = Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
+
+
+def train(features: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
+    """A linear model with the least non-negative risk."""
     counts = np.array([len(f) for f in features])
     flat = np.concatenate(features) if len(features) else np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(features)), counts)
@@ -77,9 +100,7 @@ def train(features: list[np.ndarray], positive: np.ndarray, prior: float) -> tup
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    weights = np.zeros(FEATURES)
-    weights[used] = w[:-1]
-    return weights, float(w[-1])
+    return Model(used, w[:-1], float(w[-1]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -87,7 +108,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The mean of classifiers trained in tasks of their own on bounded samples.
 
     ``labels`` has (doc_id, toxic); rows that are held out, and labels that are
@@ -98,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     row = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not row[0] or not row[1]:
-        return np.zeros(FEATURES), -30.0
+        return NOTHING_KNOWN
     prior = row[1] / row[0]
     order = F.xxhash64(F.lit(5), "doc_id")
     positive = least_hashed(known.where("toxic = 1").select("doc_id"), order, "doc_id", MOST_POSITIVE)
@@ -124,20 +145,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["positive", "terms"])  # the same sums whatever the order of arrival
         features = [np.frombuffer(t, np.uint32).astype(np.int64) for t in group["terms"]]
-        weights, bias = train(features, group["positive"].to_numpy(bool), prior)
-        return pd.DataFrame({"weights": [weights.astype(np.float64).tobytes()], "bias": [bias]})
-
-    models = sample.groupBy("model").applyInPandas(learn, "weights binary, bias double").collect()  # MEMBERS rows
-    if not models:
-        return np.zeros(FEATURES), -30.0
-    weights = np.mean(np.sort([np.frombuffer(m["weights"]) for m in models], axis=0), axis=0)
-    return weights, float(np.mean(sorted(m["bias"] for m in models)))
-
+        model = train(features, group["positive"].to_numpy(bool), prior)
+        return pd.DataFrame({"used": [model.used.tolist()], "weights": [model.weights.tolist()], "bias": [model.bias]})
 
-def _scores(model: tuple[np.ndarray, float], column: pa.Array) -> np.ndarray:
-    weights, bias = model
-    flat, counts = terms(column)
-    return 1 / (1 + np.exp(-np.clip(_sums(weights[flat.astype(np.int64)], counts) + bias, -30, 30)))
+    # MEMBERS rows with the few features that stand out
+    rows = sample.groupBy("model").applyInPandas(learn, "used array<long>, weights array<double>, bias double").collect()
+    if not rows:
+        return NOTHING_KNOWN
+    mean: dict[int, float] = {}
+    for r in sorted(rows, key=lambda r: r["bias"]):
+        for feature, weight in zip(r["used"], r["weights"]):
+            mean[feature] = mean.get(feature, 0.0) + weight / len(rows)
+    used = sorted(mean)
+    return Model(np.array(used, np.int64), np.array([mean[f] for f in used]), sum(sorted(r["bias"] for r in rows)) / len(rows))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -146,12 +166,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null or empty text is scored by the bias. Rows without a doc_id are scored
     like any other and teach nothing; rows that repeat one are scored each.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # FEATURES numbers
+    model = fit(docs, labels)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = model.scorer()
         for piece in pieces(batches, "text"):
-            p = _scores(model.value, piece.column("text"))
+            p = scores(piece.column("text"))
             yield batch_of(schema, [piece.column("doc_id"), piece.column("held_out"), p, (p >= 0.5).astype(np.int32)])
 
     rows = docs.select(
@@ -162,10 +183,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, as they are, that are not predicted to be toxic."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = fit(docs, labels)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = model.scorer()
         for piece in pieces(batches, "text"):
-            yield piece.filter(pa.array(_scores(model.value, piece.column("text")) < 0.5))
+            yield piece.filter(pa.array(scores(piece.column("text")) < 0.5))
 
     return docs.mapInArrow(judge, docs.schema)
