@@ -135,8 +135,10 @@ def test_stages_of_odd_rows(spark, sf_dir, name):
 
 def test_toxicity_stage_of_odd_rows(spark, corpus):
     folder = corpus[0]
-    docs = spark.createDataFrame([(1, None, None, None, None), (None, "grobble snarf zibber", "en", "a", 1)], COLUMNS)
-    assert [r["doc_id"] for r in STAGES["toxicity"](spark, docs, folder).collect()] == [1]
+    odd = spark.createDataFrame([(5001, None, "odd", None, None), (None, "grobble snarf zibber", "odd", "a", 1)], COLUMNS)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").union(odd)
+    kept = STAGES["toxicity"](spark, docs, folder).where("lang = 'odd'").collect()
+    assert [r["doc_id"] for r in kept] == [5001]
     assert STAGES["toxicity"](spark, docs.limit(0), folder).count() == 0
 
 
