@@ -102,10 +102,12 @@ ORACLE = {
         with recursive w as (select doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} as w from documents),
         sets as (
             select doc_id, list_distinct(case when len(w) >= 4
-                then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
-                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s
+                then list_transform(range(1, len(w) - 2), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))
+                when len(w) > 0 then [hash(array_to_string(w, ' '))] else [] end) as s
             from w),
-        runs as (select doc_id, len(s) as n, unnest(s) as g from sets),
+        every as (select doc_id, len(s) as n, unnest(s) as g from sets),
+        shared as (select g from every group by g having count(*) > 1),
+        runs as materialized (select * from every semi join shared using (g)),
         links as (
             select a.doc_id as a, b.doc_id as b from runs a join runs b on a.g = b.g and a.doc_id <> b.doc_id
             group by all having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
@@ -113,19 +115,21 @@ ORACLE = {
         select s.doc_id, len(any_value(s.s)) as n_shingles, min(r.seen) as component_id, min(r.seen) = s.doc_id as kept
         from sets s join reach r using (doc_id) group by s.doc_id""",
     "op3_substring_dedup": rf"""
-        with w as (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),
-        windows as (
-            select doc_id, unnest(range(1, len(w) - 11)) as i, array_to_string(w[i:i + 12], ' ') as g from w where len(w) >= 13),
+        with w as materialized (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),
+        windows as materialized (
+            select doc_id, unnest(range(1, len(w) - 11)) as i,
+                unnest(list_transform(range(1, len(w) - 11), lambda i: hash(array_to_string(w[i:i + 12], ' ')))) as g
+            from w where len(w) >= 13),
+        firsts as (select g, min(doc_id) as first from windows group by g having count(*) > 1),
         gone as (
             select distinct doc_id, unnest(range(i, i + 13)) as i
-            from windows join (select g, min(doc_id) as first from windows group by g) using (g) where first < doc_id),
-        per as (select doc_id, list(i) as gone from gone group by doc_id),
+            from windows join firsts using (g) where first < doc_id),
+        words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from w),
         kept as (
-            select doc_id, w, coalesce(len(gone), 0) as n_removed,
-                case when gone is null then w else list_transform(
-                    list_filter(range(1, len(w) + 1), lambda j: not list_contains(gone, j)), lambda j: w[j]) end as k
-            from w left join per using (doc_id))
-        select doc_id, len(w) as n_words, n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept""",
+            select doc_id, string_agg(word, ' ' order by i) as k, count(*) as n
+            from words anti join gone using (doc_id, i) group by doc_id)
+        select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(k, '')) as kept_sha256
+        from w left join kept using (doc_id)""",
     "op10_spotsigs": f"""
         with d as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
         nexts as (
