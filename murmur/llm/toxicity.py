@@ -70,18 +70,17 @@ NOTHING_KNOWN = Model(np.zeros(0, np.int64), np.zeros(0), -30.0)
 
 def train(features: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
     """A linear model with the least non-negative risk."""
-    counts = np.array([len(f) for f in features])
-    flat = np.concatenate(features) if len(features) else np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(features)), counts)
     n_pos, n_un = max(1, positive.sum()), max(1, (~positive).sum())
-    share_pos = np.bincount(flat[positive[text]], minlength=FEATURES) / n_pos
-    share_un = np.bincount(flat[~positive[text]], minlength=FEATURES) / n_un
-    both = (share_pos * n_pos + share_un * n_un + 1) / (n_pos + n_un + 2)
+    seen = [np.zeros(FEATURES), np.zeros(FEATURES)]
+    for found, toxic in zip(features, positive):
+        seen[int(toxic)][found] += 1  # features of one text are distinct
+    both = (seen[0] + seen[1] + 1) / (n_pos + n_un + 2)
     error = np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_un))
-    keep = (share_pos - share_un > LEAST_SIGN * error)[flat]
-    used, flat = np.unique(flat[keep], return_inverse=True)
-    text = text[keep]
-    counts = np.bincount(text, minlength=len(features))
+    stands_out = seen[1] / n_pos - seen[0] / n_un > LEAST_SIGN * error
+    features = [found[stands_out[found]] for found in features]
+    counts = np.array([len(f) for f in features])
+    text = np.repeat(np.arange(len(features)), counts)
+    used, flat = np.unique(np.concatenate(features) if features else np.zeros(0, np.int64), return_inverse=True)
     w, bias = np.zeros(len(used) + 1), np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     w[-1] = bias
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -144,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def learn(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["positive", "terms"])  # the same sums whatever the order of arrival
-        features = [np.frombuffer(t, np.uint32).astype(np.int64) for t in group["terms"]]
+        features = [np.frombuffer(t, np.uint32) for t in group["terms"]]
         model = train(features, group["positive"].to_numpy(bool), prior)
         return pd.DataFrame({"used": [model.used.tolist()], "weights": [model.weights.tolist()], "bias": [model.bias]})
 
