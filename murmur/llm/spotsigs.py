@@ -113,14 +113,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents that repeat theirs, the one that starts least counts. A row without
     a doc_id has no next: its end is cut, and its ``near_next`` is null.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    before = neighbours(rows.select("doc_id", F.length("text").alias("n_chars")))
-    heads = rows.join(before, "doc_id").select(
+    plain = id_col == "doc_id" and dict(docs.dtypes)[id_col] == "bigint"
+    # a column under its own name, so that both uses of the texts below are one and the same plan
+    key = F.col(id_col) if plain else F.col(id_col).cast("long").alias("doc_id")
+    rows = docs.select(key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    named, alone = rows.where("doc_id is not null"), rows.where("doc_id is null")
+    before = neighbours(named.select("doc_id", F.length("text").alias("n_chars")))
+    heads = named.join(before, "doc_id").select(
         F.col("before").alias("id_before"),
         F.struct(F.expr("substring(text, 1, most div 4)").alias("head"), signatures(F.col("text")).alias("next_signatures")).alias("next"),
     )
     heads = heads.groupBy("id_before").agg(F.min("next").alias("next"))
-    rows = rows.join(heads, F.col("doc_id") == F.col("id_before"), "left")
+    # both joins read the texts as one exchange by doc_id
+    rows = named.join(heads, F.col("doc_id") == F.col("id_before"), "left").drop("id_before")
+    rows = rows.unionByName(alone.withColumn("next", F.lit(None).cast(rows.schema["next"].dataType)))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, n_chars - n_chars div 4), substring(coalesce(next.head, ''), 1, n_chars div 4))")
     rows = rows.select("doc_id", "n_chars", "text", edited.alias("edited"), F.col("next.next_signatures").alias("next_signatures"))
