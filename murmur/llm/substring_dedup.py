@@ -181,13 +181,15 @@ def _crc(texts: list[str]) -> np.ndarray:
 def repeated_spans(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, ...]:
     """What ``substring_dedup`` finds, as three tables.
 
-    ``base``: (doc_id, n_words, sha256 of the words, text_md5, copy) for every row,
-    where a copy's words are all those of a document with a smaller doc_id.
-    ``cut``: the doc_id of those other documents that have repeated windows.
+    ``base``: (doc_id, text_crc, n_words, sha256 of the words, text_md5, copy) for every
+    row, where a copy's words are all those of a document with a smaller doc_id.
+    ``cut``: (doc_id, text_crc) of those other texts that have repeated windows.
     ``found``: (doc_id, text, spans) of these, with the runs of such windows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string()), ("text_md5", pa.string())])
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("text_crc", pa.int64()), ("n_words", pa.int64()), ("sha256", pa.string()), ("text_md5", pa.string())]
+    )
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
@@ -195,12 +197,13 @@ def repeated_spans(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
             split = [t.split() for t in texts]
             sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in split]
             md5 = [hashlib.md5(t).hexdigest() for t in texts]
-            yield batch_of(schema, [piece.column("doc_id"), [len(w) for w in split], sha, md5])
+            crc = [zlib.crc32(t) for t in texts]
+            yield batch_of(schema, [piece.column("doc_id"), crc, [len(w) for w in split], sha, md5])
 
-    base = staged(rows.mapInArrow(digest, "doc_id long, n_words long, sha256 string, text_md5 string"), "words")
+    base = staged(rows.mapInArrow(digest, "doc_id long, text_crc long, n_words long, sha256 string, text_md5 string"), "words")
     first = base.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= min_words), F.lit(False))
-    base = base.join(first.drop("rows"), "sha256", "left").select("doc_id", "n_words", "sha256", "text_md5", copy.alias("copy"))
+    base = base.join(first.drop("rows"), "sha256", "left").select("doc_id", "text_crc", "n_words", "sha256", "text_md5", copy.alias("copy"))
     base = staged(base, "base")
 
     total = base.agg(F.sum("n_words")).first()[0] or 0
@@ -237,7 +240,7 @@ def repeated_spans(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
 
     found = _met(seeded.mapInArrow(_packed(extended, buckets, True), _PACK_TYPES), buckets, True)
     found = staged(found, "found")
-    return base, found.select("doc_id"), seeded.drop("spans").join(found, ["doc_id", "text_crc"]).select("doc_id", "text", "spans")
+    return base, found.select("doc_id", "text_crc"), seeded.drop("spans").join(found, ["doc_id", "text_crc"]).select("doc_id", "text", "spans")
 
 
 def covered(piece: pa.RecordBatch, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,8 +282,8 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id"
             yield rows.filter(pa.array(counts > 0))
 
     changed = found.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    same = base.join(cuts.distinct().withColumn("cut", F.lit(True)), "doc_id", "left")
-    same = same.where("cut is null or n_words = 0")
+    # a text, not a document, is cut: of texts that share a doc_id some may hold no repeat
+    same = base.join(cuts, ["doc_id", "text_crc"], "left_anti")
     same = same.select(
         "doc_id",
         "n_words",

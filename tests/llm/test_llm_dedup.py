@@ -163,6 +163,15 @@ def test_substring_dedup(spark, monkeypatch, batch):
     assert sorted(map(tuple, got), key=str) == sorted(brute_cut(rows, 13), key=str)
 
 
+def test_substring_dedup_keeps_clean_texts_of_a_cut_document(spark):
+    """Texts with and without a repeat, a copy and an empty text under one doc_id."""
+    rng = random.Random(4)
+    first, second, clean = (" ".join(f"{side}{rng.randint(0, 999)}" for _ in range(30)) for side in "fsc")
+    rows = [(1, first), (2, second), (7, clean), (7, "new " + first + " end"), (7, "short one"), (7, second), (7, ""), (7, None), (8, clean), (8, clean)]
+    got = substring_dedup(spark.createDataFrame(rows, TYPES).repartition(3)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_cut(rows, 13), key=str)
+
+
 def test_substring_dedup_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], TYPES)).count() == 0
 
