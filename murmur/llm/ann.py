@@ -5,12 +5,14 @@ distance, and dealt to the lists of centroids fitted on a bounded sample. A list
 is cut into blocks. Where a block meets the queries that probe its list,
 distances grow by blocks of columns; after each, a hypothesis test abandons the
 candidates whose partial distance says that they are farther than what the query
-has already. The survivors are scored exactly on the original vectors.
+has already. The survivors are scored exactly on the original vectors. A query
+left with fewer than it asked for meets every block again, without a test.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ SAMPLE, MOST_LISTS, REACH = 16_384, 1024, 0.99
 BLOCK, QUERIES = 4096, 256
 #: Columns after which candidates are tested, as shares of all, and the test's width.
 COLUMNS, WIDTH = (0.125, 0.25, 0.5, 0.75, 1.0), 2.6
+#: Pairs that are scored exactly at a time.
+PAIRS = 1 << 16
 SEED = 11
 
 
@@ -72,7 +76,7 @@ def scan(cand: np.ndarray, asked: np.ndarray, limit: np.ndarray, k: int) -> tupl
     """(query, candidate, squared distance) of the pairs that no test abandoned.
 
     ``limit`` is a squared distance within which each query is known to have
-    ``k`` neighbours somewhere; the first candidates may lower it.
+    ``k`` neighbours in the lists it probes; the first candidates may lower it.
     """
     dims = cand.shape[1]
     ends = sorted({max(1, round(share * dims)) for share in COLUMNS})
@@ -82,7 +86,7 @@ def scan(cand: np.ndarray, asked: np.ndarray, limit: np.ndarray, k: int) -> tupl
         limit = np.minimum(limit, np.partition(full, k, axis=1)[:, k])  # one of them may be the query itself
     done = ends[0]
     part = (asked[:, :done] ** 2).sum(1)[:, None] + (cand[:, :done] ** 2).sum(1) - 2 * asked[:, :done] @ cand[:, :done].T
-    q, c = np.nonzero(part * (dims / done) <= (limit * (1 + WIDTH / done**0.5) ** 2)[:, None])
+    q, c = np.nonzero(part * (dims / done) <= (limit * (1 + WIDTH / done**0.5) ** 2)[:, None] + 1e-4)  # rounding, where distances are 0
     far = part[q, c]
     for end in ends[1:]:
         far = far + ((cand[c, done:end] - asked[q, done:end]) ** 2).sum(axis=1)
@@ -92,12 +96,22 @@ def scan(cand: np.ndarray, asked: np.ndarray, limit: np.ndarray, k: int) -> tupl
     return q, c, far
 
 
+def every_pair(cand: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as ``scan`` without a test: all pairs."""
+    far = (asked**2).sum(1)[:, None] + (cand**2).sum(1) - 2 * asked @ cand.T
+    q, c = np.indices(far.shape).reshape(2, -1)
+    return q, c, far.ravel()
+
+
 _HIT = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("uid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def _best(query: dict, block: dict, k: int) -> pa.RecordBatch | None:
-    """Each query's ``k`` best candidates of one block by exact cosine."""
-    q, c, far = scan(block["unit"], query["unit"], query["limit"].copy(), k)
+def _best(query: dict, block: dict, k: int, exact: bool) -> pa.RecordBatch | None:
+    """Each query's ``k`` best candidates of one block by exact cosine; of all of them if ``exact``."""
+    if exact:
+        q, c, far = every_pair(block["unit"], query["unit"])
+    else:
+        q, c, far = scan(block["unit"], query["unit"], query["limit"].copy(), k)
     other = query["uid"][q] != block["uid"][c]
     q, c, far = q[other], c[other], far[other]
     if not len(q):
@@ -108,8 +122,10 @@ def _best(query: dict, block: dict, k: int) -> pa.RecordBatch | None:
     kth = far[np.minimum(heads + k - 1, np.searchsorted(q, q, side="right") - 1)]
     keep = far <= kth + 1e-4  # ties and rounding are left to the exact score
     q, c = q[keep], c[keep]
-    a, b = query["vector"][q], block["vector"][c]
-    score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+    score = np.empty(len(q))
+    for at in range(0, len(q), PAIRS):
+        a, b = query["vector"][q[at : at + PAIRS]], block["vector"][c[at : at + PAIRS]]
+        score[at : at + PAIRS] = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
     order = np.lexsort((block["uid"][c], block["id"][c], -score, q))
     q, c, score = q[order], c[order], score[order]
     top = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -163,16 +179,16 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, own = shared.value
-        near = min(len(index.centers), 4)
         for batch in batches:
             unit = _unit(_vectors(batch.column("vector"), dims), index.turn)
             order = np.argsort(-(unit @ index.centers.T), axis=1, kind="stable")
             for i, uid in enumerate(batch.column("uid").to_pylist()):
-                some = np.isin(index.sample_list, order[i, :near]) & (own != uid)
-                far = ((index.sample[some] - unit[i]) ** 2).sum(axis=1)
-                limit = np.partition(far, k - 1)[k - 1] if len(far) >= k else np.inf
                 upto = np.cumsum(counts[order[i]])
                 n = max(index.probes, int(np.searchsorted(upto, k + 1)) + 1)  # k candidates and itself
+                # of lists that are scanned, or the limit rests on neighbours that are never met
+                some = np.isin(index.sample_list, order[i, : min(n, 4)]) & (own != uid)
+                far = ((index.sample[some] - unit[i]) ** 2).sum(axis=1)
+                limit = np.partition(far, k - 1)[k - 1] if len(far) >= k else np.inf
                 found = np.concatenate([np.arange(base[x], base[x + 1]) for x in order[i, :n]])
                 row = batch.slice(i, 1)
                 again = pa.array(np.zeros(len(found), np.int64))
@@ -181,14 +197,14 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
                     [found, np.full(len(found), limit, np.float32), *(row.column(c).take(again) for c in ("uid", "id", "vector"))],
                 )
 
-    asked = dealt.where(F.col("id") % every == 0).select("uid", "id", "vector")
-    asked = asked.mapInArrow(probe, "block long, limit float, uid long, id long, vector array<double>").withColumn("asks", F.lit(True))
+    queries = dealt.where(F.col("id") % every == 0).select("uid", "id", "vector")
+    asked = queries.mapInArrow(probe, "block long, limit float, uid long, id long, vector array<double>").withColumn("asks", F.lit(True))
     starts = F.get(F.split(F.lit(",".join(map(str, base))), ",").cast("array<long>"), F.col("list"))  # a number a list
     parts = F.get(F.split(F.lit(",".join(map(str, blocks))), ",").cast("array<long>"), F.col("list"))
     held = dealt.select((starts + F.pmod(F.xxhash64("uid"), parts)).alias("block"), F.lit(0.0).cast("float").alias("limit"), "uid", "id", "vector")
-    both = held.withColumn("asks", F.lit(False)).unionByName(asked)
+    held = held.withColumn("asks", F.lit(False))
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch], exact: bool = False) -> Iterator[pa.RecordBatch]:
         index = shared.value[0]
         now, parts_held, block = None, [], None
         for batch in batches:
@@ -206,15 +222,27 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
                 if block is None and parts_held:
                     block = _loaded(pa.concat_batches(parts_held), dims, index.turn)
                 for at in range(0, part.num_rows if block else 0, QUERIES):
-                    hits = _best(_loaded(part.slice(at, QUERIES), dims, index.turn), block, k)
+                    hits = _best(_loaded(part.slice(at, QUERIES), dims, index.turn), block, k, exact)
                     if hits is not None:
                         yield hits
 
-    met = both.repartition("block").sortWithinPartitions("block", "asks")
-    met = met.mapInArrow(meet, "query long, query_id long, uid long, vec_id long, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    def ranked(asked: DataFrame, work: Callable) -> DataFrame:
+        met = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks")
+        met = met.mapInArrow(work, "query long, query_id long, uid long, vec_id long, score double")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
+        return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    found = staged(ranked(asked, meet), "found")
+    # the test may have abandoned candidates of a query until fewer than k were left
+    full = found.groupBy(F.col("query").alias("uid")).count().where(F.col("count") >= min(k, total - 1))
+    short = staged(queries.join(full, "uid", "left_anti"), "short")
+    result = ["query_id", "rank", "vec_id", "score"]
+    if total == 1 or short.isEmpty():
+        return found.select(result)
+    again = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(base[-1]) - 1)))).withColumn("block", F.col("block").cast("long"))
+    again = again.select("block", F.lit(float("inf")).cast("float").alias("limit"), "uid", "id", "vector", F.lit(True).alias("asks"))
+    found = found.join(short.select(F.col("uid").alias("query")), "query", "left_anti")
+    return found.select(result).unionByName(ranked(again, partial(meet, exact=True)).select(result))
 
 
 def _loaded(batch: pa.RecordBatch, dims: int, turn: np.ndarray) -> dict:

@@ -221,6 +221,40 @@ def test_nearest_of_few(spark):
     assert nearest(frame.limit(0)).count() == 0 and nearest(frame.limit(1)).count() == 0
 
 
+def ranks_of(frame, **kwargs):
+    ranks = {}
+    for r in nearest(frame, **kwargs).collect():
+        ranks.setdefault(r["query_id"], []).append(r["rank"])
+    return {query: sorted(r) for query, r in ranks.items()}
+
+
+def test_nearest_of_clustered_vectors(spark):
+    """Few lists are probed where vectors are clustered; no query may go short."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(60, 64))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    vectors = centers[rng.integers(0, 60, 3000)] + rng.normal(scale=0.05, size=(3000, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    ranks = ranks_of(frame, every=2)
+    assert set(ranks) == set(range(0, 3000, 2))
+    assert [q for q, r in ranks.items() if r != [1, 2, 3, 4, 5]] == []
+
+
+def test_nearest_where_the_test_abandons_all(spark):
+    """Neighbours that differ from a query in one turned column look eight times as far after the first eight."""
+    rng = np.random.default_rng(7)
+    turn = np.linalg.qr(np.random.default_rng(ann.SEED).standard_normal((64, 64)))[0]
+    vectors = rng.normal(size=(300, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    for i in range(1, 6):
+        vectors[i] = vectors[0] + (0.1 + 0.001 * i) * turn[:, 0]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in nearest(frame).collect() if r["query_id"] == 0)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    best = [i for i in np.argsort(-(unit @ unit[0]), kind="stable").tolist() if i][:5]
+    assert got == list(enumerate(best, 1))
+
+
 def test_blocks_change_nothing(spark, sf_dir, monkeypatch):
     whole = sorted(map(tuple, QUERIES["op4_ann"](spark, sf_dir).collect()))
     monkeypatch.setattr(ann, "BLOCK", 7)
