@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from murmur.llm.arrow import delete_folders, noting_staged, staged
 from murmur.llm.mixing import mix, n_words
-from murmur.llm.near_dedup import keep_first, near_dedup
+from murmur.llm.near_dedup import one_of_each
 from murmur.llm.packing import best_fit_packing
 from murmur.llm.substring_dedup import without_repeats
 from murmur.llm.toxicity import keep_clean
@@ -58,8 +58,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id."""
-    return keep_first(docs, near_dedup(docs, words=5, percent=80))
+    """One document of each group of near copies: the one with the smallest doc_id; of those without one, one as well."""
+    return one_of_each(docs, words=5, percent=80)
 
 
 @stage

@@ -240,10 +240,25 @@ def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The documents that stay: of each group the one with the smallest doc_id.
 
     Rows that repeat that doc_id stay once, by the least text; rows without a
-    doc_id stay unless they copy a document.
+    doc_id all stay. ``one_of_each`` looks at rows instead.
     """
     kept = groups.where("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     named = named.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
     return named.unionByName(docs.where("doc_id is null"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows that stay: of each group of near copies the one with the smallest doc_id.
+
+    Rows are grouped by an id of their own, so texts that are unlike each other
+    stay also under one doc_id; where rows of a group share its smallest doc_id,
+    the least digest of the text decides. Of a group's rows without a doc_id one
+    stays as well, also beside one with a doc_id.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_dedup(rows, words, percent, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"))
+    first = groups.join(ids, "_row").groupBy("_group", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "digest", "_row"))["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(docs.columns)

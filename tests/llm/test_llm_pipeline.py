@@ -133,6 +133,17 @@ def test_stages_of_odd_rows(spark, sf_dir, name):
     assert STAGES[name](spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_near_dedup_stage_looks_at_rows_not_ids(spark, sf_dir):
+    """Unlike texts under one doc_id stay; of copies without a doc_id one does."""
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "other"])
+    texts = [(None, " ".join(base)), (None, " ".join(base)), (None, near), (7, "a quite different text stands here"), (7, "b and one more that is not like it"), (7, "b and one more that is not like it")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], COLUMNS).repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in STAGES["near_dedup"](spark, docs, sf_dir).collect()), key=str)
+    assert [r for r in got if r[0] == 7] == [texts[3], texts[4]]
+    assert len(got) == 3 and got[2] in (texts[0], texts[2])
+
+
 def test_toxicity_stage_of_odd_rows(spark, corpus):
     folder = corpus[0]
     odd = spark.createDataFrame([(5001, None, "odd", None, None), (None, "grobble snarf zibber", "odd", "a", 1)], COLUMNS)
