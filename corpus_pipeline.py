@@ -2,8 +2,8 @@
 
 Each stage takes what its predecessor kept, and all but the last return the
 columns of ``documents``. Between stages the documents are written to the shared
-folder and read back; so when a stage begins, the tables that the stages before
-it staged for themselves have served, and go.
+folder and read back; what a stage staged for itself goes once its output is
+written. The tables behind the packed sequences stay as long as the driver.
 """
 
 from __future__ import annotations
@@ -33,18 +33,25 @@ PASSAGE_WORDS = 50
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-_scratch: list[str] = []
+#: What each stage that was called by itself staged, until a later one is.
+_scratch: dict[str, list[str]] = {}
 
 
 def stage(work: Stage) -> Stage:
-    """A stage that first deletes what the stage before it staged for itself."""
+    """A stage that, called by itself, first deletes what the stages before it in ``STAGES`` staged.
+
+    Their results are then taken to be written. Those of itself and of later
+    stages are left alone, and so is all that ``run`` staged.
+    """
 
     @wraps(work)
     def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete_folders(spark, _scratch)
+        order = [s.__name__ for _, s in STAGES]
+        for earlier in order[: order.index(work.__name__)]:
+            delete_folders(spark, _scratch.pop(earlier, []))
         with noting_staged() as folders:
             out = work(spark, docs, sf_dir)
-        _scratch[:] = folders
+        _scratch[work.__name__] = folders
         return out
 
     return begin
@@ -98,6 +105,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, work in STAGES[:-1]:
         path = shared_dir(spark, f"pipeline-{name}")
-        work(spark, docs, sf_dir).write.parquet(path)
+        with noting_staged() as folders:
+            work.__wrapped__(spark, docs, sf_dir).write.parquet(path)
+        delete_folders(spark, folders)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1].__wrapped__(spark, docs, sf_dir)

@@ -119,6 +119,15 @@ def test_run_is_the_stages(spark, sf_dir):
     assert "pipeline" not in QUERIES  # the registry adds it
 
 
+def test_results_outlive_later_calls(spark, sf_dir):
+    """A result that was not read yet, of the last stage or of ``run``, is not deleted by other calls."""
+    docs = spark.createDataFrame([(i, f"text {i} of some", "en", "a", 14) for i in range(5)], COLUMNS)
+    packed = STAGES["packing"](spark, docs, sf_dir)
+    whole = corpus_pipeline.run(spark, sf_dir)
+    assert STAGES["substring_dedup"](spark, docs, sf_dir).count() == 5
+    assert packed.count() == 5 and whole.count() > 0
+
+
 @pytest.mark.parametrize("name", ["near_dedup", "substring_dedup", "mixing"])
 def test_stages_of_odd_rows(spark, sf_dir, name):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "a b c", "en", "a", 5), (3, "a b c", "en", None, 5), (3, "a b c", "en", None, 5)]
