@@ -24,6 +24,8 @@ RULES = (
 BUCKETS, GRAM = 4096, 3
 MOST_LABELLED = 2_000
 STEPS, RATE, DECAY = 15, 0.6, 1e-3
+#: Bias of a model that saw no label: it scores every url alike, under 0.5, and so allows it.
+UNTRAINED = -1.0
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -61,7 +63,8 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     """Weights by bucket and bias from rows (url, blocked), by adaptive gradient steps.
 
     Of more than ``MOST_LABELLED`` rows those with the least hash of the url are
-    taken. Null labels are left out; with no row at all every weight is 0.
+    taken. Null labels are left out; with no row at all every weight is 0 and the
+    bias ``UNTRAINED``, as a model that learned nothing must not block.
     """
     host, path = parts(F.col("url"))
     rows = labelled.where("blocked is not null").select("url", F.col("blocked").cast("double").alias("blocked"))
@@ -69,7 +72,7 @@ def train(labelled: DataFrame) -> tuple[list[float], float]:
     rows = staged(rows.select("blocked", grams(host, path).alias("grams")), "labelled")
     count, share = rows.agg(F.count(F.lit(1)), F.avg("blocked")).first()
     if not count:
-        return [0.0] * BUCKETS, 0.0
+        return [0.0] * BUCKETS, UNTRAINED
     w, squares = [0.0] * (BUCKETS + 1), [0.0] * (BUCKETS + 1)  # the last is the bias
     for _ in range(STEPS):
         off = rows.select("grams", (_probability(F.col("grams"), w) - F.col("blocked")).alias("off"))
@@ -97,7 +100,7 @@ def url_filter(
 
     The longest fitting rule decides, of equally long ones the last by code
     point; ``rule`` is null where the regression does: it blocks from a score of
-    0.5 on. A null url, or one without ``://``, has an empty host and path.
+    0.5 on, and never if it had no label to learn from. A null url, or one without ``://``, has an empty host and path.
     Repeated rows are judged each; other columns are not looked at.
     """
     weights, bias = train(labelled)

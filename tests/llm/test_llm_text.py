@@ -176,6 +176,13 @@ def test_regression_learns(spark):
     assert np.mean([(r["verdict"] == "block") == bool(r["page_id"]) for r in got]) > 0.95
 
 
+def test_untrained_regression_allows(spark):
+    """Where no url fits a rule there is no label."""
+    frame = spark.createDataFrame([(i, f"http://a{i}.{end}/x/{i}") for i, end in enumerate(["org", "de"] * 5)], "page_id long, url string")
+    got = url_filter(frame, labelled_by_rules(frame)).collect()
+    assert {(r["rule"], r["verdict"]) for r in got} == {(None, "allow")} and all(r["score"] < 0.5 for r in got)
+
+
 def test_native_plans(spark, sf_dir):
     for name in ("op2_url_filter", "op10_spotsigs"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
