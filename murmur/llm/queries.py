@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm.ann import nearest
+from murmur.llm.chat import chat_windows, read_back
+from murmur.llm.lexical import lexical_search
 from murmur.llm.mixing import mix, n_words
 from murmur.llm.near_dedup import near_dedup
 from murmur.llm.packing import best_fit_packing
+from murmur.llm.periodic import periodic_runs, planted
 from murmur.llm.spotsigs import CHAIN, COMMON, DIGITS, LEAST, fingerprints
 from murmur.llm.substring_dedup import substring_dedup
 from murmur.llm.token_counts import sample_edits, token_counts
@@ -74,6 +77,32 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of each benchmark item."""
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+#: Both texts of the conversation that the query adds, numbered -7.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the training strings of all conversations hold, read back from them."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    added = spark.createDataFrame(added, "conv_id long, turn long, role string, text string")
+    # the digests need each conversation whole
+    return read_back(chat_windows(rows.unionByName(added), together=True))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, of which one in ten gets one planted."""
+    docs = _table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs(docs, least=24)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,12 +116,17 @@ QUERIES = {
         op8_source_mixing,
         op9_best_fit_packing,
         op10_spotsigs,
+        op11_lexical_search,
+        op12_chat_format,
+        op13_periodic_runs,
     )
 }
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+TERMS = rf"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 _LIKE = f"""case when len({{a}}) + len({{b}}) = 0 then 1.0::double
     when least(len({{a}}), len({{b}})) < {LEAST} * greatest(len({{a}}), len({{b}})) then 0.0::double
     else len(list_intersect({{a}}, {{b}}))::double / (len({{a}}) + len({{b}}) - len(list_intersect({{a}}, {{b}}))) end"""
@@ -159,4 +193,16 @@ ORACLE = {
             array_to_string(b, '') as edited_fingerprint, {_LIKE.format(a="a", b="b")} as near_edited,
             {_LIKE.format(a="a", b="c")} as near_next, len(a) as n_signatures
         from three""",
+    "op11_lexical_search": rf"""
+        with d as (select doc_id, {TERMS} as t from documents),
+        total as (select count(*) as n_docs, sum(len(t))::bigint as n_terms from d where len(t) > 0),
+        q as (select item_id, unnest({TERMS}) as term from benchmark),
+        asked as (select item_id, term, count(*) as times from q group by all),
+        tf as (select doc_id, len(t) as n, term, count(*) as tf from (select doc_id, t, unnest(t) as term from d) semi join asked using (term) group by all),
+        w as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::bigint as w from tf, total group by term, n_docs),
+        scored as (
+            select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::bigint as score
+            from asked join tf using (term) join w using (term), total group by all)
+        select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score
+        from scored where score > 0 qualify rank <= 10""",
 }
