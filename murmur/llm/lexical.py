@@ -1,6 +1,7 @@
 """Ranked lexical search by geometric blocks of posting lists.
 
-The documents are indexed in shards. In each, a term's posting list is cut into
+Documents are indexed in shards of some thousands, each in a task's memory and
+searched there. In a shard, a term's posting list is cut into
 blocks of documents that are alike: some of its documents are pivots, and each
 other one goes with the pivot of the greatest cosine between their impacts. A
 block's summary is the greatest impact of each term over its documents, so the
@@ -160,14 +161,6 @@ class Shard:
     summary_most: np.ndarray
 
 
-SHARD_FIELDS = tuple(Shard.__annotations__)
-_WIDE = {"ids", "doc_impacts", "summary_most"}
-_SHARD_SCHEMA = pa.schema(
-    [(f, pa.list_(pa.int64() if f in _WIDE else pa.bool_() if f == "unnamed" else pa.int32())) for f in SHARD_FIELDS]
-)
-_SHARD_TYPES = ", ".join(f"{f} array<{'long' if f in _WIDE else 'boolean' if f == 'unnamed' else 'int'}>" for f in SHARD_FIELDS)
-
-
 def _rows_of(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all entries of some rows, and how many each has."""
     counts = starts[rows + 1] - starts[rows]
@@ -234,11 +227,12 @@ def build_shard(ids: list, counts: np.ndarray, terms: np.ndarray, impacts: np.nd
     )
 
 
-def _index(forward: DataFrame, items: Items, place: np.ndarray, weights: np.ndarray, n_docs: int, n_terms: int) -> DataFrame:
-    """One row a shard, of the arrays in ``Shard``."""
-    partners = items.partners()
+def _shards(
+    batches: Iterable[pa.RecordBatch], place: np.ndarray, weights: np.ndarray, n_docs: int, n_terms: int, partners: list[np.ndarray]
+) -> Iterator[Shard]:
+    """The rows of ``_forward`` indexed, some thousands at a time; one document is never cut."""
 
-    def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def shard(held: list[pa.RecordBatch]) -> Shard:
         batch = pa.concat_batches(held)
         lists = batch.column("terms")
         counts = np.diff(lists.offsets.to_numpy())
@@ -246,32 +240,27 @@ def _index(forward: DataFrame, items: Items, place: np.ndarray, weights: np.ndar
         times = batch.column("times").flatten().to_numpy()
         size = np.repeat(25 + 75 * batch.column("n").to_numpy() * n_docs // n_terms, counts)
         impacts = weights[terms] * (1_000_000_000 * times // (1000 * times + 8 * size))
-        built = build_shard(batch.column("doc_id").to_pylist(), counts, terms, impacts, partners)
-        return batch_of(_SHARD_SCHEMA, [[getattr(built, f)] for f in SHARD_FIELDS])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        docs = postings = 0
-        for batch in batches:
-            at = 0
-            sizes = np.diff(batch.column("terms").offsets.to_numpy())
-            while at < batch.num_rows:
-                room = np.searchsorted(np.cumsum(sizes[at:]), SHARD_POSTINGS - postings, side="right")
-                to = at + min(int(room), SHARD_DOCS - docs)
-                if to == at and not held:
-                    to += 1  # one document is never cut
-                if to > at:
-                    held.append(batch.slice(at, to - at))
-                    docs, postings = docs + to - at, postings + int(sizes[at:to].sum())
-                at = to
-                if at < batch.num_rows:
-                    yield shard(held)
-                    held, docs, postings = [], 0, 0
-        if held:
-            yield shard(held)
-
-    rows = forward.where(F.size("terms") > 0)
-    return rows.mapInArrow(build, _SHARD_TYPES)
+        return build_shard(batch.column("doc_id").to_pylist(), counts, terms, impacts, partners)
+
+    held: list[pa.RecordBatch] = []
+    docs = postings = 0
+    for batch in batches:
+        at = 0
+        sizes = np.diff(batch.column("terms").offsets.to_numpy())
+        while at < batch.num_rows:
+            room = np.searchsorted(np.cumsum(sizes[at:]), SHARD_POSTINGS - postings, side="right")
+            to = at + min(int(room), SHARD_DOCS - docs)
+            if to == at and not held:
+                to += 1
+            if to > at:
+                held.append(batch.slice(at, to - at))
+                docs, postings = docs + to - at, postings + int(sizes[at:to].sum())
+            at = to
+            if at < batch.num_rows:
+                yield shard(held)
+                held, docs, postings = [], 0, 0
+    if held:
+        yield shard(held)
 
 
 class Search:
@@ -348,25 +337,21 @@ class Search:
         self.best[item] = scores[order], unnamed[order], ids[order]
 
 
-def _shards(batches: Iterable[pa.RecordBatch]) -> Iterator[Shard]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield Shard(*(batch.column(f)[i].values.to_numpy(zero_copy_only=False) for f in SHARD_FIELDS))
-
-
-def _search(index: DataFrame, items: Items, k: int) -> DataFrame:
+def _search(forward: DataFrame, items: Items, k: int, place: np.ndarray, weights: np.ndarray, n_docs: int, n_terms: int) -> DataFrame:
+    """Each task indexes its documents shard by shard, and carries the best of each item from one to the next."""
     schema = pa.schema([("row", pa.int64()), ("item_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
+    partners = items.partners()
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(items, k)
-        for shard in _shards(batches):
+        for shard in _shards(batches, place, weights, n_docs, n_terms, partners):
             search.add(shard)
         for (row, item), (scores, unnamed, ids) in zip(items.rows, search.best):
             n = len(scores)
             if n:
                 yield batch_of(schema, [[row] * n, [item] * n, pa.array(ids, mask=unnamed), scores])
 
-    found = index.mapInArrow(look, "row long, item_id long, doc_id long, score long")
+    found = forward.where(F.size("terms") > 0).mapInArrow(look, "row long, item_id long, doc_id long, score long")
     best = [F.desc("score"), F.asc_nulls_last("doc_id")]
     # the candidates of all tasks in some groups first, so that no task ranks them all
     group = F.pmod(F.xxhash64("doc_id", "score"), F.lit(RANK_GROUPS)).alias("group")
@@ -409,8 +394,7 @@ def lexical_search(
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         ranked = block.ranked(order)
-        index = staged(_index(forward, ranked, place, weights[order], n_docs, n_terms), "index")
-        found.append(_search(index, ranked, k))
+        found.append(_search(forward, ranked, k, place, weights[order], n_docs, n_terms))
     if not found:
         return docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     return reduce(DataFrame.union, found)
