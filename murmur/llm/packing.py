@@ -2,17 +2,20 @@
 
 Documents are cut to pieces, the pieces shorter than a sequence are dealt by
 hash to shards of some thousands, and each shard is packed by islands. An
-island breeds packings whose genes are whole sequences: a child takes the
-well-filled sequences of one parent, then those of the other that share no
-piece with them, and the pieces left over are placed by best fit. Between
-epochs, islands pass their elite to the next one. A shard whose packing meets
-the lower bound of its total length breeds no further.
+island breeds packings whose genes are whole sequences: well-filled sequences of
+one parent are injected into the other, whose sequences with a piece in common
+go, as do its emptiest ones. The pieces displaced so take the place of smaller
+ones where that fills a sequence better, and what is left is placed by best fit.
+An island breeds until no child has been better for a while, or none can be, as
+its packing meets a lower bound. Between epochs, islands pass their elite to the
+next one.
 """
 
 from __future__ import annotations
 
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,13 @@ from murmur.llm.tokens import encoder_of
 CAPACITY = 1024
 #: Pieces a shard has, about.
 SHARD = 4096
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 6
+ISLANDS, EPOCHS, POPULATION = 2, 2, 4
+#: Children without progress after which an island stops.
+PATIENCE = 8
+#: Tokens of room that a well-filled sequence may have, and the share of such ones that is injected.
+WELL_FILLED, INJECTED = 4, 0.3
+#: One in so many sequences of the host, the emptiest, is given up.
+EMPTIED = 20
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -96,22 +105,59 @@ def best_fit(order: list[int], sizes: list[int], capacity: int, kept: list[list[
     return bins.bins
 
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Sequences that any packing needs (the bound L2 of Martello and Toth).
+
+    For each k up to half the capacity: pieces too long to share a sequence with
+    one of k are alone, those over half never meet each other, and what they
+    leave must take those from k on.
+    """
+    n = np.sort(np.asarray(sizes, np.int64))
+    sums = np.concatenate(([0], np.cumsum(n)))
+    half = int(np.searchsorted(n, capacity // 2, side="right"))
+    best = -(-int(sums[-1]) // capacity)
+    for k in (0, *np.unique(n[:half]).tolist()):
+        low, high = int(np.searchsorted(n, k)), int(np.searchsorted(n, capacity - k, side="right"))
+        room = (high - half) * capacity - int(sums[high] - sums[half])
+        over = int(sums[half] - sums[low]) - room
+        best = max(best, len(n) - half + max(0, -(-over // capacity)))
+    return best
+
+
+def _exchanged(displaced: list[int], sizes: list[int], bins: list[tuple[int, list[int]]]) -> list[tuple[int, list[int]]]:
+    """The sequences with one piece each, at most, replaced by the displaced one that fills it best.
+
+    ``displaced`` is left with the pieces without a place, longest first.
+    """
+    pool = sorted((sizes[i], i) for i in displaced)
+    out = []
+    for room, items in bins:
+        gain, place, taken = 0, 0, 0
+        for at, i in enumerate(items) if room else ():
+            k = bisect_right(pool, (sizes[i] + room, len(sizes))) - 1
+            if k >= 0 and pool[k][0] - sizes[i] > gain:
+                gain, place, taken = pool[k][0] - sizes[i], at, k
+        if gain:
+            items = list(items)
+            _, new = pool.pop(taken)
+            insort(pool, (sizes[items[place]], items[place]))
+            items[place] = new
+        out.append((room - gain, items))
+    displaced[:] = [i for _, i in reversed(pool)]
+    return out
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """A child with the well-filled sequences of both parents."""
-    fill = lambda items: sum(sizes[i] for i in items)
-    kept, used = [], set()
-    for items in a:
-        room = capacity - fill(items)
-        if room == 0 or room <= 8 and rng.random() < 0.5:
-            kept.append(items)
-            used.update(items)
-    for items in sorted(b, key=fill, reverse=True):
-        if capacity - fill(items) <= 8 and used.isdisjoint(items):
-            kept.append(items)
-            used.update(items)
-    displaced = [i for i in range(len(sizes)) if i not in used]
-    displaced.sort(key=lambda i: -sizes[i] * (1 + 0.1 * rng.random()))
-    return best_fit(displaced, sizes, capacity, kept)
+    """A child of the host ``a`` with well-filled sequences of ``b``."""
+    rooms = lambda bins: [(capacity - sum(sizes[i] for i in items), items) for items in bins]
+    well = [(room, items) for room, items in rooms(b) if room <= WELL_FILLED and rng.random() < INJECTED]
+    used = {i for _, items in well for i in items}
+    host = sorted((h for h in rooms(a) if used.isdisjoint(h[1])), key=lambda h: h[0])
+    stay = len(host) - -(-len(host) // EMPTIED)
+    held = used.union(*(items for _, items in host[:stay]))
+    displaced = [i for i in range(len(sizes)) if i not in held]
+    bins = _exchanged(displaced, sizes, host[:stay] + well)
+    return best_fit(displaced, sizes, capacity, [items for _, items in bins])
 
 
 def _fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, int]:
@@ -122,23 +168,23 @@ def _fitness(bins: list[list[int]], sizes: list[int]) -> tuple[int, int]:
 def evolve(sizes: list[int], capacity: int, seed: int, immigrants: list[list[list[int]]]) -> list[list[int]]:
     """The best packing that one island finds in an epoch."""
     rng = random.Random(seed)
-    bound = -(-sum(sizes) // capacity)
+    bound = lower_bound(sizes, capacity)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    people = [*immigrants, best_fit(order, sizes, capacity)]
-    best = min(people, key=lambda p: _fitness(p, sizes))
-    if len(best) <= bound:
-        return best
+    people = sorted(((_fitness(p, sizes), p) for p in (*immigrants, best_fit(order, sizes, capacity))), key=lambda x: x[0])
+    if len(people[0][1]) <= bound:
+        return people[0][1]
     while len(people) < POPULATION:
         order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * (1 + 0.2 * rng.random()))
-        people.append(best_fit(order, sizes, capacity))
-    for _ in range(CHILDREN):
-        a, b = rng.sample(people, 2)
-        people.append(crossover(a, b, sizes, capacity, rng))
-        people.sort(key=lambda p: _fitness(p, sizes))
-        people.pop()
-        if len(people[0]) <= bound:
-            break
-    return people[0]
+        packing = best_fit(order, sizes, capacity)
+        people.append((_fitness(packing, sizes), packing))
+    still = 0
+    while still < PATIENCE and len(people[0][1]) > bound:
+        (_, a), (_, b) = rng.sample(people, 2)
+        child = crossover(a, b, sizes, capacity, rng)
+        best = people[0][0]
+        people = sorted([*people, (_fitness(child, sizes), child)], key=lambda x: x[0])[: max(POPULATION, len(immigrants))]
+        still = 0 if people[0][0] < best else still + 1
+    return people[0][1]
 
 
 def _labels(bins: list[list[int]], n: int) -> bytes:
@@ -225,8 +271,9 @@ def best_fit_packing(
 ) -> DataFrame:
     """Every document's pieces with their place in a sequence of at most ``capacity`` tokens.
 
-    A document is the ids of its whole text and ``end_id``; a null text is
-    empty, so has one token. Returns (doc_id, piece, start, length, ids_crc32,
+    A document is the ids of its whole text, as the file's tokenizer gives them
+    (added tokens in a text included), and ``end_id``; a null text is empty, so
+    has one token. Returns (doc_id, piece, start, length, ids_crc32,
     sequence_id, offset). Rows that repeat or lack a doc_id are documents of
     their own. An empty table gives no rows.
     """
