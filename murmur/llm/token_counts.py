@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.arrow import batch_of, pieces
-from murmur.llm.tokens import Encoder, encoder_of, parts
+from murmur.llm.tokens import Encoder, encoder_of
 
 #: Parts that one leaf starts with.
 LEAF = 16
@@ -67,6 +67,7 @@ class CountedText:
     def _load(self, every: list[str], counts: np.ndarray) -> None:
         at = range(0, len(every), LEAF)
         self.leaves = [every[k : k + LEAF] for k in at] or [[]]
+        self.counts = [counts[k : k + LEAF] for k in at] or [counts[:0]]  # tokens of each part of a leaf
         chars = np.array([sum(map(len, leaf)) for leaf in self.leaves])
         self.tree = SegmentTree(chars, np.add.reduceat(counts, list(at)) if every else np.zeros(1, np.int64))
 
@@ -97,17 +98,18 @@ class CountedText:
         old = "".join(p for leaf in self.leaves[low : high + 1] for p in leaf)
         at += min(start, 2)  # where the edit begins in ``old``
         new = old[:at] + insert + old[at + delete :]
-        fresh = parts(new)
+        fresh = self.encoder.parts(new)
+        counts = self.encoder.counts(fresh)
         self.encoded += len(new)
-        self.leaves[low] = fresh
-        self.tree.set(low, len(new), int(self.encoder.counts(fresh).sum()))
+        self.leaves[low], self.counts[low] = fresh, counts
+        self.tree.set(low, len(new), int(counts.sum()))
         for leaf in range(low + 1, high + 1):
             if self.leaves[leaf]:
-                self.leaves[leaf] = []
+                self.leaves[leaf], self.counts[leaf] = [], counts[:0]
                 self.tree.set(leaf, 0, 0)
         if len(fresh) > MOST_IN_LEAF:
-            every = [p for leaf in self.leaves for p in leaf]
-            self._load(every, self.encoder.counts(every))
+            # a new tree over the counts that are there; nothing is encoded
+            self._load([p for leaf in self.leaves for p in leaf], np.concatenate(self.counts))
 
 
 def token_counts(docs: DataFrame, path: str, edits: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +117,7 @@ def token_counts(docs: DataFrame, path: str, edits: Column, id_col: str = "doc_i
 
     ``edits`` is an array of (start, n_delete, insert) for each row, applied in
     order, each to the text that the one before left; characters are code
-    points. A null or negative number counts as 0, a null insert as empty, a null
+    points. Added tokens of the file count as the tokenizer counts them. A null or negative number counts as 0, a null insert as empty, a null
     array as no edit; places beyond the end mean the end. A null text is empty.
     Returns (doc_id, n_tokens, n_edits, n_chars_edited, n_tokens_edited,
     n_chars_encoded) for every row: the last is what the edits encoded anew.
@@ -128,7 +130,7 @@ def token_counts(docs: DataFrame, path: str, edits: Column, id_col: str = "doc_i
         encoder = encoder_of(path)
         for piece in pieces(batches, "text"):
             rows = []
-            split = [parts(t or "") for t in piece.column("text").to_pylist()]
+            split = [encoder.parts(t or "") for t in piece.column("text").to_pylist()]
             counts = np.split(encoder.counts([p for every in split for p in every]), np.cumsum([len(e) for e in split])[:-1])
             for doc, every, n, todo in zip(piece.column("doc_id").to_pylist(), split, counts, piece.column("edits").to_pylist()):
                 text = CountedText(every, n, encoder)

@@ -8,6 +8,11 @@ libraries may know different letters of rare scripts.
 A text is split into parts before each single space between two other
 characters. Byte-level BPE never joins across such a place, so the ids of a text
 are those of its parts, and the count of a part can be kept and reused.
+
+The file's added tokens, such as an end mark, are found in texts as the library
+finds them: a text that holds one goes to ``tokenizers``. They stand within a
+part, unless the file has one that holds white space or takes some beside it;
+then texts are not split.
 """
 
 from __future__ import annotations
@@ -47,15 +52,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True  # such strings in a text are ordinary text
         self.fast = _same_ranks(path)
+        with open(path, encoding="utf-8") as file:
+            added = json.load(file).get("added_tokens") or []
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added) or r"(?!)")
+        #: Whether an added token may reach over the places between parts.
+        self.unsplit = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added)
         self.known: dict[str, int] = {}
 
     def one(self, text: str) -> np.ndarray:
-        if self.fast is None or not text.isascii() and _RARE.search(text):
+        if self.fast is None or self.unsplit or self.added.search(text) or not text.isascii() and _RARE.search(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
+    def parts(self, text: str) -> list[str]:
+        """The text in parts whose ids, one after the other, are the text's."""
+        return [text] * bool(text) if self.unsplit else parts(text)
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         return [self.one(t) for t in texts]
