@@ -14,20 +14,18 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import murmur.llm.token_counts as counting
-from murmur.llm.mixing import fit, mix, n_words, targets
-from murmur.llm.packing import best_fit, best_fit_packing, crossover, cut, evolve, pack
+from murmur.llm.mixing import fit, mix, n_words, source_targets
+from murmur.llm.packing import best_fit, best_fit_packing, crossover, cut, evolve, lower_bound, pack
 from murmur.llm.token_counts import CountedText, token_counts
 from murmur.llm.tokens import Encoder, parts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "x\x1c y", "a  b", "it's we'll  don't\n\n\n x", "<|endoftext|> a", "日本 語", "😀 b  c 12 3.4", "tab\t x"]
+ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "x\x1c y", "a  b", "it's we'll  don't\n\n\n x", "<|endoftext|> a", "a <|endoftext|> b", "a<|endoftext|>", "x <|endoftext|><|endoftext|>  y", "<|endoftext", "日本 語", "😀 b  c 12 3.4", "tab\t x"]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +47,7 @@ def test_edits_keep_the_count(tokenizer, encoder, monkeypatch):
     monkeypatch.setattr(counting, "LEAF", 2)
     monkeypatch.setattr(counting, "MOST_IN_LEAF", 40)
     rng = random.Random(1)
-    letters = [*"ab c  d\n.1é", "the ", " cat", "  ", "\n\n", "'s"]
+    letters = [*"ab c  d\n.1é", "the ", " cat", "  ", "\n\n", "'s", "<|endoftext|>", "<|endof", "text|>"]
     for _ in range(60):
         text = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 40, 200])))
         counted = CountedText(parts(text), encoder.counts(parts(text)), encoder)
@@ -69,6 +67,19 @@ def test_an_edit_encodes_its_surroundings_only(encoder):
     assert counted.encoded < 500
 
 
+def test_a_crowded_leaf_is_split_without_encoding(encoder, monkeypatch):
+    monkeypatch.setattr(counting, "MOST_IN_LEAF", 40)
+    every = parts("some plain words stand here " * 500)
+    counted = CountedText(every, encoder.counts(every), encoder)
+    seen = []
+    counts = encoder.counts
+    monkeypatch.setattr(encoder, "counts", lambda p: seen.append(len(p)) or counts(p))
+    counted.edit(70, 0, "x y " * 100)
+    assert sum(seen) < 300 and max(map(len, counted.leaves)) <= counting.LEAF
+    monkeypatch.undo()
+    assert counted.tokens == int(encoder.counts(parts(counted.text)).sum())
+
+
 def test_token_counts(spark, tokenizer):
     edits = [[(1, 2, "x y")], None, [], [(0, 0, "a"), (500, 5, " end"), (0, 99, None)], [(None, None, "start ")]]
     rows = [(i, text, edits[i % 5]) for i, text in enumerate([None, *ODD])] + [(None, "no id", None), (3, "again", [(0, 1, "")])]
@@ -95,24 +106,56 @@ def test_token_counts_query(spark, sf_dir, tokenizer):
         assert r["n_tokens"] == len(ids_of(tokenizer, texts[r["doc_id"]]))
 
 
-def test_targets():
-    assert targets({"b": 100, "a": 100, None: 100}) == {"a": 187.5, "b": 75.0, None: 37.5}
+def targets(totals, weights=(5.0, 2.0, 1.0), most=3):
+    """The rule in a plain loop."""
+    names = sorted(s for s in totals if s is not None) + [None] * (None in totals)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, rest, free = {}, float(sum(totals.values())), list(names)
+    while free:
+        whole = sum(weight[s] for s in free)
+        share = {s: rest * weight[s] / whole for s in free}
+        above = [s for s in free if share[s] > most * totals[s]]
+        if not above:
+            return target | share
+        target |= {s: most * float(totals[s]) for s in above}
+        rest -= sum(target[s] for s in above)
+        free = [s for s in free if s not in above]
+    return target
+
+
+def test_targets(spark):
+    rng = random.Random(2)
+    cases = [{}, {"a": 10, "b": 200, "c": 90}, {"a": 0, "b": 5}, {None: 4}, {"a": 0}]
+    cases += [{rng.choice("abcdefghé") * rng.randint(1, 3) if rng.random() < 0.9 else None: rng.choice([0, 1, 7, 300, 10**6]) for _ in range(n)} for n in (4, 9, 20)]
+    for case in cases:
+        sizes = spark.createDataFrame(list(case.items()), "source string, source_size long")
+        got = source_targets(sizes.repartition(3)).collect()
+        assert {r["source"]: (r["source_size"], r["target"]) for r in got} == {s: (case[s], t) for s, t in targets(case).items()}
     capped = targets({"a": 10, "b": 200, "c": 90})
     assert capped["a"] == 30 and capped["b"] == pytest.approx(180) and capped["c"] == pytest.approx(90)
-    assert targets({"a": 0, "b": 5}) == {"a": 0, "b": 5} and targets({}) == {}
 
 
 def test_fit_is_the_nearest_sum():
     rng = random.Random(4)
-    for _ in range(60):
+    for _ in range(200):
         sizes = np.array(sorted(rng.sample(range(1, 30), rng.randint(1, 4))))
         counts = np.array([rng.randint(1, 3) for _ in sizes])
         budget = rng.uniform(0, float((sizes * counts).sum()) + 5)
         take = fit(sizes, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
         sums = [int((np.array(c) * sizes).sum()) for c in product(*(range(n + 1) for n in counts))]
-        # the share of each length is taken first; what is left closes the gap
-        assert abs(int((take * sizes).sum()) - budget) <= min(abs(s - budget) for s in sums) + sizes.max() / 2
+        goal = round(budget)
+        assert abs(int((take * sizes).sum()) - goal) == min(abs(s - goal) for s in sums)
+
+
+def test_fit_looks_at_every_length():
+    sizes = np.array([*range(2, 6000, 2), 6001])
+    take = fit(sizes, np.ones(len(sizes), np.int64), 6001)
+    assert int((take * sizes).sum()) == 6001
+    sizes = np.arange(3, 9000, 3)  # only multiples of 3
+    counts = np.full(len(sizes), 5)
+    take = fit(sizes, counts, 1_000_000.0)
+    assert abs(int((take * sizes).sum()) - 1_000_000) == 1 and (take <= counts).all()
 
 
 def test_mix(spark):
@@ -155,6 +198,32 @@ def test_children_hold_every_piece_once():
     assert len(evolve(sizes, 100, 3, [a, b])) <= min(len(a), len(b))
 
 
+def test_lower_bound():
+    rng = random.Random(3)
+    assert lower_bound([6, 6, 6], 10) == 3 and lower_bound([5, 5, 5], 10) == 2 and lower_bound([7, 4, 4], 10) == 2 and lower_bound([10], 10) == 1
+    for _ in range(200):
+        sizes = [rng.randint(1, 20) for _ in range(rng.randint(1, 40))]
+        order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+        assert -(-sum(sizes) // 20) <= lower_bound(sizes, 20) <= len(best_fit(order, sizes, 20))
+
+
+@pytest.mark.parametrize(("low", "high", "share"), [(300, 500, 0.98), (100, 400, 0.995), (1, 1023, 1.0)])
+def test_islands_beat_best_fit_or_meet_the_bound(low, high, share):
+    rng = random.Random(5)
+    sizes = [rng.randint(low, high) for _ in range(2000)]
+    plain = best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1024)
+    best = evolve(sizes, 1024, 1, [])
+    assert len(best) <= share * len(plain) or len(best) == lower_bound(sizes, 1024)
+
+
+def test_an_injected_sequence_displaces_the_hosts():
+    sizes = [6, 4, 5, 5, 7, 3]
+    host, guest = [[0, 2], [1, 3], [4], [5]], [[0, 1], [2, 3], [4, 5]]
+    seen = {tuple(sorted(map(tuple, map(sorted, crossover(host, guest, sizes, 11, random.Random(s)))))) for s in range(30)}
+    assert any((0, 1) in child or (2, 3) in child or (4, 5) in child for child in seen)
+    assert all(sorted(i for items in child for i in items) == list(range(6)) for child in seen)
+
+
 def test_pack(spark):
     rng = random.Random(9)
     items = spark.createDataFrame([(i, rng.randint(1, 1023)) for i in range(3000)], "uid long, length long")
