@@ -64,8 +64,17 @@ class Lists:
         return (unit @ self.centers.T).argmax(axis=1)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector by the power of two that brings its largest component to under 1.
+
+    That changes no cosine and no digit, but squares of very large or very small
+    components then neither overflow nor vanish.
+    """
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims).astype(np.float64)
+    return _scaled(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims).astype(np.float64))
 
 
 def _unit(vectors: np.ndarray, turn: np.ndarray) -> np.ndarray:
@@ -139,6 +148,7 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     Candidates are all rows but the query's own; ties go to the smaller id. A
     vector that is null, zero, of another length than most, or that holds a null
     or a value that is not finite takes no part, nor does a row without an id.
+    Components may be as large or small as doubles are.
     Rows that repeat an id are candidates and queries of their own, told apart by
     their place; each then has its ranks. With fewer candidates than ``k`` all
     are returned.
@@ -156,7 +166,7 @@ def nearest(table: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     rows = rows.where(F.size("vector") == dims)
     sample = least_hashed(rows.select("uid", "vector"), F.xxhash64(F.lit(SEED), "uid"), "uid", SAMPLE).toPandas()
     uids = sample["uid"].to_numpy()
-    sample = np.stack(sample["vector"].to_numpy())
+    sample = _scaled(np.stack(sample["vector"].to_numpy()))
     lists = Lists((sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32), total, k)
     shared = spark.sparkContext.broadcast((lists, uids))
 
