@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.arrow import batch_of, pieces, staged
-from murmur.llm.words import column_words, run_hashes, whole_runs
+from murmur.llm.words import column_words, mix, run_hashes, whole_runs
 
 SEED = 6
 #: Packed hashes that one task takes at a time.
@@ -95,7 +95,9 @@ def _by_bucket(entries: Entries, bucket: np.ndarray, buckets: int, settled: bool
 def _replies(entries: Entries, buckets: int) -> Iterator[list]:
     """What documents are told, by bucket of the document; hashes are not needed any more."""
     entries = (np.zeros(len(entries[0]), np.uint64), *entries[1:])
-    return _by_bucket(entries, entries[1] % buckets, buckets, True)
+    # mixed, as ids in steps of the number of buckets would all share one
+    bucket = mix(entries[1].astype(np.int64).view(np.uint64)) % np.uint64(buckets)
+    return _by_bucket(entries, bucket.astype(np.int64), buckets, True)
 
 
 def _packed(entries_of: Callable, buckets: int, later_only: bool) -> Callable:
@@ -201,10 +203,12 @@ def repeated_spans(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
             yield batch_of(schema, [piece.column("doc_id"), crc, [len(w) for w in split], sha, md5])
 
     base = staged(rows.mapInArrow(digest, "doc_id long, text_crc long, n_words long, sha256 string, text_md5 string"), "words")
-    first = base.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= min_words), F.lit(False))
-    base = base.join(first.drop("rows"), "sha256", "left").select("doc_id", "text_crc", "n_words", "sha256", "text_md5", copy.alias("copy"))
-    base = staged(base, "base")
+    # texts without a window are nobody's copy; the empty ones would all meet in one task
+    long = base.where(F.col("n_words") >= min_words)
+    first = long.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")
+    long = long.join(first.drop("rows"), "sha256", "left").select("doc_id", "text_crc", "n_words", "sha256", "text_md5", copy)
+    base = staged(long.unionByName(base.where(F.col("n_words") < min_words).withColumn("copy", F.lit(False))), "base")
 
     total = base.agg(F.sum("n_words")).first()[0] or 0
     default = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
