@@ -13,7 +13,7 @@ from murmur.llm.mixing import mix, n_words
 from murmur.llm.near_dedup import near_dedup
 from murmur.llm.packing import best_fit_packing
 from murmur.llm.periodic import periodic_runs, planted
-from murmur.llm.spotsigs import CHAIN, COMMON, DIGITS, LEAST, fingerprints
+from murmur.llm.spotsigs import CHAIN, COMMON, DIGITS, fingerprints
 from murmur.llm.substring_dedup import substring_dedup
 from murmur.llm.token_counts import sample_edits, token_counts
 from murmur.llm.toxicity import toxicity
@@ -127,9 +127,8 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 
 TERMS = rf"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
-_LIKE = f"""case when len({{a}}) + len({{b}}) = 0 then 1.0::double
-    when least(len({{a}}), len({{b}})) < {LEAST} * greatest(len({{a}}), len({{b}})) then 0.0::double
-    else len(list_intersect({{a}}, {{b}}))::double / (len({{a}}) + len({{b}}) - len(list_intersect({{a}}, {{b}}))) end"""
+_LIKE = """case when len({a}) + len({b}) = 0 then 1.0::double
+    else len(list_intersect({a}, {b}))::double / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) end"""
 
 ORACLE = {
     "op1_minhash_near_dedup": rf"""

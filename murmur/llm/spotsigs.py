@@ -4,8 +4,7 @@ A signature is a chain of content words that follows a common word: after each
 common word that a content word follows, that word and the next content words.
 A fingerprint is a text's distinct signatures, hashed and sorted. Texts with
 words but no chain have one signature, all their words; texts without words have
-none. Likeness is the Jaccard similarity of two sets of signatures, looked into
-only where the sizes of the sets leave room for ``LEAST``.
+none. Likeness is the Jaccard similarity of two sets of signatures.
 """
 
 from __future__ import annotations
@@ -25,10 +24,8 @@ COMMON = (
 CHAIN = 2
 #: Hexadecimal digits of a signature.
 DIGITS = 12
-#: Likeness that the sizes of two sets must allow; below, it counts as none.
-LEAST = 0.05
 
-_MARK = ""  # stands for a common word; a private character
+_MARK = "\t"  # stands for a common word; white space is one space by then, so no text holds it
 
 
 def signatures(text: Column) -> Column:
@@ -44,12 +41,11 @@ def signatures(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found))).otherwise(alone)
 
 
-def likeness(a: Column, b: Column, least: float = LEAST) -> Column:
-    """Jaccard similarity of two sets; 0 where their sizes keep it under ``least``; 1 for two empty ones."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets; 1 for two empty ones."""
     shared = F.size(F.array_intersect(a, b))
-    value = F.when(small < least * large, F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
-    return F.when(large == 0, F.lit(1.0)).otherwise(value)
+    every = F.size(a) + F.size(b) - shared
+    return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
 
 
 def near_pairs(sets: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", sigs_col: str = "signatures") -> DataFrame:
@@ -82,7 +78,7 @@ def near_pairs(sets: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     met = met.where(order & (small >= threshold * large)).select("a", "b").distinct()
     met = met.join(rows.select(F.col("id").alias("a"), F.col("sigs").alias("sigs_a")), "a")
     met = met.join(rows.select(F.col("id").alias("b"), F.col("sigs").alias("sigs_b")), "b")
-    met = met.withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b"), threshold))
+    met = met.withColumn("likeness", likeness(F.col("sigs_a"), F.col("sigs_b")))
     return met.where(F.col("likeness") >= threshold).select("a", "b", "likeness")
 
 
