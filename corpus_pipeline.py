@@ -2,14 +2,15 @@
 
 Each stage takes what its predecessor kept, and all but the last return the
 columns of ``documents``. Between stages the documents are written to the shared
-folder and read back; what a stage staged for itself goes once its output is
-written. The tables behind the packed sequences stay as long as the driver.
+folder and read back. ``run`` deletes what a stage staged for itself once its
+output is written. A stage that is called by itself deletes nothing, as its
+result may be read at any time, also by the next stage; its tables, like those
+behind the packed sequences, stay as long as the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -33,49 +34,21 @@ PASSAGE_WORDS = 50
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-#: What each stage that was called by itself staged, until a later one is.
-_scratch: dict[str, list[str]] = {}
-
-
-def stage(work: Stage) -> Stage:
-    """A stage that, called by itself, first deletes what the stages before it in ``STAGES`` staged.
-
-    Their results are then taken to be written. Those of itself and of later
-    stages are left alone, and so is all that ``run`` staged.
-    """
-
-    @wraps(work)
-    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        order = [s.__name__ for _, s in STAGES]
-        for earlier in order[: order.index(work.__name__)]:
-            delete_folders(spark, _scratch.pop(earlier, []))
-        with noting_staged() as folders:
-            out = work(spark, docs, sf_dir)
-        _scratch[work.__name__] = folders
-        return out
-
-    return begin
-
-
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; those without a doc_id are judged like any other."""
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id; of those without one, one as well."""
     return one_of_each(docs, words=5, percent=80)
 
 
-@stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that documents with a smaller doc_id hold; every document stays."""
     return without_repeats(docs, min_words=PASSAGE_WORDS)
 
 
-@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: a repeat is a row, and what is not taken goes."""
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
@@ -85,7 +58,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(docs.columns)
 
 
-@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     return best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -106,7 +78,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, work in STAGES[:-1]:
         path = shared_dir(spark, f"pipeline-{name}")
         with noting_staged() as folders:
-            work.__wrapped__(spark, docs, sf_dir).write.parquet(path)
+            work(spark, docs, sf_dir).write.parquet(path)
         delete_folders(spark, folders)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1].__wrapped__(spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs, sf_dir)
