@@ -122,7 +122,8 @@ def _windows(held: DataFrame, budget: int, history: int) -> DataFrame:
             cuts, array_append(cuts, e)))"""
     )
     held = held.withColumn("cuts", cuts)
-    each = held.select("*", F.posexplode("cuts").alias("window", "first"))
+    # outer, as Spark tests the size of an inner one's input apart, and would work out all of the above again for it
+    each = held.select("*", F.posexplode_outer("cuts").alias("window", "first"))
     end = F.coalesce(F.get("cuts", F.col("window") + 1), F.size("turns"))
     start = F.get("starts", F.col("first"))
     lead = F.when(F.col("at") < F.col("first"), F.filter(F.array("system"), lambda s: s.isNotNull())).otherwise(F.slice("turns", 1, 0))
