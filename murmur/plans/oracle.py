@@ -290,6 +290,48 @@ def _lexicon_views(source: str, key: str, text: str) -> str:
           on l.token = w.token group by w.{key}"""
 
 
+_MODIFIERS = {"negations": "to en", "stronger": "that it", "weaker": "for with", "contrast": "and und"}
+
+
+def _rules_sql() -> str:
+    """The score by rules over documents: a word's context by the words before it in order."""
+    listed = lambda kind: ", ".join(f"'{w}'" for w in _MODIFIERS[kind].split())
+    value = "v0"
+    steps = []
+    for d, share in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        steps.append(
+            f"s{d} as (select *, case when b{d} = 9 then v{d - 1} * -0.74 "
+            f"else v{d - 1} + sign(v{d - 1}) * coalesce(b{d}, 0.0) * {share} end as v{d} from {'met' if d == 1 else f's{d - 1}'})"
+        )
+        value = f"v{d}"
+    return rf"""
+        with w as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '\p{{L}}+(?:''\p{{L}}+)*') as ws from documents),
+        words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
+        kinds as (select *, lower(word) as low, word = upper(word) and word <> lower(word) as caps from words),
+        texts as (select doc_id, bool_or(caps) and bool_or(not caps) as mixed, min(i) filter (low in ({listed('contrast')})) as turn
+                  from kinds group by doc_id),
+        weighed as (
+            select k.*, mixed, turn, case when low in ({listed('negations')}) or low like '%n''t' then 9.0
+                when low in ({listed('stronger')}) then 0.293 + case when mixed and caps then 0.733 else 0.0 end
+                when low in ({listed('weaker')}) then -0.293 + case when mixed and caps then 0.733 else 0.0 end else 0.0 end::double as b
+            from kinds k join texts using (doc_id)),
+        context as (select *, lag(b, 1) over o as b1, lag(b, 2) over o as b2, lag(b, 3) over o as b3
+                    from weighed window o as (partition by doc_id order by i)),
+        met as (
+            select c.*, valence + case when mixed and caps then sign(valence) * 0.733 else 0.0 end as v0
+            from context c join (select token, cast(valence as double) as valence from (values {_LEXICON}) v(token, valence)) l
+              on l.token = c.low and c.low not in ({listed('negations')}, {listed('stronger')}, {listed('weaker')})),
+        {", ".join(steps)},
+        sums as (select doc_id, sum({value} * case when turn is null or i = turn then 1.0 when i < turn then 0.5 else 1.5 end) as s from s3 group by doc_id),
+        marks as (
+            select doc_id, 0.292 * least(4, len(regexp_extract_all(coalesce(text, ''), '!'))) as shouts,
+                len(regexp_extract_all(coalesce(text, ''), '\?')) as asks from documents),
+        totals as (
+            select doc_id, coalesce(s, 0.0) + sign(coalesce(s, 0.0)) * (shouts + case when asks > 3 then 0.96 when asks > 1 then 0.18 * asks else 0.0 end) as total
+            from marks left join sums using (doc_id))
+        select doc_id, {_r('total / sqrt(total * total + 15)', 'compound')} from totals"""
+
+
 _LETTERS = """
         select *, cast((length({0}) - length(replace({0}, 'e', ''))) / 100 as float)::double as neg,
                   cast((length({0}) - length(replace({0}, 'a', ''))) / 100 as float)::double as posi"""
@@ -571,6 +613,7 @@ ORACLE = {
     "lexicon_score": f"""
         select doc_id, {_r('total / sqrt(total * total + 15)', 'compound')}
         from ({_lexicon_views('documents', 'doc_id', 'text')})""",
+    "lexicon_score_rules": _rules_sql(),
     "position_signal": sql("""
         select m.stock, h.held,
                case when h.held = 'long' then case when m.total_avg * 100 > 0.2 then 'long' else 'exit' end

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from murmur.functions import labels, numbers
 from murmur.functions import text as tx
 from murmur.functions.language import with_language
-from murmur.operators import calendar, dedup, filters, match, metrics, scoring, sessions, signals, universe
+from murmur.operators import calendar, dedup, filters, match, metrics, scoring, sessions, signals, universe, valence
 from murmur.plans import jobs
 from murmur.plans import views as v
 from murmur.session import shared_dir
@@ -544,6 +544,15 @@ def lexicon_score(spark, sf):
     return scored.select("doc_id", *rounded("compound"))
 
 
+@query
+def lexicon_score_rules(spark, sf):
+    """The lexicon score with negation, degree, capitals, contrast and marks."""
+    texts = v.table(spark, sf, "documents").select("doc_id", "text")
+    rules = valence.Modifiers(**v.MODIFIERS)
+    scored = valence.rule_score(texts, v.lexicon(spark), keys=["doc_id"], text="text", rules=rules)
+    return scored.select("doc_id", *rounded("compound"))
+
+
 @query
 def position_signal(spark, sf):
     rows = jobs.scored_posts_metrics(v.scored_posts(spark, sf))

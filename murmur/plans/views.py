@@ -20,6 +20,9 @@ KEYWORDS_MULTI = [("ARTICLES", ["The", "la", "of the"]), ("PREPOSITIONS", ["of t
 HOLIDAYS = ["2024-01-01", "2024-01-15"]
 LEXICON = [("the", 0.4), ("is", -1.1), ("on", 1.9), ("la", -0.8), ("der", 2.3), ("of", -0.3), ("not", -2.0)]
 
+# Words of the test tables that stand for modifiers of a score.
+MODIFIERS = {"negations": ("to", "en"), "stronger": ("that", "it"), "weaker": ("for", "with"), "contrast": ("and", "und")}
+
 
 def now() -> Column:
     return F.lit(NOW).cast("timestamp_ntz")

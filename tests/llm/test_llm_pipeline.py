@@ -128,6 +128,15 @@ def test_results_outlive_later_calls(spark, sf_dir):
     assert packed.count() == 5 and whole.count() > 0
 
 
+def test_stages_chain_unwritten(spark, sf_dir):
+    """Each stage may read the result of the one before it as it is; the result is that of ``run``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for work in STAGES.values():
+        docs = work(spark, docs, sf_dir)
+    cut = lambda df: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in df.collect())
+    assert cut(docs) == cut(corpus_pipeline.run(spark, sf_dir))
+
+
 @pytest.mark.parametrize("name", ["near_dedup", "substring_dedup", "mixing"])
 def test_stages_of_odd_rows(spark, sf_dir, name):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "a b c", "en", "a", 5), (3, "a b c", "en", None, 5), (3, "a b c", "en", None, 5)]

@@ -104,6 +104,12 @@ def test_fingerprint_rules(spark):
     five = [r for r in got if r["doc_id"] == 5]
     first = "The cat sat on the mat"
     assert {r["edited_sha256"] for r in five} == {hashlib.sha256((t[: len(t) - len(t) // 4] + first[: len(t) // 4]).encode()).hexdigest() for _, t in rows[4:6]}
+    # a mark of its own in a text is a character like others; likeness is exact however unlike the sizes are
+    many = " ".join(f"the w{i} v{i}" for i in range(100))
+    rows = [(1, "\ue000 alpha beta gamma"), (2, many), (3, "the w1 v1 x the w2 v2 y the w3 v3 z the w4 v4")]
+    odd = {r["doc_id"]: r for r in fingerprints(spark.createDataFrame(rows, DOCS)).collect()}
+    assert odd[1]["fingerprint"] == chain("\ue000 alpha beta gamma") and odd[1]["n_signatures"] == 1
+    assert odd[2]["n_signatures"] == 100 and odd[2]["near_next"] == pytest.approx(0.04)
     assert fingerprints(frame.limit(0)).count() == 0
     one = fingerprints(frame.limit(1)).collect()[0]
     assert one["near_next"] == 1.0
@@ -221,6 +227,37 @@ def test_nearest(spark):
     assert tied == [2000, 2001, 2002, 2003, 2004]
 
 
+@pytest.mark.parametrize("scale", [1e200, 1e-200, 1e307])
+def test_nearest_of_extreme_vectors(spark, scale):
+    """Components whose squares overflow or vanish; every other vector is plain."""
+    rng = np.random.default_rng(4)
+    plain = rng.normal(size=(300, 8)) / 10
+    vectors = np.where(np.arange(300)[:, None] % 2 == 0, plain * scale, plain)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    unit = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+    for r in nearest(frame).collect():
+        score = unit @ unit[r["query_id"]]
+        score[r["query_id"]] = -9
+        assert r["vec_id"] == np.argsort(-score)[r["rank"] - 1] and r["score"] == pytest.approx(score[r["vec_id"]], abs=1e-12)
+
+
+def test_recall_on_the_given_table(spark):
+    """At least 0.9 of the nearest by brute force."""
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
+    ids, unit = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_numpy()).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    got = {(r["query_id"], r["vec_id"]) for r in QUERIES["op4_ann"](spark, sf).collect()}
+    found = asked = 0
+    for at in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[at]
+        score[at] = -9
+        best = ids[np.lexsort((ids, -score))[:5]]
+        asked += 5
+        found += sum((int(ids[at]), int(b)) in got for b in best)
+    assert found >= 0.9 * asked
+
+
 def test_nearest_of_few(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(frame).collect()]
