@@ -49,7 +49,7 @@ def _terse(text: Column) -> Column:
     return F.rlike(text, F.lit(r"\p{L}")) & (F.size(F.regexp_extract_all(rest, F.lit(LETTER_RUN), F.lit(0))) <= FEW_WORDS)
 
 
-def detect_language(text: Column) -> Column:
+def detect_language(text: Column, tokens: Column | None = None) -> Column:
     """The language of a text; NULL when it stays unclear.
 
     A text mostly in another script is ``OTHER_SCRIPT``. Of others, the language
@@ -57,12 +57,14 @@ def detect_language(text: Column) -> Column:
     a headline or post of few words beside tickers is taken for English, in
     which stopwords are the first thing to go; a longer one is unclear.
 
+    ``tokens`` are the text's lower-case words, if they are there already.
+
     Works within the row: no explode, no shuffle. The words found are bound to a
     lambda's variable, so that they are found once however often the optimizer
     repeats the parts of an expression it pushes through a projection.
     """
     any_language = tuple(sorted(set().union(*STOPWORDS.values())))
-    found = F.filter(words(text), _in(any_language))
+    found = F.filter(words(text) if tokens is None else tokens, _in(any_language))
 
     def winner(bound: Column) -> Column:
         ballots = []
@@ -92,11 +94,16 @@ def model_language(load_model: Callable[[], LanguageModel]) -> Callable[[Column]
 
 
 def with_language(
-    df: DataFrame, text: str, out: str = "lang", load_model: Callable[[], LanguageModel] | None = None
+    df: DataFrame,
+    text: str,
+    out: str = "lang",
+    load_model: Callable[[], LanguageModel] | None = None,
+    by: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Add the language of ``text``, by the model if there is one.
+    """Add the language of ``text``: by ``by``, a learned table for one, else by the model if there is one.
 
     A language that ``df`` knows already, in column ``out``, stands.
     """
-    found = model_language(load_model)(F.col(text)) if load_model else detect_language(F.col(text))
+    by = by or (model_language(load_model) if load_model else detect_language)
+    found = by(F.col(text))
     return df.withColumn(out, F.coalesce(F.col(out), found) if out in df.columns else found)

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.text import ALNUM_RUN, is_any_hit_bounded, is_first_hit_bounded, text_digest
+from murmur.operators.words import spread_join
 from murmur.session import MAX_BROADCAST_BYTES
 
+# Parts in which the posts of one text meet its candidates, which move as often.
+TEXT_SALTS = 3
+
 # Longest list of earlier keywords that is spelled out in the plan.
 UNROLLED = 8
 
-# Most 64-bit words of the filter that runs of texts pass before a shuffle.
-FILTER_WORDS = 1 << 15
 
 
 def keyword_rules(universe: DataFrame) -> DataFrame:
@@ -69,29 +71,6 @@ def _run_hashes(text: Column, symbols: list[str]) -> Column:
     return F.array_distinct(F.transform(runs, lambda run: F.xxhash64(run)))
 
 
-def _passes(rules: DataFrame, rows: int) -> Callable[[Column], Column]:
-    """Whether a hash may be one of the rules': its bit in a filter that is one constant of the plan.
-
-    The filter has about 8 bits a rule, within ``FILTER_WORDS`` words; it keeps
-    the runs of texts that no rule has, which are nearly all, out of the shuffle.
-    """
-    words = min(FILTER_WORDS, 1 << max(6, (rows >> 3).bit_length()))
-    bits = words * 64
-    bit = F.pmod("_anchor", F.lit(bits))
-    found = rules.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word"))
-    held = found.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))))
-    filled = [0] * words
-    for word, value in held.collect():  # FILTER_WORDS rows at most
-        filled[word] = value
-    table = F.split(F.lit(",".join(map(str, filled))), ",").cast("array<bigint>")  # folds into a constant
-
-    def test(hashed: Column) -> Column:
-        at = F.pmod(hashed, F.lit(bits))
-        return F.getbit(F.get(table, (at / 64).cast("int")), (at % 64).cast("int")) == 1
-
-    return test
-
-
 def _any_earlier(earlier: Column, most: int, test: Callable[[Column], Column]) -> Column:
     """Whether one of the keywords in ``earlier`` passes.
 
@@ -128,8 +107,9 @@ def keyword_match(
     once; one that only shares a hash fails the test. "Once per stock" needs
     no second shuffle: a pair is dropped when an earlier keyword of the same
     stock hits too. The rules are broadcast while they are measured to be
-    small; beyond that the join runs on (post id, hash) pairs only and the
-    texts come back for the candidates.
+    small; beyond that the join runs on (digest of the text, hash) pairs only,
+    of which Spark may leave out early what no rule has, and the texts come back
+    for the candidates, a text that most posts share in parts.
     """
     rules = keyword_rules(universe)
     shape = _shape(rules)
@@ -145,10 +125,10 @@ def keyword_match(
         pairs = posts.select("*", hashes).select(*posts.columns, run).join(F.broadcast(rules), same)
     else:
         digest = text_digest(F.col(text))
-        some = F.filter(hashes, _passes(rules, shape.rows)).alias("_hashes")
-        runs = posts.select(digest.alias("_digest"), some).select("_digest", run).distinct()
-        candidates = runs.join(rules, same).drop("_run")
-        pairs = posts.withColumn("_digest", digest).join(candidates, "_digest").drop("_digest")
+        runs = posts.select(digest.alias("_digest"), hashes).select("_digest", run)
+        # copies of a text give the same candidates; they are few by then, so they are merged here and not before
+        candidates = runs.join(rules, same).drop("_run", "_anchor").distinct()
+        pairs = spread_join(posts.withColumn("_digest", digest), candidates, "_digest", salts=TEXT_SALTS).drop("_digest")
 
     def hits(keyword: Column) -> Column:
         test = is_any_hit_bounded if all_occurrences else is_first_hit_bounded

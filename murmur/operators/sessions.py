@@ -79,3 +79,28 @@ def sentiment_next_return(returns: DataFrame, scores: DataFrame) -> DataFrame:
     """Price rows with the sentiment of the session before; NULL without one."""
     before = scores.select("ticker", F.col("next_date").alias("date"), "sentiment")
     return returns.join(before, ["ticker", "date"], "left")
+
+
+def with_session_before(
+    returns: DataFrame, news: DataFrame, *, ts: str = "ts", score: str = "score", minimum: int = MIN_HEADLINES
+) -> DataFrame:
+    """Price rows with the mean score of the headlines since the session before opened; NULL for too few.
+
+    What ``news_sessions`` and ``sentiment_next_return`` say together, in one pass
+    over the prices: a row's session before begins on the date of the row before
+    it. (ticker, date) is taken to be the key of the prices. A ticker's first row
+    has no session before.
+    """
+    daily = news.groupBy("ticker", session_day(F.col(ts)).alias("day")).agg(
+        F.count(F.lit(1)).alias("_nb"), F.sum(score).alias("_sum"), F.count(score).alias("_scored")
+    )
+    before = F.lag("date").over(_by_date())
+    others = [c for c in returns.columns if c not in ("ticker", "date")]
+    rows = returns.select("*", before.alias("_before"))
+    days = F.sequence("_before", F.date_sub("date", 1), F.expr("interval 1 day"))
+    rows = rows.select(*returns.columns, F.explode_outer(days).alias("day")).join(daily, ["ticker", "day"], "left")
+    rows = rows.groupBy("ticker", "date").agg(
+        *(F.first(c).alias(c) for c in others), F.sum("_nb").alias("_nb"), F.sum("_sum").alias("_sum"), F.sum("_scored").alias("_scored")
+    )
+    sentiment = F.when(F.col("_nb") >= minimum, F.try_divide("_sum", "_scored"))
+    return rows.select(*returns.columns, sentiment.alias("sentiment"))

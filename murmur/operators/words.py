@@ -1,4 +1,4 @@
-"""Joins of exploded words with word lists."""
+"""Joins of words with word lists, and of rows with what is known of their text."""
 
 from __future__ import annotations
 
@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 from murmur.session import fits_broadcast
 
+# Parts in which the rows of one text meet what is known of it.
+SALTS = 8
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join on ``key``; a key that most rows share is joined in ``salts`` parts, for which ``known`` is repeated."""
+    others = [name for name in rows.columns if name != key]
+    part = F.pmod(F.xxhash64(*others), F.lit(salts)) if others else F.pmod(F.spark_partition_id(), F.lit(salts))
+    every = F.explode(F.array(*[F.lit(n) for n in range(salts)])).alias("_part")
+    salted = rows.withColumn("_part", part.cast("int"))
+    return salted.join(known.select("*", every), [key, "_part"], how).drop("_part")
+
 
 def join_words(words: DataFrame, word: str, entries: DataFrame, entry: str, broadcast: bool | None = None) -> DataFrame:
     """Inner join on ``word`` equal to ``entry``.

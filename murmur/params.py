@@ -24,6 +24,9 @@ HOLD_SENTIMENT = 15
 COMMENT_LIMIT = 100_000
 TRENDING_LIMIT = 10
 
+# Tokens of a post that the sentiment model gets.
+MODEL_TOKENS = 50
+
 # Fewest headlines that make a session count.
 MIN_HEADLINES = 15
 

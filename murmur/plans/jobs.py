@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.language import LanguageModel, with_language
-from murmur.functions.text import text_digest
+from murmur.functions.language import LanguageModel, detect_language, with_language
+from murmur.functions.text import text_digest, words
 from murmur.operators import filters, sessions, universe
 from murmur.operators.dedup import dedup_staged, with_source_order
 from murmur.operators.match import keyword_match
 from murmur.operators.metrics import stock_sentiment_metrics
 from murmur.operators.scoring import Model, lexicon_score, score_by_digest
+from murmur.operators.valence import Modifiers, rule_score
 from murmur.params import MIN_CAP, MIN_HEADLINES, SHORT_LEVEL
 from murmur.sources.posts import parse_stocktwits, parse_twitter, union_posts
 from murmur.sources.prices import adjusted_close
@@ -51,13 +53,14 @@ def prepare_posts(
     twitter: DataFrame,
     stocks: DataFrame,
     load_language: Callable[[], LanguageModel] | None = None,
+    language: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Posts of all sources: matched, parsed, English, cleaned, in arrival order.
 
     ``comments``: seq, body. ``stocktwits`` and ``twitter``: stock, seq, raw.
     ``stocks``: stock, keywords. Reddit is not filtered by language. Where the
-    searched posts come with a ``lang``, that stands; else ``load_language``
-    names the model, or the language is detected.
+    searched posts come with a ``lang``, that stands; else ``language`` says it,
+    or ``load_language`` names the model, or stopwords vote.
     """
     reddit = keyword_match(comments, stocks, text="body").select(
         "stock",
@@ -70,7 +73,7 @@ def prepare_posts(
     parsed = (parse_stocktwits(stocktwits), parse_twitter(twitter))
     given = [[*_POST_COLUMNS, "lang"] if "lang" in p.columns else _POST_COLUMNS for p in parsed]
     searched = union_posts(*(p.select(*columns) for p, columns in zip(parsed, given)))
-    known = with_language(searched, "text", load_model=load_language)
+    known = with_language(searched, "text", load_model=load_language, by=language)
     english = filters.keep_english_lenient(known).select(*_POST_COLUMNS)
     cleaned = filters.clean_and_drop_empty(union_posts(reddit, english))
     return with_source_order(cleaned).withColumn("digest", text_digest(F.col("text")))
@@ -95,7 +98,10 @@ def social_sentiment(
     null_user: str = "keep",
     stage_dir: str | None = None,
     model_tasks: int | None = None,
+    model_tokens: int | None = None,
+    profile: ResourceProfile | None = None,
     load_language: Callable[[], LanguageModel] | None = None,
+    language: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """The metrics row of every stock in ``stocks``.
 
@@ -106,10 +112,10 @@ def social_sentiment(
     are written there once, which also ends their lineage; without it they
     are computed twice.
     """
-    prepared = _staged(prepare_posts(comments, stocktwits, twitter, stocks, load_language), stage_dir, "prepared")
+    prepared = _staged(prepare_posts(comments, stocktwits, twitter, stocks, load_language, language), stage_dir, "prepared")
     kept = dedup_staged(prepared, null_user, "digest", with_text=False)
     kept = _staged(kept.select("stock", "source", "digest"), stage_dir, "kept")
-    scored = score_by_digest(kept, prepared.select("digest", "text"), load_model, tasks=model_tasks)
+    scored = score_by_digest(kept, prepared.select("digest", "text"), load_model, tasks=model_tasks, most_tokens=model_tokens, profile=profile)
     return stock_sentiment_metrics(scored, stocks)
 
 
@@ -129,17 +135,30 @@ def news_vs_return(
     end: Column,
     *,
     minimum: int = MIN_HEADLINES,
+    rules: Modifiers | None = None,
+    language: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Daily returns beside the news sentiment of the session before.
 
     ``news``: ticker, id, ts, headline, and ``lang`` when it is known already.
     ``prices``: ticker, date, then value columns with the adjusted close fifth.
+    With ``rules`` headlines are scored by these, else by the sum of their words'
+    valences. ``language`` says the language of a column, such as a learned table.
     """
     cleaned = filters.clean_news(news, time="ts")
-    if "lang" not in cleaned.columns:
-        cleaned = with_language(cleaned, "headline")
+    vote = "lang" not in cleaned.columns and language is None
+    if vote:
+        # Both the vote and the score read the words. The generator, of one row a row, keeps Spark from
+        # pushing the filter below it, where the words would be found a second time.
+        cleaned = cleaned.select("*", F.explode_outer(F.array(words(F.col("headline")))).alias("_words"))
+        cleaned = cleaned.withColumn("lang", detect_language(F.col("headline"), F.col("_words")))
+    elif language:
+        cleaned = with_language(cleaned, "headline", by=language)
     english = filters.keep_english_strict(cleaned)
-    scored = lexicon_score(english, lexicon, keys=["ticker", "id", "ts"])
+    keys = ["ticker", "id", "ts"]
+    if rules:
+        scored = rule_score(english, lexicon, keys=keys, rules=rules)
+    else:
+        scored = lexicon_score(english, lexicon, keys=keys, tokens="_words" if vote else None)
     returns = sessions.daily_return(adjusted_close(prices, start, end))
-    per_session = sessions.news_sessions(scored, sessions.session_gap(returns), score="compound", minimum=minimum)
-    return sessions.sentiment_next_return(returns, per_session)
+    return sessions.with_session_before(returns, scored, score="compound", minimum=minimum)

@@ -290,6 +290,23 @@ def _lexicon_views(source: str, key: str, text: str) -> str:
           on l.token = w.token group by w.{key}"""
 
 
+_LEARNED = r"""
+        with padded as (select doc_id, lang, doc_id % 5 = 0 as held_out,
+                        regexp_replace(' ' || lower(coalesce(text, '')) || ' ', '\P{L}+', ' ', 'g') as t from documents),
+        grams as (select doc_id, lang, held_out, unnest(list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2])) as gram from padded),
+        per_doc as (select doc_id, lang, held_out, gram, count(*) as n from grams group by all),
+        counts as (select lang, gram, sum(n) as n from per_doc where not held_out and lang is not null group by all),
+        kept as (select gram from counts group by gram order by sum(n) desc, gram limit 50000),
+        known as (select c.* from counts c join kept using (gram)),
+        totals as (select lang, sum(n) as total, (select count(*) from kept) as size from known group by lang),
+        weights as (select k.gram, k.lang, ln((n + 1) / (total + size + 1)) as weight from known k join totals using (lang)),
+        scores as (
+            select d.doc_id, t.lang as found, sum(d.n * coalesce(w.weight, ln(1 / (total + size + 1)))) as score
+            from per_doc d cross join totals t left join weights w on w.gram = d.gram and w.lang = t.lang group by all)
+        select p.doc_id, p.lang, s.found, p.held_out
+        from padded p left join (select * from scores qualify row_number() over (partition by doc_id order by score desc, found) = 1) s using (doc_id)"""
+
+
 _MODIFIERS = {"negations": "to en", "stronger": "that it", "weaker": "for with", "contrast": "and und"}
 
 
@@ -613,6 +630,7 @@ ORACLE = {
     "lexicon_score": f"""
         select doc_id, {_r('total / sqrt(total * total + 15)', 'compound')}
         from ({_lexicon_views('documents', 'doc_id', 'text')})""",
+    "detect_language_learned": _LEARNED,
     "lexicon_score_rules": _rules_sql(),
     "position_signal": sql("""
         select m.stock, h.held,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.functions import labels, numbers
+from murmur.functions import labels, ngrams, numbers
 from murmur.functions import text as tx
 from murmur.functions.language import with_language
 from murmur.operators import calendar, dedup, filters, match, metrics, scoring, sessions, signals, universe, valence
@@ -537,6 +537,16 @@ def detect_language(spark, sf):
     return with_language(v.table(spark, sf, "documents"), "text", "found").select("doc_id", "lang", "found")
 
 
+@query
+def detect_language_learned(spark, sf):
+    """Every text's language by a model that four of five labelled texts teach; the others are held out."""
+    docs = v.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.col("doc_id") % 5 == 0
+    model = ngrams.learn(docs.where(~held_out))
+    known = with_language(docs, "text", "found", by=ngrams.learned_language(model))
+    return known.select("doc_id", "lang", "found", held_out.alias("held_out"))
+
+
 @query
 def lexicon_score(spark, sf):
     headlines = v.table(spark, sf, "documents").select("doc_id", "text")

@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur import params
+from murmur.functions.ngrams import learned_language
 from murmur.operators.calendar import holiday_days
 from murmur.operators.metrics import return_sentiment_corr, sentiment_histogram
 from murmur.operators.scoring import Model
 from murmur.operators.signals import position_signal
 from murmur.operators.universe import posts_in_lookback, with_lookback
+from murmur.operators.valence import Modifiers
 from murmur.plans import jobs
 from murmur.session import shared_dir
 from murmur.sources import html, posts, prices, sinks, trending
@@ -179,9 +181,13 @@ def main(arguments: list[str] | None = None) -> None:
     social.add_argument("--null-user", choices=("keep", "collapse"), default="keep")
     social.add_argument("--model-tasks", type=int)
     social.add_argument("--language-model", help="module:function that loads a language model")
+    for job in (social, news):
+        job.add_argument("--language-table", help="folder of a learned language model")
+    news.add_argument("--rules", action="store_true", help="score headlines by rules for negation, degree and emphasis")
     for name, kind, default, what in (
         ("lookback-trending", int, params.LOOKBACK_TRENDING, "hours to look back for trending stocks and comments"),
         ("lookback-other", int, params.LOOKBACK_OTHER, "hours to look back for other stocks"),
+        ("model-tokens", int, params.MODEL_TOKENS, "tokens of a post that the model gets"),
         ("comment-limit", int, None, "most comments to take; all without it"),
         ("trending-limit", int, params.TRENDING_LIMIT, "most stocks to take from the trending list"),
         ("short-level", int, params.SHORT_LEVEL, "the short level of the landed screen, in percent"),
@@ -197,11 +203,14 @@ def main(arguments: list[str] | None = None) -> None:
     given = parser.parse_args(arguments)
 
     spark = SparkSession.builder.appName(f"murmur {given.job}").getOrCreate()
+    language = learned_language(spark.read.parquet(given.language_table)) if given.language_table else None
     if given.job == "social":
         now = F.lit(given.now).cast("timestamp_ntz")
         options = {
             "null_user": given.null_user,
             "model_tasks": given.model_tasks,
+            "model_tokens": given.model_tokens,
+            "language": language,
             "load_language": load_object(given.language_model) if given.language_model else None,
             "lookback": (given.lookback_trending, given.lookback_other),
             "comment_limit": given.comment_limit,
@@ -215,7 +224,7 @@ def main(arguments: list[str] | None = None) -> None:
         run_social(spark, given.landing, given.out, now, load_object(given.model), **options)
     else:
         days = [F.lit(day).cast("date") for day in (given.start, given.end)]
-        run_news(spark, given.landing, given.out, *days, minimum=given.min_headlines)
+        run_news(spark, given.landing, given.out, *days, minimum=given.min_headlines, rules=Modifiers() if given.rules else None, language=language)
 
 
 if __name__ == "__main__":

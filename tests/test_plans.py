@@ -9,7 +9,7 @@ from murmur.plans import views as v
 from murmur.plans.queries import QUERIES
 from murmur.session import fits_broadcast, shared_dir
 
-PYTHON = {"score_posts_batch", "screener_rows_lenient", "social_sentiment"}
+PYTHON = {"detect_language_learned", "score_posts_batch", "screener_rows_lenient", "social_sentiment"}
 
 
 def plan(df):

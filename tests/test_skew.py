@@ -132,3 +132,21 @@ def test_runs_without_a_rule_are_not_shuffled(spark):
     runs = shuffled_records(found)
     assert found.count() == ROWS
     assert sum(runs) <= 4 * ROWS  # of each text its digest and the one run; no word that no rule has
+
+
+def test_a_hot_text_meets_its_rules_in_parts(spark):
+    from murmur.operators.match import keyword_match
+
+    posts = skewed(spark).select("seq", F.concat("text", F.lit(" and GME")).alias("text"))
+    rules = spark.createDataFrame([("GME", ["GME"])], "stock STRING, keywords ARRAY<STRING>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        found = keyword_match(posts, rules, max_broadcast_rows=0)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == ROWS and max(sizes) < ROWS / 4
