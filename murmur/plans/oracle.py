@@ -231,6 +231,21 @@ def _metrics_sql(posts: str) -> str:
         from {posts} group by stock""")
 
 
+def _sliding_sql() -> str:
+    """Each lookback computed from all posts anew."""
+    per_source = ", ".join(
+        f"count(*) filter (where source = '{s}') as nb_{s}, " + _r(f"avg(probability) filter (where source = '{s}')", f"avg_{s}")
+        for s in ("reddit", "stocktwit", "twitter")
+    )
+    spans = " union all ".join(
+        f"""select {end} as days_ago, stock, count(*) as total_nb, {_r('avg(probability)', 'total_avg')},
+            cast(null as double) as accuracy, {per_source} from scored_posts
+            where ts >= {NOW} - to_days({end + 3}) and ts < {NOW} - to_days({end}) group by stock"""
+        for end in (8, 6, 4, 2, 0)
+    )
+    return sql(f"select * from ({spans})")
+
+
 def _histogram_sql(view: str, score: str) -> str:
     return sql(f"""
         select b.bin, count(s.x) as n, {_r('any_value(lo) + b.bin * any_value(hi - lo) / 50', 'left_edge')},
@@ -641,6 +656,23 @@ ORACLE = {
         from (select stock, count(*) as total_nb, avg(probability) as total_avg from staged group by stock) m
         left join (select source as stock, case max(doc_id) % 3 when 0 then 'long' when 1 then 'short' end as held
                    from documents group by source) h on h.stock = m.stock"""),
+    "position_history": sql("""
+        select * from (with recursive days as (
+            select stock, cast(ts as date) as day, count(*) as nb, avg(probability) * 100 as percent,
+                   row_number() over (partition by stock order by cast(ts as date)) as n
+            from scored_posts group by 1, 2),
+        walk as (
+            select stock, 0 as n, cast(null as date) as day, cast(null as varchar) as held, 'none' as signal from (select distinct stock from days)
+            union all
+            select d.stock, d.n, d.day, h.held,
+                   case when h.held = 'long' then case when d.percent > 0.2 then 'long' else 'exit' end
+                        when h.held = 'short' then case when d.percent < -0.2 then 'short' else 'exit' end
+                        when d.nb > 2 and d.percent > 0.9 then 'long' when d.nb > 2 and d.percent < -0.9 then 'short' else 'none' end
+            from (select stock, n, case when signal in ('long', 'short') then signal end as held from walk) h
+            join days d on d.stock = h.stock and d.n = h.n + 1)
+        select stock, day, held, signal from walk where n > 0)"""),
+    "dedup_on_arrival": sql("select stock, source, seq from staged"),
+    "metrics_sliding": _sliding_sql(),
     "enough_comments": sql("select stock, count(*) as total_nb from scored_posts group by stock having count(*) > 36"),
     # Jobs
     "choose_universe": sql("""

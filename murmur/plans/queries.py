@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,14 @@ from murmur.functions import labels, ngrams, numbers
 from murmur.functions import text as tx
 from murmur.functions.language import with_language
 from murmur.operators import calendar, dedup, filters, match, metrics, scoring, sessions, signals, universe, valence
+from murmur.params import SOURCES
 from murmur.plans import jobs
 from murmur.plans import views as v
 from murmur.session import shared_dir
 from murmur.sources import holidays as hol
 from murmur.sources import html, posts, prices, sinks, trending
 from murmur.sources import news as news_source
+from murmur.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -576,6 +579,48 @@ def position_signal(spark, sf):
     return signals.position_signal(rows, positions, min_comments=5, entry=0.5, hold=0.2)
 
 
+@query
+def position_history(spark, sf):
+    """Positions of every stock carried over the days of its posts."""
+    posts_ = v.scored_posts(spark, sf)
+    daily = posts_.groupBy("stock", F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("total_nb"), F.avg("probability").alias("total_avg")
+    )
+    return signals.position_history(daily, min_comments=2, entry=0.9, hold=0.2)
+
+
+@query
+def dedup_on_arrival(spark, sf):
+    """The posts in six batches, by source and in order, each judged against those before it."""
+    path = shared_dir(spark, "arrivals")
+    rows = v.scored_posts(spark, sf)
+    half = rows.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for place, source in enumerate(SOURCES):
+        for later in (False, True):
+            batch = rows.where((F.col("source") == source) & ((F.col("seq") > half) == later))
+            arrivals.arrive(batch, path, 2 * place + later)
+    return arrivals.arrived(spark, path).select("stock", "source", "seq")
+
+
+@query
+def metrics_sliding(spark, sf):
+    """Metrics of the last 72 hours at five times two days apart, from sums that read each post once."""
+    path = shared_dir(spark, "partials")
+    rows = v.scored_posts(spark, sf)
+    day = lambda n: v.now() - F.make_dt_interval(days=F.lit(n))
+    ends = [8, 6, 4, 2, 0]
+    out = []
+    for batch, end in enumerate(ends):
+        new = rows.where(F.col("ts") < day(end))
+        if batch:
+            new = new.where(F.col("ts") >= day(ends[batch - 1]))
+        arrivals.write_batch(arrivals.partial_metrics(new), path, batch)
+        held = arrivals.read_batches(spark, path, arrivals.PARTIALS, before=batch + 1)
+        metrics_ = arrivals.merged_metrics(held, since=day(end + 3), until=day(end))
+        out.append(metrics_.select(F.lit(end).alias("days_ago"), "stock", *rounded(*MEANS), *METRICS))
+    return reduce(DataFrame.union, out)
+
+
 @query
 def enough_comments(spark, sf):
     rows = filters.enough_comments(metrics.stock_sentiment_metrics(v.scored_posts(spark, sf)), 36)

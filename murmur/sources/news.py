@@ -14,11 +14,15 @@ NEWS_SCHEMA = (
 
 
 def read_news_json(spark: SparkSession, path: str) -> DataFrame:
-    """News landed as one JSON record per line, in folders ``ticker=...``.
+    """News landed as one JSON record per line, in folders ``ticker=...``."""
+    return parse_news(spark.read.schema("value STRING, ticker STRING").text(path))
+
+
+def parse_news(lines: DataFrame) -> DataFrame:
+    """Records from lines (value, ticker).
 
     A record that lacks any of the nine keys is left out; a key may be null.
     """
-    lines = spark.read.schema("value STRING, ticker STRING").text(path)
     needed = F.array(*[F.lit(name) for name in NEWS_COLUMNS])
     complete = F.size(F.array_except(needed, F.json_object_keys("value"))) == 0
     return lines.where(complete).select("ticker", F.from_json("value", NEWS_SCHEMA).alias("r")).select("ticker", "r.*")

@@ -1,0 +1,179 @@
+"""Posts, metrics and news that arrive in batches, against everything at once; positions day by day."""
+
+from __future__ import annotations
+
+import json
+import random
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from murmur.operators.dedup import dedup_staged, with_source_order
+from murmur.operators.metrics import stock_sentiment_metrics
+from murmur.operators.signals import position_history, position_signal
+from murmur.params import NEWS_COLUMNS, SOURCES
+from murmur.streaming import arrivals
+
+POST = "stock string, source string, user string, text string, seq long, ts timestamp_ntz, probability double"
+START = datetime(2024, 1, 1)
+
+
+def some_posts(n=300, seed=1):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        source = rng.choice(SOURCES)
+        user = None if source == "reddit" or rng.random() < 0.2 else f"u{rng.randrange(12)}"
+        at = START + timedelta(minutes=rng.randrange(60 * 24 * 12))
+        rows.append((rng.choice("AB"), source, user, f"t{rng.randrange(40)}", i, at, rng.choice([None, 0.5, -0.25, 1.0])))
+    return rows
+
+
+def batches_of(rows, rng):
+    """Rows by source and seq, cut anywhere, also within a source."""
+    rows = sorted(rows, key=lambda r: (SOURCES.index(r[1]), r[4]))
+    cuts = sorted(rng.sample(range(1, len(rows)), 5))
+    return [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+
+
+def kept(spark, path):
+    return sorted((r["stock"], r["source"], r["seq"]) for r in arrivals.arrived(spark, path).collect())
+
+
+@pytest.mark.parametrize("null_user", ["keep", "collapse"])
+def test_arrivals_are_the_staged_dedup(spark, tmp_path, null_user):
+    rows = [r if r[1] != "reddit" or null_user == "keep" else (*r[:2], f"only{r[4]}", *r[3:]) for r in some_posts()]
+    path = str(tmp_path / "posts")
+    for k, batch in enumerate(batches_of(rows, random.Random(2))):
+        frame = spark.createDataFrame(batch, POST)
+        arrivals.arrive(frame, path, k, null_user=null_user)
+        if k % 2:  # handed over twice
+            arrivals.arrive(frame, path, k, null_user=null_user)
+    staged = dedup_staged(with_source_order(spark.createDataFrame(rows, POST)), null_user)
+    assert kept(spark, path) == sorted((r["stock"], r["source"], r["seq"]) for r in staged.collect())
+
+
+def test_old_posts_hide_nothing(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    at = lambda h: START + timedelta(hours=h)
+    first = [("A", "twitter", "u", "t", 1, at(0), 0.0), ("A", "twitter", "v", "w", 2, at(20), 0.0)]
+    arrivals.arrive(spark.createDataFrame(first, POST), path, 0, hours=6)
+    second = [("A", "twitter", "u", "t", 3, at(22), 0.0), ("A", "twitter", "x", "w", 4, at(22), 0.0), ("A", "twitter", "v", "z", 5, at(22), 0.0)]
+    arrivals.arrive(spark.createDataFrame(second, POST), path, 1, hours=6)
+    assert [s for *_, s in kept(spark, path)] == [1, 2, 3]
+    arrivals.arrive(spark.createDataFrame([], POST), path, 2, hours=6)
+    assert [s for *_, s in kept(spark, path)] == [1, 2, 3]
+
+
+def test_a_stream_goes_on_where_it_was_interrupted(spark, tmp_path, monkeypatch):
+    rows, landing, path = some_posts(120, 3), tmp_path / "in", str(tmp_path / "out")
+    for k, batch in enumerate(batches_of(rows, random.Random(4))):
+        spark.createDataFrame(batch, POST).coalesce(1).write.parquet(f"{landing}/{k}")
+    files = sorted(landing.glob("*/*.parquet"), key=lambda f: f.parent.name)
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for k, f in enumerate(files):
+        (flat / f"{k}.parquet").write_bytes(f.read_bytes())
+        import os
+
+        os.utime(flat / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))  # files are taken in order of time
+    schema = spark.createDataFrame([], POST).schema
+
+    def stream():
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(flat))
+
+    real, seen = arrivals.arrive, []
+
+    def breaks(rows, path, batch, **options):
+        real(rows, path, batch, **options)
+        seen.append(batch)
+        if batch == 2 and seen.count(2) == 1:
+            raise RuntimeError("lost after the write, before the batch was noted as done")
+
+    monkeypatch.setattr(arrivals, "arrive", breaks)
+    with pytest.raises(Exception, match="lost"):
+        arrivals.dedup_on_arrival(stream(), path, str(tmp_path / "check")).awaitTermination()
+    arrivals.dedup_on_arrival(stream(), path, str(tmp_path / "check")).awaitTermination()
+    assert seen == [0, 1, 2, 2, 3, 4, 5]
+    staged = dedup_staged(with_source_order(spark.createDataFrame(rows, POST)))
+    assert kept(spark, path) == sorted((r["stock"], r["source"], r["seq"]) for r in staged.collect())
+
+
+def test_merged_sums_are_the_metrics_of_each_lookback(spark, tmp_path):
+    """A lookback that slides over a week; each run reads the posts that are new only."""
+    path = str(tmp_path / "sums")
+    rows = some_posts(400, 5)
+    frame = spark.createDataFrame(rows, POST)
+    at = lambda day: F.lit(START + timedelta(days=day)).cast("timestamp_ntz")
+    for k, day in enumerate(range(4, 12)):
+        new = frame.where((F.col("ts") < at(day)) & ((F.col("ts") >= at(day - 1)) if k else F.lit(True)))
+        for _ in range(1 + k % 2):  # a batch may be written twice
+            arrivals.write_batch(arrivals.partial_metrics(new), path, k)
+        merged = arrivals.merged_metrics(arrivals.read_batches(spark, path, arrivals.PARTIALS), since=at(day - 3), until=at(day))
+        whole = stock_sentiment_metrics(frame.where((F.col("ts") >= at(day - 3)) & (F.col("ts") < at(day))))
+        columns = sorted(whole.columns)
+        assert sorted(merged.columns) == columns
+        by_stock = lambda df: {r["stock"]: [r[c] for c in columns if c != "stock"] for r in df.collect()}
+        got, want = by_stock(merged), by_stock(whole)
+        assert set(got) == set(want)
+        for stock in want:
+            assert got[stock] == pytest.approx(want[stock])
+
+
+def test_news_load_goes_on(spark, tmp_path, monkeypatch):
+    def land(name, ids):
+        folder = tmp_path / "landing" / "ticker=X"
+        folder.mkdir(parents=True, exist_ok=True)
+        record = dict.fromkeys(NEWS_COLUMNS, None)
+        (folder / name).write_text("".join(json.dumps(record | {"id": i, "headline": f"h{i}", "datetime": i}) + "\n" for i in ids) + '{"id": 9}\n')
+
+    landing, path, check = str(tmp_path / "landing"), str(tmp_path / "news"), str(tmp_path / "check")
+    ids = lambda: sorted((r["ticker"], r["id"]) for r in arrivals.news_of(spark, path).collect())
+    land("a.json", [1, 2])
+    arrivals.load_news_on_arrival(spark, landing, path, check).awaitTermination()
+    arrivals.load_news_on_arrival(spark, landing, path, check).awaitTermination()
+    assert ids() == [("X", 1), ("X", 2)]
+    land("b.json", [3])
+    real = arrivals.write_batch
+
+    def breaks(rows, path, batch):
+        real(rows, path, batch)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(arrivals, "write_batch", breaks)
+    with pytest.raises(Exception, match="lost"):
+        arrivals.load_news_on_arrival(spark, landing, path, check).awaitTermination()
+    monkeypatch.undo()
+    arrivals.load_news_on_arrival(spark, landing, path, check).awaitTermination()
+    assert ids() == [("X", 1), ("X", 2), ("X", 3)]
+
+
+def test_positions_are_the_signal_day_by_day(spark):
+    rng = random.Random(7)
+    days = [date(2024, 1, 1) + timedelta(days=d) for d in range(9)]
+    rows = [(s, d, rng.choice([0, 5, 50]), rng.choice([None, -0.5, -0.18, -0.1, 0.0, 0.1, 0.18, 0.5])) for s in "ABCDEF" for d in days if rng.random() < 0.8]
+    daily = spark.createDataFrame(rows, "stock string, day date, total_nb long, total_avg double").repartition(3)
+    held = {"A": "long", "B": "short", "Z": "long"}
+    start = spark.createDataFrame(list(held.items()), "stock string, held string")
+    got = {(r["stock"], r["day"]): (r["held"], r["signal"]) for r in position_history(daily, start, min_comments=10).collect()}
+    want = {}
+    for day in days:
+        today = [r for r in rows if r[1] == day]
+        for stock, _, nb, avg in today:
+            now = held.get(stock)
+            up = avg is not None and avg * 100
+            if now == "long":
+                signal = "long" if avg is not None and up > 15 else "exit"
+            elif now == "short":
+                signal = "short" if avg is not None and up < -15 else "exit"
+            else:
+                signal = "long" if avg is not None and nb > 10 and up > 20 else "short" if avg is not None and nb > 10 and up < -20 else "none"
+            want[stock, day] = (now, signal)
+            held[stock] = signal if signal in ("long", "short") else None
+    assert got == want
+    one = daily.where(F.col("day") == days[0])
+    same = position_signal(one, start, min_comments=10)
+    first = {r["stock"]: r["signal"] for r in same.collect()}
+    assert all(first[s] == got[s, d][1] for s, d in got if d == days[0])
+    assert position_history(daily.limit(0)).collect() == []
