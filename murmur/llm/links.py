@@ -13,11 +13,17 @@ def _tally(links: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+#: Parts in which the links of one node meet its least neighbour.
+PARTS = 8
+
+
 def _hooked(links: DataFrame, both: DataFrame) -> DataFrame:
     """Every link replaced by one from its far end to the least neighbour of the near end."""
     least = both.groupBy("u").agg(F.min("v").alias("least"))
-    least = least.select("u", F.least("u", "least").alias("least"))
-    return links.join(least, "u")
+    every = F.explode(F.array(*[F.lit(n) for n in range(PARTS)])).alias("part")
+    least = least.select("u", F.least("u", "least").alias("least"), every)
+    part = F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int").alias("part")
+    return links.select("u", "v", part).join(least, ["u", "part"])
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -27,7 +33,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     alternate: all larger neighbours of a node hook to its least neighbour,
     then all smaller ones do. The number of rounds grows with the logarithm of
     the graph, and no step holds the neighbours of a node together: the least
-    one is found by a partial aggregate. Ends when no link changes.
+    one is found by a partial aggregate, and the links of a node with very many
+    meet it in parts. Ends when no link changes.
     """
     links = links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     links = staged(links, "links")  # u > v
