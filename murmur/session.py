@@ -33,10 +33,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one job's tables, on a file system all executors share.
 
     The cluster names its folder in ``spark.checkpoint.dir``; without one, the
-    folder is made under ``spark.sql.warehouse.dir``. It goes when the driver
-    ends, as results may be read from it until then.
+    folder is made under ``spark.sql.warehouse.dir``, which must not be a
+    machine's own unless the session is local. It goes when the driver ends, as
+    results may be read from it until then.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir: the warehouse is a local folder that executors don't share")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(path)
     return path.toString()
