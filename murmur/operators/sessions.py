@@ -51,6 +51,42 @@ def headline_sessions(news: DataFrame, sessions: DataFrame, ts: str = "ts") -> D
     return news.withColumn("day", session_day(F.col(ts))).join(session_days(sessions), ["ticker", "day"]).drop("day")
 
 
+def session_spans(sessions: DataFrame, openings: DataFrame | None = None) -> DataFrame:
+    """Sessions with the times they open and close; each closes as the next one opens.
+
+    ``openings`` has ``date`` and ``opens`` for days that don't open at 09:30,
+    one row a day at most, such as after a delay or under another clock.
+    """
+    usual = lambda c: F.col(c).cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(SESSION_OPEN_HOUR), F.lit(SESSION_OPEN_MINUTE)
+    )
+    if openings is None:
+        return sessions.withColumns({"opens": usual("date"), "closes": usual("next_date")})
+    at = openings.select(F.col("date").alias("_date"), F.col("opens").cast("timestamp_ntz").alias("_opens"))
+    for name, day in (("opens", "date"), ("closes", "next_date")):
+        sessions = sessions.join(at, F.col(day) == F.col("_date"), "left")
+        sessions = sessions.withColumn(name, F.coalesce("_opens", usual(day))).drop("_date", "_opens")
+    return sessions
+
+
+def headlines_in_spans(news: DataFrame, spans: DataFrame, ts: str = "ts") -> DataFrame:
+    """Every headline with the sessions of its ticker that are open at its time, ``opens`` included, ``closes`` not.
+
+    For spans of any length at any time of day. A span is listed under every day
+    it touches and a headline under its own, so they meet by an equi-join on
+    (ticker, day), which splits a busy ticker by day, and the exact test is left
+    for the pairs of a day. A headline meets a span once, as it has one day. A
+    span that closes before it opens, or lacks a time, holds nothing.
+    """
+    # no earlier than the first day, as a sequence of spans that are left out may be looked at
+    last = F.greatest(F.to_date("opens"), F.to_date(F.col("closes") - F.expr("interval 1 microsecond")))
+    days = F.explode(F.sequence(F.to_date("opens"), last, F.expr("interval 1 day")))
+    listed = spans.where(F.col("closes") > F.col("opens")).select("*", days.alias("_day"))
+    at = F.col(ts)
+    met = news.withColumn("_day", F.to_date(at)).join(listed, ["ticker", "_day"])
+    return met.where((at >= F.col("opens")) & (at < F.col("closes"))).drop("_day")
+
+
 def news_sessions(
     news: DataFrame, sessions: DataFrame, *, ts: str = "ts", score: str = "score", minimum: int = MIN_HEADLINES
 ) -> DataFrame:

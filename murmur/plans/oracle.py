@@ -528,6 +528,14 @@ ORACLE = {
         select n.id, g.ticker, g.date, g.next_date from gaps g join news n
           on n.ticker = g.ticker and n.ts >= g.date + interval '9 hours 30 minutes'
          and n.ts < g.next_date + interval '9 hours 30 minutes'"""),
+    "headlines_in_spans": sql("""
+        select n.id, g.ticker, g.date, g.next_date, g.opens, g.closes from (
+            select *, date + case when extract(day from date) % 3 = 0 then to_hours(6 + extract(day from date) % 7) + to_minutes(extract(day from date) % 5 * 11)
+                           else interval '9 hours 30 minutes' end as opens,
+                   next_date + case when extract(day from next_date) % 3 = 0
+                           then to_hours(6 + extract(day from next_date) % 7) + to_minutes(extract(day from next_date) % 5 * 11)
+                           else interval '9 hours 30 minutes' end as closes from gaps) g
+        join news n on n.ticker = g.ticker and n.ts >= g.opens and n.ts < g.closes"""),
     "sentiment_next_return": sql(f"""
         select ticker, date, {_r('adj_close', 'adj_close')}, {_r('daily_return', 'daily_return')},
                {_r('sentiment', 'sentiment')} from returns_sentiment"""),

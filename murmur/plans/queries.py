@@ -250,6 +250,18 @@ def headline_sessions(spark, sf):
     return sessions.headline_sessions(v.news(spark, sf), gaps).select("id", "ticker", "date", "next_date")
 
 
+@query
+def headlines_in_spans(spark, sf):
+    """Headlines by session where every third day opens at an hour of its own."""
+    day = F.to_date("ts")
+    delay = F.make_dt_interval(F.lit(0), F.lit(6) + F.day(day) % 7, F.day(day) % 5 * 11)
+    openings = v.table(spark, sf, "events").where(F.day(day) % 3 == 0).select(day.alias("date")).distinct()
+    openings = openings.withColumn("ts", F.col("date").cast("timestamp_ntz")).select("date", (F.col("ts") + delay).alias("opens"))
+    spans = sessions.session_spans(sessions.session_gap(v.prices(spark, sf)), openings)
+    found = sessions.headlines_in_spans(v.news(spark, sf), spans)
+    return found.select("id", "ticker", "date", "next_date", "opens", "closes")
+
+
 def _returns_with_sentiment(spark, sf):
     returns = sessions.daily_return(v.prices(spark, sf))
     return sessions.sentiment_next_return(returns, _session_scores(spark, sf))

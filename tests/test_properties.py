@@ -168,3 +168,27 @@ def test_staging_does_not_change_the_job(spark, sf_dir, tmp_path):
     written = jobs.social_sentiment(*inputs, stocks, v.letter_model, stage_dir=str(tmp_path / "stage"))
     shape = lambda df: sorted((r["stock"], r["total_nb"], round(r["total_avg"], 9)) for r in df.collect())
     assert shape(plain) == shape(written)
+
+
+def test_headlines_in_spans_are_the_range_join(spark):
+    """Spans of any length, overlapping, empty, reversed or open-ended."""
+    import random
+    from datetime import datetime, timedelta
+
+    from murmur.operators.sessions import headlines_in_spans
+
+    rng = random.Random(5)
+    at = lambda: datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(0, 60 * 24 * 12, 15))
+    news = [(i, rng.choice("AB"), None if rng.random() < 0.05 else at()) for i in range(300)]
+    spans = []
+    for i in range(60):
+        opens = at()
+        closes = rng.choice([opens, opens + timedelta(minutes=30), opens + timedelta(days=3), opens - timedelta(days=1), at(), None])
+        spans.append((i, rng.choice("AB"), None if rng.random() < 0.05 else opens, closes))
+    found = headlines_in_spans(
+        spark.createDataFrame(news, "id int, ticker string, ts timestamp_ntz").repartition(3),
+        spark.createDataFrame(spans, "span int, ticker string, opens timestamp_ntz, closes timestamp_ntz"),
+    )
+    expected = sorted((i, s) for i, t, ts in news for s, u, a, b in spans if t == u and None not in (ts, a, b) and a <= ts < b)
+    assert sorted((r["id"], r["span"]) for r in found.collect()) == expected and len(expected) > 100
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
