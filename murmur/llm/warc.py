@@ -29,6 +29,8 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Most records of one archive.
 RECORDS_PER_FILE = 50_000
+#: Parts in which the pages of one payload meet its first page.
+PARTS = 8
 
 _FOUND = pa.schema(
     [("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("size", pa.int64()), ("next", pa.int64()), ("leaves", pa.int64()),
@@ -73,7 +75,11 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = rows.mapInArrow(sign, "page_id long, url string, html string, sha1 string").withColumn("bytes", F.octet_length("html").cast("long"))
     # Written first, so that Spark knows its size: where few payloads repeat, no page is shuffled.
     first = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(staged(first.where("n > 1").drop("n"), "repeated"), "sha1", "left")
+    # a payload that most pages share, such as none, meets its first page in parts
+    every = F.explode(F.array(*[F.lit(n) for n in range(PARTS)])).alias("part")
+    repeated = staged(first.where("n > 1").drop("n"), "repeated").select("*", every)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int"))
+    rows = rows.join(repeated, ["sha1", "part"], "left")
     again = F.coalesce(F.col("page_id") > F.col("first"), F.col("page_id").isNull() & F.col("first").isNotNull())
     block = F.concat(F.lit(HTTP), F.when(again, "").otherwise(F.col("html")))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
