@@ -528,6 +528,11 @@ ORACLE = {
         select n.id, g.ticker, g.date, g.next_date from gaps g join news n
           on n.ticker = g.ticker and n.ts >= g.date + interval '9 hours 30 minutes'
          and n.ts < g.next_date + interval '9 hours 30 minutes'"""),
+    "table_grid": """
+        select page_id, "row", col, text from (
+            select s_nationkey as page_id, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as int) as "row",
+                   [cast(s_nationkey as varchar), s_name, '#' || s_suppkey] as cells from supplier) r,
+            (select unnest(range(3))::int as col) c, lateral (select cells[col + 1] as text)""",
     "headlines_in_spans": sql("""
         select n.id, g.ticker, g.date, g.next_date, g.opens, g.closes from (
             select *, date + case when extract(day from date) % 3 = 0 then to_hours(6 + extract(day from date) % 7) + to_minutes(extract(day from date) % 5 * 11)

@@ -17,7 +17,7 @@ from murmur.plans import jobs
 from murmur.plans import views as v
 from murmur.session import shared_dir
 from murmur.sources import holidays as hol
-from murmur.sources import html, posts, prices, sinks, trending
+from murmur.sources import grids, html, posts, prices, sinks, trending
 from murmur.sources import news as news_source
 from murmur.streaming import arrivals
 
@@ -118,6 +118,22 @@ def screener_rows_lenient(spark, sf):
     return html.screener_rows(v.screener_pages(spark, sf, closed=False), "page", closed=False)
 
 
+@query
+def table_grid(spark, sf):
+    """A page a nation: its key beside all its suppliers, each with a table of its own in a cell; end tags are left out."""
+    suppliers = v.table(spark, sf, "supplier")
+    row = F.concat(
+        F.lit("<td>"), "s_name", F.lit("<table class=inner><tr><td>"), F.col("s_suppkey").cast("string"), F.lit("</table><td>"), F.lit("#"),
+        F.col("s_suppkey").cast("string"),
+    )
+    rows = F.array_sort(F.collect_list(F.struct("s_suppkey", row.alias("row"))))
+    pages = suppliers.groupBy(F.col("s_nationkey").alias("page_id")).agg(rows.alias("rows"))
+    body = F.array_join(F.transform("rows", lambda r: r["row"]), "<tr>")
+    head = F.concat(F.lit("<table class='wide main'><tr><th rowspan="), F.size("rows").cast("string"), F.lit(">"), F.col("page_id").cast("string"))
+    pages = pages.select("page_id", F.concat(head, body, F.lit("</table>")).alias("html"))
+    return grids.table_grids(pages, "page_id", class_name="main").select("page_id", "row", "col", "text")
+
+
 @query
 def index_members(spark, sf):
     rows = html.html_rows(v.screener_pages(spark, sf), F.col("html"), html.row_with(*html.SCREEN_ROW))
