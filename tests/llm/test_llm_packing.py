@@ -18,6 +18,7 @@ from murmur.llm.mixing import fit, mix, n_words, source_targets
 from murmur.llm.packing import best_fit, best_fit_packing, crossover, cut, evolve, lower_bound, pack
 from murmur.llm.token_counts import CountedText, token_counts
 from murmur.llm.tokens import Encoder, parts
+from target_rule import targets
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "a", " a", "a ", "a  b", "a \n b", "x\x1c y", "a  b", "it's we'll  don't\n\n\n x", "<|endoftext|> a", "a <|endoftext|> b", "a<|endoftext|>", "x <|endoftext|><|endoftext|>  y", "<|endoftext", "日本 語", "😀 b  c 12 3.4", "tab\t x"]
@@ -106,23 +107,6 @@ def test_token_counts_query(spark, sf_dir, tokenizer):
         assert r["n_tokens"] == len(ids_of(tokenizer, texts[r["doc_id"]]))
 
 
-def targets(totals, weights=(5.0, 2.0, 1.0), most=3):
-    """The rule in a plain loop."""
-    names = sorted(s for s in totals if s is not None) + [None] * (None in totals)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    target, rest, free = {}, float(sum(totals.values())), list(names)
-    while free:
-        whole = sum(weight[s] for s in free)
-        share = {s: rest * weight[s] / whole for s in free}
-        above = [s for s in free if share[s] > most * totals[s]]
-        if not above:
-            return target | share
-        target |= {s: most * float(totals[s]) for s in above}
-        rest -= sum(target[s] for s in above)
-        free = [s for s in free if s not in above]
-    return target
-
-
 def test_targets(spark):
     rng = random.Random(2)
     cases = [{}, {"a": 10, "b": 200, "c": 90}, {"a": 0, "b": 5}, {None: 4}, {"a": 0}]

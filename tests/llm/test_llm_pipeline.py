@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from murmur.llm.mixing import targets
+from target_rule import targets
 from murmur.llm.near_dedup import near_dedup
 from murmur.llm.packing import best_fit_packing
 from murmur.llm.toxicity import toxicity
