@@ -37,6 +37,9 @@ BATCH_BYTES = 16 << 20
 #: Entries: a hash, the document and the checksum of its text, and the run of windows that it stands for.
 _COLUMNS = ("keys", "docs", "sums", "starts", "counts")
 _KINDS = (np.uint64, np.int64, np.uint32, np.int32, np.int32)
+#: Parts in which the copies of one text meet their first document.
+COPY_PARTS = 8
+
 _PACK = pa.schema([("bucket", pa.int32()), ("settled", pa.bool_()), *((c, pa.binary()) for c in _COLUMNS)])
 _PACK_TYPES = "bucket int, settled boolean, " + ", ".join(f"{c} binary" for c in _COLUMNS)
 
@@ -207,7 +210,10 @@ def repeated_spans(docs: DataFrame, min_words: int = 13, id_col: str = "doc_id",
     long = base.where(F.col("n_words") >= min_words)
     first = long.groupBy("sha256").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")
-    long = long.join(first.drop("rows"), "sha256", "left").select("doc_id", "text_crc", "n_words", "sha256", "text_md5", copy)
+    # the copies of one text meet their first in parts
+    first = first.select("sha256", "first", F.explode(F.array(*[F.lit(n) for n in range(COPY_PARTS)])).alias("part"))
+    long = long.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(COPY_PARTS)).cast("int"))
+    long = long.join(first, ["sha256", "part"], "left").select("doc_id", "text_crc", "n_words", "sha256", "text_md5", copy)
     base = staged(long.unionByName(base.where(F.col("n_words") < min_words).withColumn("copy", F.lit(False))), "base")
 
     total = base.agg(F.sum("n_words")).first()[0] or 0
