@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import struct
 import zlib
 from itertools import product
@@ -242,3 +243,46 @@ def test_best_fit_packing(spark, tokenizer):
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= 1024
     assert best_fit_packing(frame.limit(0), PATH).count() == 0
+
+
+# The queries on the given tables
+
+
+def test_mix_query(spark, sf_dir):
+    from murmur.llm.queries import QUERIES
+
+    sizes, source_of = {}, {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        sizes[r["doc_id"]] = len([w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w])
+        source_of[r["doc_id"]] = r["source"]
+    totals = {}
+    for doc, n in sizes.items():
+        totals[source_of[doc]] = totals.get(source_of[doc], 0) + n
+    goal, taken = targets(totals), dict.fromkeys(totals, 0)
+    rows = QUERIES["op8_source_mixing"](spark, sf_dir).collect()
+    assert len(rows) == len(sizes)
+    for r in rows:
+        source = source_of[r["doc_id"]]
+        assert (r["size"], r["source_size"], r["target"]) == (sizes[r["doc_id"]], totals[source], goal[source])
+        assert r["taken"] in [r["size"] * k for k in range(4)]
+        taken[source] += r["taken"]
+    # sources of many lengths are met to the word
+    assert all(abs(taken[s] - goal[s]) <= 0.5 for s in totals if len({sizes[d] for d in sizes if source_of[d] == s}) > 30)
+
+
+def test_packing_query(spark, sf_dir, tokenizer):
+    from murmur.llm.queries import QUERIES
+
+    got = QUERIES["op9_best_fit_packing"](spark, sf_dir).collect()
+    want = set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = np.array([*ids_of(tokenizer, r["text"]), 2], "<u4")
+        for k, (start, n) in enumerate(cut(len(ids), 1024)):
+            want.add((r["doc_id"], k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
+    ends = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 1024
+    assert len(ends) <= lower_bound([n for *_, n, _ in want], 1024) + 2
