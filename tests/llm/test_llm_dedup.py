@@ -8,7 +8,6 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 import murmur.llm.near_dedup as near
 import murmur.llm.substring_dedup as substring
@@ -56,21 +55,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
-def test_a_hub_meets_its_least_neighbour_in_parts(spark):
-    from murmur.llm.links import _hooked
-
-    links = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
-    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "64")):
-        spark.conf.set(name, value)
-    try:
-        sizes = [r["count"] for r in _hooked(links, links).groupBy(F.spark_partition_id()).count().collect()]
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-    assert sum(sizes) == 20_000 and max(sizes) <= 20_000 / 3
-
-
 def brute_groups(rows, n, percent):
     sets = []
     for _, text in rows:
