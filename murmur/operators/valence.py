@@ -111,8 +111,9 @@ def in_context(valence: Column, loud: Column, before: list[Column]) -> Column:
 
 def emphasis(text: Column) -> Column:
     """What exclamation and question marks add to a score, away from zero."""
-    shouts = F.least(F.regexp_count(text, F.lit("!")), F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION
-    asks = F.regexp_count(text, F.lit(r"\?"))
+    number = lambda mark: F.length(text) - F.length(F.replace(text, F.lit(mark)))
+    shouts = F.least(number("!"), F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION
+    asks = number("?")
     asks = F.when(asks > FEW_QUESTIONS, MANY_QUESTIONS).when(asks > 1, asks * QUESTION).otherwise(0.0)
     return F.coalesce(shouts + asks, F.lit(0.0))
 
@@ -139,9 +140,11 @@ def rule_score(
     nothing = F.struct(
         F.lit("").alias("token"), F.lit(False).alias("loud"), *(zero.alias(f"before{d}") for d in (1, 2, 3)), zero.alias("side")
     )
-    found = F.array_append(tokens_in_context(F.col(text), rules), nothing)
+    found = F.array_append(tokens_in_context(F.col("_text"), rules), nothing)
+    # The marks come first: beside the explode they would be counted above it, in the whole text for each of its words.
+    marked = news.select(*keys, F.col(text).alias("_text"), emphasis(F.col(text)).alias("_marks"))
     # an outer explode, as the size of an inner one's array would be tested apart and the text be read twice
-    words = news.select(*keys, emphasis(F.col(text)).alias("_marks"), F.explode_outer(found).alias("_w"))
+    words = marked.select(*keys, "_marks", F.explode_outer(found).alias("_w"))
     words = words.select(*keys, "_marks", F.col("_w.token").alias("_word"), "_w.loud", "_w.before1", "_w.before2", "_w.before3", "_w.side")
     value = in_context(F.col("valence"), F.col("loud"), [F.col(f"before{d}") for d in (1, 2, 3)]) * F.col("side")
     met = join_words(words, "_word", entries, "_entry").select(*keys, "_marks", value.alias("_value"))

@@ -74,3 +74,13 @@ def test_no_python_and_one_shuffle_at_most(spark):
     rows = spark.range(10).select(F.col("id").cast("string").alias("id"), F.lit("not good").alias("headline"))
     plan = rule_score(rows, entries, keys=["id"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and plan.count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" not in plan
+
+
+def test_marks_are_counted_once_a_text(spark):
+    """Above the explode they would be counted in the whole text for each of its words."""
+    entries = spark.createDataFrame(list(LEXICON.items()), "token string, valence double")
+    rows = spark.range(10).select("id", F.concat(F.col("id").cast("string"), F.lit(" not good!")).alias("headline"))
+    plan = rule_score(rows, entries, keys=["id"])._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode")
+    assert "headline" not in above and "_text" not in above and "replace(" not in above
+    assert "replace(" in below
