@@ -11,6 +11,7 @@ import pytest
 
 import murmur.llm.near_dedup as near
 import murmur.llm.substring_dedup as substring
+from murmur.llm.arrow import noting_staged
 from murmur.llm.links import components
 from murmur.llm.near_dedup import keep_first, near_dedup
 from murmur.llm.queries import ORACLE, QUERIES
@@ -203,3 +204,29 @@ def test_signatures_keep_all_pairs_within_the_distance():
         wrong = np.zeros(near.CHUNKS * near.SLOTS, int)
         wrong[rng.choice(len(wrong), 15, replace=False)] = 1
         assert wrong.reshape(near.CHUNKS, near.SLOTS).sum(axis=1).min() <= 1
+
+
+def test_components_in_any_order(spark):
+    """Chains that follow or cross the nodes' order, a hub and hubs of hubs; rounds don't grow with a chain."""
+    chain = [(i, i + 1) for i in range(400)]
+    mixed = [(1000 + (i * 37) % 401, 1000 + ((i + 1) * 37) % 401) for i in range(400)]
+    hubs = [(2000 + i // 20, 2000 + i) for i in range(1, 900)]
+    frame = spark.createDataFrame(chain + mixed + hubs, "a long, b long").repartition(3)
+    with noting_staged() as noted:
+        got = {r["node"]: r["component"] for r in components(frame, "a", "b").collect()}
+    want = {i: 0 for i in range(401)} | {1000 + i: 1000 for i in range(401)} | {2000 + i: 2000 for i in range(900)}
+    assert got == want and len(noted) < 40
+
+
+def test_rounds_of_components_are_short(spark):
+    """What a round exchanges is most of the time on many partitions; all rounds of this graph were 60 stages before."""
+    frame = spark.createDataFrame([(i // 20, i) for i in range(1, 900)], "a long, b long").repartition(3)
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "components")
+    try:
+        assert {r["component"] for r in components(frame, "a", "b").collect()} == {0}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("rounds") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) < 50
