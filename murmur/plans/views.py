@@ -68,9 +68,14 @@ def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("probability", net_sentiment(F.col("logits"))).drop("logits")
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Comments with a time; some removed, empty, a space, or only an address."""
+def comments(spark: SparkSession, sf_dir: str, start: int | None = None) -> DataFrame:
+    """Comments with a time; some removed, empty, a space, or only an address.
+
+    Where bodies are only compared with something short, ``start`` leaves as many
+    characters of a text before the texts meet the events.
+    """
     documents = table(spark, sf_dir, "documents")
+    texts = documents.select("doc_id", "text" if start is None else F.substring("text", 1, start).alias("text"))
     numbered = table(spark, sf_dir, "events").withColumn("doc_id", F.col("event_id") % _size(documents))
     body = (
         F.when(F.col("event_type") == "error", F.lit("[removed]"))
@@ -79,7 +84,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "signup", F.lit("https://a.example/b?c=1"))
         .otherwise(F.col("text"))
     )
-    return numbered.join(documents.select("doc_id", "text"), "doc_id").select(
+    return numbered.join(texts, "doc_id").select(
         F.col("event_id").alias("seq"), "ts", body.alias("body")
     )
 

@@ -615,6 +615,34 @@ def test_cap_posts(spark):
         assert seqs(posts.cap_posts(df, limit=limit)) == sorted(expected)
 
 
+def test_cap_posts_odd_rows(spark):
+    """No time, no number, rows alike at the cap, and no rows."""
+    second = at("2024-01-10 06:00:00")
+    rows = [(None, None, "a"), (3, None, "b"), (None, second, "c"), *[(5, second, "d")] * 4, (9, second + dt.timedelta(microseconds=7), "e")]
+    df = spark.createDataFrame(rows, "seq BIGINT, ts TIMESTAMP_NTZ, body STRING")
+    for limit in range(0, 10):
+        assert sorted(r["body"] for r in posts.cap_posts(df, limit=limit).collect()) == sorted(r[2] for r in rows[:limit])
+        assert sorted(map(str, posts.cap_posts(df.select("ts", "seq"), limit=limit).collect())) == sorted(
+            map(str, df.select("ts", "seq").limit(limit).collect())
+        )
+
+
+def test_cap_posts_gets_the_posts_at_most_twice(spark):
+    rows = [(i, at("2024-01-10 06:00:00") + dt.timedelta(seconds=(i * 7) % 300), "a") for i in range(400)]
+    df = spark.createDataFrame(rows, "seq BIGINT, ts TIMESTAMP_NTZ, body STRING")
+    got = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            got.add(batch.num_rows)
+            yield batch
+
+    counted = df.mapInArrow(count, df.schema)
+    assert posts.cap_posts(counted, limit=57).count() == 57 and got.value <= 2 * len(rows)
+    got.value = 0
+    assert posts.cap_posts(counted.select("seq", "ts"), limit=57).count() == 57 and got.value <= len(rows)
+
+
 def test_union_fills_missing_columns(spark):
     a = spark.createDataFrame([("S", "reddit")], "stock STRING, source STRING")
     b = spark.createDataFrame([("S", "twitter", "u")], "stock STRING, source STRING, user STRING")

@@ -134,3 +134,13 @@ def test_texts_stay_out_of_the_fold(spark, sf_dir):
 
 def test_no_sorted_aggregate_of_texts(spark, sf_dir):
     assert "SortAggregate" not in plan(QUERIES["social_sentiment"](spark, sf_dir))
+
+
+def test_cap_input_shuffles_no_text(spark, sf_dir):
+    """Only the start of a body is asked for, and times and ties are read back from the shared folder."""
+    heads = v.comments(spark, sf_dir, start=10)
+    plan = heads._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.split("Join Inner")[1]
+    assert "substring(text" in below
+    final = QUERIES["cap_input"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in final and "documents" not in final
