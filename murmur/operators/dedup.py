@@ -40,13 +40,14 @@ def dedup_text(posts: DataFrame, digest: str | None = None, order: tuple = ARRIV
     return keep_first(posts, ["stock", digest or text_digest(F.col("text"))], list(order))
 
 
-def dedup_headlines(news: DataFrame, order: str = "id") -> DataFrame:
+def dedup_headlines(news: DataFrame, order: str = "id", digest: str | None = None) -> DataFrame:
     """The first record of each headline within a ticker.
 
     Records that share their ``order`` are told apart by their other columns.
+    ``digest`` names a column that stands for the headline, if there is one.
     """
-    others = F.xxhash64(*[name for name in news.columns if name != "headline"])
-    return keep_first(news, ["ticker", text_digest(F.col("headline"))], [order, others])
+    others = F.xxhash64(*[name for name in news.columns if name not in ("headline", digest)])
+    return keep_first(news, ["ticker", F.col(digest) if digest else text_digest(F.col("headline"))], [order, others])
 
 
 def dedup_user(

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.language import LanguageModel, detect_language, with_language
-from murmur.functions.text import text_digest, words
+from murmur.functions.text import clean_headline, text_digest, words
 from murmur.operators import filters, sessions, universe
-from murmur.operators.dedup import dedup_staged, with_source_order
+from murmur.operators.dedup import dedup_headlines, dedup_staged, with_source_order
 from murmur.operators.match import keyword_match
 from murmur.operators.metrics import stock_sentiment_metrics
 from murmur.operators.scoring import Model, lexicon_score, score_by_digest
@@ -144,21 +144,34 @@ def news_vs_return(
     ``prices``: ticker, date, then value columns with the adjusted close fifth.
     With ``rules`` headlines are scored by these, else by the sum of their words'
     valences. ``language`` says the language of a column, such as a learned table.
+
+    Tickers share headlines: language and score are found once for each distinct
+    text, and only digests are de-duplicated per ticker.
     """
-    cleaned = filters.clean_news(news, time="ts")
-    vote = "lang" not in cleaned.columns and language is None
-    if vote:
+    marked = filters.drop_blank_news(news, "headline", "ts").withColumn("_digest", text_digest(F.col("headline")))
+    kept = dedup_headlines(marked.drop("headline"), digest="_digest")
+    # copies of a headline, also those of other tickers, are merged by hash before the shuffle
+    texts = marked.select("_digest", "headline").distinct().withColumn("headline", clean_headline(F.col("headline")))
+    vote = False
+    if "lang" in news.columns and language is None:
+        kept = filters.keep_english_strict(kept)
+        texts = texts.join(kept.select("_digest").distinct(), "_digest", "left_semi")
+    elif language:
+        given = "lang" in news.columns
+        texts = texts.withColumn("_found", language(F.col("headline")))
+        found = texts.select("_digest", "_found")
+        kept = kept.join(found, "_digest").withColumn("lang", F.coalesce("lang", "_found") if given else F.col("_found"))
+        kept = filters.keep_english_strict(kept)
+    else:
+        vote = True
         # Both the vote and the score read the words. The generator, of one row a row, keeps Spark from
         # pushing the filter below it, where the words would be found a second time.
-        cleaned = cleaned.select("*", F.explode_outer(F.array(words(F.col("headline")))).alias("_words"))
-        cleaned = cleaned.withColumn("lang", detect_language(F.col("headline"), F.col("_words")))
-    elif language:
-        cleaned = with_language(cleaned, "headline", by=language)
-    english = filters.keep_english_strict(cleaned)
-    keys = ["ticker", "id", "ts"]
+        texts = texts.select("*", F.explode_outer(F.array(words(F.col("headline")))).alias("_words"))
+        texts = filters.keep_english_strict(texts.withColumn("lang", detect_language(F.col("headline"), F.col("_words"))))
     if rules:
-        scored = rule_score(english, lexicon, keys=keys, rules=rules)
+        scores = rule_score(texts, lexicon, keys=["_digest"], rules=rules)
     else:
-        scored = lexicon_score(english, lexicon, keys=keys, tokens="_words" if vote else None)
+        scores = lexicon_score(texts, lexicon, keys=["_digest"], tokens="_words" if vote else None)
+    scored = kept.select("ticker", "ts", "_digest").join(scores, "_digest")  # a digest has one row a ticker at most
     returns = sessions.daily_return(adjusted_close(prices, start, end))
     return sessions.with_session_before(returns, scored, score="compound", minimum=minimum)

@@ -144,3 +144,17 @@ def test_cap_input_shuffles_no_text(spark, sf_dir):
     assert "substring(text" in below
     final = QUERIES["cap_input"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in final and "documents" not in final
+
+
+def test_news_vs_return_scores_a_text_once(spark, sf_dir):
+    """Five tickers share the headlines; words are looked for in distinct texts, and no window holds a text."""
+    rows = QUERIES["news_vs_return"](spark, sf_dir)
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    lines = text.splitlines()
+    generates = [n for n, line in enumerate(lines) if "Generate explode" in line and "regexp_extract_all" in line]
+    assert len(generates) == 1 and any("Aggregate [_digest" in line for line in lines[generates[0] :])
+    for line in lines:
+        if "Window [row_number()" in line:
+            assert "headline" not in line
+    below = [line for line in lines[generates[0] :] if "Window [" in line]
+    assert not below, "texts are de-duplicated over all tickers"
