@@ -26,6 +26,8 @@ STOPWORDS = {
 
 # What a text in another script than the Latin one is said to be.
 OTHER_SCRIPT = "xx"
+# Characters beyond U+024F but for general punctuation, and the micro sign.
+UNUSUAL = r"[\u00b5\u0250-\u1fff\u2070-\x{10ffff}]"
 # A text without any stopword is English if no more words than this are left beside tickers.
 FEW_WORDS = 8
 TICKER = r"\$\p{L}+|(?<![\p{L}\p{N}])\p{Lu}{2,5}(?![\p{L}\p{N}])"
@@ -39,8 +41,9 @@ def _other_script(text: Column) -> Column:
     """Whether most letters are of another script; looked into only where one is."""
     latin = F.length(F.regexp_replace(text, r"\P{IsLatin}+", ""))
     others = F.length(F.regexp_replace(text, r"[\P{L}\p{IsLatin}]+", ""))
-    # a character out of the usual Latin ranges; far cheaper to look for than a letter of another script
-    return F.rlike(text, F.lit(r"[^\u0000-\u00b4\u00b6-\u024f\u2000-\u206f]")) & (others > latin)
+    # a character out of the usual Latin ranges; far cheaper to look for than a letter of another script,
+    # if its ranges are named: a class of all but the usual ones takes nine times as long
+    return F.rlike(text, F.lit(UNUSUAL)) & (others > latin)
 
 
 def _terse(text: Column) -> Column:

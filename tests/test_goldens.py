@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import labels, numbers
 from murmur.functions import text as tx
-from murmur.functions.language import with_language
+from murmur.functions.language import UNUSUAL, with_language
 from murmur.operators import calendar, dedup, filters, match, metrics, scoring, sessions, signals, universe
 from murmur.params import SOURCES
 from murmur.sources import holidays, html, posts, prices, sinks, trending
@@ -658,6 +658,14 @@ def test_lenient_language(spark):
     assert filters.keep_english_lenient(df, exempt=("reddit",)).count() == 2
 
 
+def test_unusual_characters_are_named_by_range(spark):
+    """The ranges hold what a slow class of all but the usual characters does."""
+    edges = [0, 0xB4, 0xB5, 0xB6, 0x24F, 0x250, 0x1FFF, 0x2000, 0x206F, 0x2070, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x10FFFF]
+    df = spark.createDataFrame([(n, f"a{chr(n)}b") for n in edges], "n INT, text STRING")
+    found = {r["n"] for r in df.where(F.rlike("text", F.lit(UNUSUAL))).collect()}
+    assert found == {n for n in edges if not (n <= 0xB4 or 0xB6 <= n <= 0x24F or 0x2000 <= n <= 0x206F)}
+
+
 def test_language_by_stopwords(spark):
     rows = [
         ("The cat is on the mat with a hat", "en"),
